@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kitwright.llm import bpe, secrets, sharding
-from kitwright.llm.common import documents
+from kitwright.llm import bpe, decontam, embedding, langid, lines, secrets, sharding, simhash, substring, toxicity
+from kitwright.llm.common import documents, id_bucket
 
 SHARDS, SHARD_SEED = 40, "kitwright"
 
@@ -21,23 +21,66 @@ def op1_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_templates(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(documents(spark, sf_dir), shingle=3, words=1, width=32, radius=1, limit=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, id_bucket(F.col("doc_id"), 5) != 0)
+    return toxicity.scored(docs, model).select(
+        "doc_id", (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_benchmark_qgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.report(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+def op10_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = langid.train(docs, id_bucket(F.col("doc_id"), 4) != 2)
+    return langid.predict(docs, net).select("doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_stratified_shards": op1_stratified_shards,
-        "op7_byte_bpe": op7_byte_bpe,
-        "op9_secret_ledger": op9_secret_ledger,
-    }
+    named = (
+        op1_stratified_shards, op2_line_templates, op3_cross_polytope, op4_simhash, op5_recompression,
+        op6_toxicity_nnpu, op7_byte_bpe, op8_benchmark_qgrams, op9_secret_ledger, op10_language_gru, pipeline,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
