@@ -29,8 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kitwright.llm.common import batch, materialize
+from kitwright.llm.simhash import shingle_hashes
 
-POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 6000
+POSITIVES, UNLABELLED, FEATURES = 3000, 12000, 2000
+#: A feature is used if it stands in at least ``LEAST`` of the texts learned from, and its share among positives exceeds
+#: that among the unlabelled by ``LIFT`` of what a feature of toxic texts alone would show (1 / prior) and by ``ERRORS`` standard errors.
+LEAST, LIFT, ERRORS = 3, 0.4, 4.0
 #: Lengths of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -117,23 +121,26 @@ def train(docs: DataFrame, labels: DataFrame, learnable: F.Column, id_column: st
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     ids = texts.select("doc_id").filter("doc_id is not null")
     confirmed = marks.filter("toxic = 1").select("doc_id").distinct().join(ids, "doc_id", "left_semi")
-    chosen = _bounded(confirmed, POSITIVES).withColumn("positive", F.lit(True)).unionByName(_bounded(ids.join(confirmed, "doc_id", "left_anti"), UNLABELLED).withColumn("positive", F.lit(False)))
-    schema = pa.schema([("positive", pa.bool_()), ("found", pa.list_(pa.string()))])
+    chosen = _bounded(confirmed, POSITIVES).withColumn("positive", F.lit(True)).unionByName(_bounded(ids, UNLABELLED).withColumn("positive", F.lit(False)))
+    schema = pa.schema([("positive", pa.bool_()), ("found", pa.list_(pa.string())), ("sketch", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(schema, [b.column(0), [list(features(t)) for t in b.column(1).to_pylist()]])
+            rows = b.column(1).to_pylist()
+            sketches = [int(h.min().view(np.int64)) if len(h := shingle_hashes(t, 5)) else 0 for t in rows]
+            yield batch(schema, [b.column(0), [list(features(t)) for t in rows], sketches])
 
-    # The chosen ids are bounded, so their texts are found by a broadcast.
-    sample = materialize(texts.join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(run, "positive boolean, found array<string>"))
+    # The chosen ids are bounded, so their texts are found by a broadcast. Of copies and near copies (equal sketches) one is learned from.
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(run, "positive boolean, found array<string>, sketch long")
+    sample = materialize(sample.dropDuplicates(["positive", "sketch"]).drop("sketch"))
     n_pos, n_unl = sample.agg(F.count(F.when(F.col("positive"), 1)), F.count(F.when(~F.col("positive"), 1))).first()
     if not n_pos or not n_unl:
         return Model({}, -30.0)
-    # Features by how far their share among positives is from that among the unlabelled, in standard errors.
+    # Features by how far their share among positives is above that among the unlabelled, in standard errors.
     counts = sample.select("positive", F.explode("found").alias("f")).groupBy("f").agg(F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(~F.col("positive"), 1)).alias("u"))
-    mean = (F.col("p") + F.col("u") + 1) / (n_pos + n_unl)
-    score = F.abs(F.col("p") / n_pos - F.col("u") / n_unl) / F.sqrt(mean * (1 / n_pos + 1 / n_unl))
-    top = counts.filter(F.col("p") + F.col("u") >= 3).orderBy(score.desc(), "f").limit(FEATURES)
+    of_p, of_u, mean = F.col("p") / n_pos, F.col("u") / n_unl, (F.col("p") + F.col("u")) / (n_pos + n_unl)
+    errors = (of_p - of_u) / F.sqrt(mean * (1 / n_pos + 1 / n_unl))
+    top = counts.filter((F.col("p") >= LEAST) & (of_p >= of_u * LIFT / prior) & (errors >= ERRORS)).orderBy(errors.desc(), "f").limit(FEATURES)
     vocabulary = [r[0] for r in top.select("f").collect()]
     place = {f: i for i, f in enumerate(vocabulary)}
     indexed = pa.schema([("positive", pa.bool_()), ("at", pa.list_(pa.int32()))])
