@@ -6,9 +6,9 @@ class) by hashes of what they consist of, so a name means the same everywhere
 and no table of names is needed. Whether neighbours merge depends on them
 alone, so a passage that two documents share is parsed alike in its interior;
 only what lies within ``MARGIN`` words of its ends can differ. Within every
-window of 50 shared words at least 26 are interior, and among the symbols there
+window of 50 shared words at least 40 are interior, and among the symbols there
 the one with the smallest name is picked in both documents. It is extended to
-the 32 words around it that still lie inside the window.
+the 14 words around its start, which still lie inside the window.
 
 Shared names of these extended symbols reveal the documents and places that
 may hold repeats; only there are 50-word windows named (128 bits) and the
@@ -32,17 +32,32 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kitwright.llm.common import batch, materialize
 
-#: Words of a window; of the two rounds, the longest run and the longest pair that merge.
-WINDOW, ROUNDS = 50, ((2, 4), (4, 8))
-#: Each round's steps can lose, at an end, a run up to its bound and one symbol of the length before the pairs.
-MARGIN = 2 + 2 + 4 + 4
-LONGEST = 8
-#: Starts among which a symbol is picked, so that it lies inside the interior; the words around it in its extended name.
+#: Words of a window; of each round, the longest run and the longest pair that merge (1: none).
+WINDOW, ROUNDS = 50, ((1, 2), (2, 4))
+
+
+def _margin() -> tuple[int, int]:
+    """Words at an end of a passage whose parse can depend on what is beyond, and the longest symbol.
+
+    A step of runs can lose a run up to its bound (longer ones don't merge on
+    either side), a step of pairs one symbol of the length before it.
+    """
+    lost, longest = 0, 1
+    for run, pair in ROUNDS:
+        longest = max(longest, run)
+        lost += (run if run > 1 else 0) + longest
+        longest = pair
+    return lost, longest
+
+
+MARGIN, LONGEST = _margin()
+#: Starts among which a symbol is picked, so that it lies inside the interior; the words around its start in its extended name.
 PICK = WINDOW - 2 * MARGIN - (LONGEST - 1)
 BEFORE, AFTER = MARGIN, WINDOW - MARGIN - PICK + 1
 #: Odd bases of the window hashes.
@@ -139,7 +154,7 @@ def anchors(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _parsed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_words``, ``sequence`` (digest of the words) and the picked symbols: ``keys``, ``at``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sequence", pa.string()), ("keys", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sequence", pa.binary()), ("keys", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,10 +162,27 @@ def _parsed(docs: DataFrame) -> DataFrame:
             for text in b.column(1).to_pylist():
                 words = words_of(text)
                 keys, at = anchors(named(words)) if len(words) >= WINDOW else (np.empty(0, np.uint64), np.empty(0))
-                rows.append((len(words), hashlib.sha256(b" ".join(words)).hexdigest(), keys.view(np.int64), at.astype(np.int32)))
+                rows.append((len(words), hashlib.sha256(b" ".join(words)).digest(), keys.view(np.int64), at.astype(np.int32)))
             yield batch(schema, [b.column(0), *(map(list, zip(*rows, strict=True)) if rows else [[]] * 4)])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, sequence string, keys array<long>, at array<int>")
+    return docs.mapInArrow(run, "doc_id long, n_words long, sequence binary, keys array<long>, at array<int>")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``packed``, the compressed text: what crosses the network where texts must."""
+    schema = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            yield batch(schema, [b.column(0), [pack((t or "").encode("utf-8")) for t in b.column(1).to_pylist()]])
+
+    return docs.mapInArrow(run, "doc_id long, packed binary")
+
+
+def _unpacked(column: pa.Array) -> list[list[bytes]]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(p).split() for p in column.to_pylist()]
 
 
 def _windows(suspects: DataFrame) -> DataFrame:
@@ -159,15 +191,15 @@ def _windows(suspects: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                names = named(words_of(text))
+            for doc, words, at in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2).to_pylist(), strict=True):
+                names = named(words)
                 # The windows that could have picked the symbol: it starts BEFORE to BEFORE + PICK - 1 words into them.
                 q = np.unique(np.asarray(at)[:, None] - np.arange(BEFORE, BEFORE + PICK)[None, :])
                 q = q[(q >= 0) & (q + WINDOW <= len(names))]
                 h1, h2 = (Rolling(names, base)(q, WINDOW).view(np.int64) for base in BASES)
                 yield batch(schema, [h1, h2, np.full(len(q), doc), q.astype(np.int32)])
 
-    return suspects.select("doc_id", "text", "at").mapInArrow(run, "h1 long, h2 long, doc_id long, q int")
+    return suspects.select("doc_id", "packed", "at").mapInArrow(run, "h1 long, h2 long, doc_id long, q int")
 
 
 def _cut(suspects: DataFrame) -> DataFrame:
@@ -177,8 +209,7 @@ def _cut(suspects: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, text, repeats in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = words_of(text)
+            for doc, words, repeats in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2).to_pylist(), strict=True):
                 edges = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(edges, np.asarray(repeats), 1)
                 np.add.at(edges, np.asarray(repeats) + WINDOW, -1)
@@ -186,7 +217,7 @@ def _cut(suspects: DataFrame) -> DataFrame:
                 rows.append((doc, int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode("utf-8")))
             yield batch(schema, list(zip(*rows, strict=True)) if rows else [[]] * 3)
 
-    return suspects.select("doc_id", "text", "repeats").mapInArrow(run, "doc_id long, n_removed long, kept string")
+    return suspects.select("doc_id", "packed", "repeats").mapInArrow(run, "doc_id long, n_removed long, kept string")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -197,19 +228,22 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     picked = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text")
     parsed = materialize(_parsed(picked))
     firsts = parsed.groupBy("sequence").agg(F.min("doc_id").alias("first"))
-    symbols = (
-        parsed.filter(F.size("keys") > 0)
+    symbols = parsed.select("doc_id", F.xxhash64("sequence").alias("sequence"), F.explode(F.arrays_zip("keys", "at")).alias("s"))
+    symbols = symbols.select("doc_id", "sequence", F.col("s.keys").alias("key"), F.col("s.at").alias("at"))
+    # Copies have one sequence, so what only they share is not counted as shared.
+    shared = symbols.groupBy("key").agg(F.min("sequence").alias("a"), F.max("sequence").alias("b")).filter("a < b").select("key")
+    places = (
+        symbols.select("doc_id", "key", "at")
+        .join(shared, "key", "left_semi")
+        .groupBy("doc_id")
+        .agg(F.collect_list("at").alias("at"))  # bounded by a text
         .join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-        .select("doc_id", F.explode(F.arrays_zip("keys", "at")).alias("s"))
-        .select("doc_id", F.col("s.keys").alias("key"), F.col("s.at").alias("at"))
     )
-    shared = symbols.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
-    places = symbols.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("at"))  # bounded by a text
-    suspects = materialize(picked.join(places, "doc_id"))
-    windows = materialize(_windows(suspects))
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    suspects = materialize(_packed(picked).join(places, "doc_id"))
+    windows = _windows(suspects)
+    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
     repeats = windows.join(first, ["h1", "h2"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("q").alias("repeats"))
-    cut = _cut(suspects.select("doc_id", "text").join(repeats, "doc_id"))
+    cut = _cut(suspects.select("doc_id", "packed").join(repeats, "doc_id"))
 
     copies = parsed.select("doc_id", "n_words", "sequence").join(firsts, "sequence")
     gone = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= WINDOW)
@@ -218,5 +252,5 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit("")).otherwise(F.col("kept")).alias("kept"),
-        F.when(gone, F.sha2(F.lit(""), 256)).when(F.col("kept").isNotNull(), F.sha2("kept", 256)).otherwise(F.col("sequence")).alias("kept_sha256"),
+        F.when(gone, F.sha2(F.lit(""), 256)).when(F.col("kept").isNotNull(), F.sha2("kept", 256)).otherwise(F.lower(F.hex("sequence"))).alias("kept_sha256"),
     )
