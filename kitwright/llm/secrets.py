@@ -114,7 +114,8 @@ def by_blob(findings: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFr
 
 
 def report(versions: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, ledger: DataFrame | None = None, findings: DataFrame | None = None, text_column: str = "text") -> DataFrame:
-    """``versions`` without the text, with the counts and spans of their blobs."""
+    """``versions`` without the text, with the counts and spans of their blobs (in place of columns of those names)."""
+    versions = versions.drop("spans", *[f"n_{r.kind}" for r in rules])
     found, _ = update(versions, rules, ledger, findings, text_column)
     merged = materialize(by_blob(found, rules))  # only blobs with findings
     return (

@@ -68,8 +68,8 @@ def fingerprint_bits(hashes: np.ndarray, words: int) -> np.ndarray:
     return (2 * counts > len(hashes)).astype(np.uint8)
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int, width: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` (``words`` longs) and ``keys`` (its segments of ``width`` bits)."""
+def fingerprints(docs: DataFrame, shingle: int, words: int, width: int, id_column: str = "doc_id", text_column: str = "text", distinct: bool = False) -> DataFrame:
+    """``doc_id``, ``fp`` (``words`` longs) and ``keys`` (its segments of ``width`` bits); of all or of ``distinct`` shingles."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
     segments, powers = 64 * words // width, 1 << np.arange(width, dtype=np.int64)
 
@@ -77,7 +77,8 @@ def fingerprints(docs: DataFrame, shingle: int, words: int, width: int, id_colum
         for b in batches:
             fps, keys = [], []
             for text in b.column(1).to_pylist():
-                bits = fingerprint_bits(shingle_hashes(text, shingle), words)
+                hashes = shingle_hashes(text, shingle)
+                bits = fingerprint_bits(np.unique(hashes) if distinct else hashes, words)
                 fps.append(np.packbits(bits, bitorder="little").view("<i8"))
                 keys.append(bits[: segments * width].reshape(segments, width).astype(np.int64) @ powers)
             yield batch(schema, [b.column(0), fps, keys])
@@ -161,7 +162,7 @@ def groups(docs: DataFrame, shingle: int = 3, words: int = 1, width: int = 32, r
 def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 5, width: int = 20, slack: float = 3.0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Groups by the Jaccard similarity of shingle sets: ``doc_id``, ``component_id``.
 
-    Fingerprints propose, exact similarities decide. Two texts of similarity J
+    Fingerprints of the distinct shingles propose, exact similarities decide. Two texts of similarity J
     have hashes at a cosine of about 2 J / (1 + J), so a bit differs with
     probability acos(cosine) / pi; the distance looked for is that share of the
     bits plus ``slack`` standard deviations. Within the components of such
@@ -171,24 +172,24 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
     bits = 64 * words
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     limit = int(share * bits + slack * (bits * share * (1 - share)) ** 0.5)
-    fps = materialize(fingerprints(docs, shingle, words, width, id_column, text_column))
+    picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    fps = materialize(fingerprints(picked, shingle, words, width, distinct=True))
     classes = fps.groupBy("fp", "keys").agg(F.min("doc_id").alias("id")).filter("id is not null")
-    loose = components(links(classes, limit, width, 1))
-    exact = components(_verified(docs.join(loose, docs[id_column] == loose["node"]), shingle, similarity, id_column, text_column))
+    loose = components(links(classes, limit, width, 1)).withColumnRenamed("node", "doc_id")
+    exact = components(_verified(picked.join(loose, "doc_id"), shingle, similarity))
     named = classes.join(exact, classes["id"] == exact["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "component_id")
 
 
-def _verified(docs: DataFrame, shingle: int, similarity: float, id_column: str, text_column: str) -> DataFrame:
+def _verified(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) spanning, within each ``component``, what is ``similarity`` or more alike."""
     sets = pa.schema([("component", pa.int64()), ("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(sets, [b.column(0), b.column(1), [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(2).to_pylist()]])
+            yield batch(sets, [b.column(0), b.column(1), [np.unique(shingle_hashes(t, shingle).view(np.int64)) for t in b.column(2).to_pylist()]])
 
-    picked = docs.selectExpr("component", f"cast(`{id_column}` as long) as id", f"`{text_column}` as text")
-    members = materialize(picked.mapInArrow(hashed, "component long, id long, shingles array<long>"))
+    members = materialize(docs.select("component", F.col("doc_id").alias("id"), "text").mapInArrow(hashed, "component long, id long, shingles array<long>"))
     dealt = block_pairs(members.select("component", "id"), ["component"], "id", BLOCK_ROWS // 4).join(members.select("id", "shingles"), "id")
     jobs = dealt.groupBy("component", "block_a", "block_b").agg(F.collect_list(F.struct("id", "shingles")).alias("m")).select("m.id", "m.shingles")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])

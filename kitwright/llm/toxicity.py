@@ -13,7 +13,7 @@ features. Scoring takes every whole text.
 
 Defined results: a null or empty text has no features and gets the score of the
 bias alone; with no confirmed positive there is nothing to learn and every
-score is 0. Labels of held-out ids are never read; language, source and id are
+score is next to 0. Labels of held-out ids are never read; language, source and id are
 no inputs of a score.
 """
 
