@@ -12,8 +12,8 @@ What is learned from is bounded: at most ``POSITIVES`` confirmed and
 features. Scoring takes every whole text.
 
 Defined results: a null or empty text has no features and gets the score of the
-bias alone; with no confirmed positive there is nothing to learn and every
-score is next to 0. Labels of held-out ids are never read; language, source and id are
+bias alone; with no confirmed positive, or no feature that tells them apart, there is nothing
+to learn and every score is next to 0. Labels of held-out ids are never read; language, source and id are
 no inputs of a score.
 """
 
@@ -94,7 +94,9 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, width: int, prior: float,
                 g_p, g_u = -2 * prior * slope_p, slope_u
             else:
                 g_p, g_u = prior * slope_p, -slope_u
-            grad = np.bincount(p_flat, weights=g_p[p_owner], minlength=width + 1) + np.bincount(u_flat, weights=g_u[u_owner], minlength=width + 1)
+            grad = np.zeros(width + 1)
+            grad += np.bincount(p_flat, weights=g_p[p_owner], minlength=width + 1)
+            grad += np.bincount(u_flat, weights=g_u[u_owner], minlength=width + 1)
             grad[width] += g_p.sum() + g_u.sum()
             grad[:width] += decay * w[:width]
             step += 1
@@ -142,6 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: F.Column, id_column: st
     errors = (of_p - of_u) / F.sqrt(mean * (1 / n_pos + 1 / n_unl))
     top = counts.filter((F.col("p") >= LEAST) & (of_p >= of_u * LIFT / prior) & (errors >= ERRORS)).orderBy(errors.desc(), "f").limit(FEATURES)
     vocabulary = [r[0] for r in top.select("f").collect()]
+    if not vocabulary:  # nothing tells the positives apart
+        return Model({}, -30.0)
     place = {f: i for i, f in enumerate(vocabulary)}
     indexed = pa.schema([("positive", pa.bool_()), ("at", pa.list_(pa.int32()))])
 
