@@ -69,3 +69,15 @@ def test_results_of_odd_rows(spark):
     import public_tokenizers as P
 
     assert bpe.encode(docs.filter("doc_id = 1"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).first().token_ids == []
+
+
+def test_sharding_equals_its_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet')")
+    want = con.execute(queries.oracle_sql()["op1_stratified_shards"])
+    columns = [c[0] for c in want.description]
+    got = queries.op1_stratified_shards(spark, d).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
