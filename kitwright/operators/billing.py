@@ -119,3 +119,19 @@ def usage_meters(states: DataFrame, plans: DataFrame, usage: dict[str, Column])
     joined = states.join(F.broadcast(plans.select("plan", *usage)), "plan")  # a row a plan
     shown = [x for m, v in usage.items() for x in (usage_label(v, m).alias(f"{m}_text"), usage_percent(v, m).alias(f"{m}_percent"))]
     return joined.select(*[c for c in states.columns], *shown)
+
+
+def stored(records: DataFrame, raw: str, as_of: Column) -> DataFrame:
+    """``records`` with the fields of the state in place of ``raw``, a stored JSON text, and ``was_seeded``.
+
+    A missing or broken text gives the seed; a cancelled plan whose period has
+    ended comes back as the free plan.
+    """
+    fields = "plan string, interval string, cancelAtPeriodEnd boolean, periodEndAt timestamp, card struct<brand:string>, nextInvoiceNumber int"
+    parsed = F.from_json(F.when(F.try_parse_json(F.col(raw)).isNotNull(), F.col(raw)), fields)
+    read = F.when(
+        parsed["plan"].isNotNull(),
+        F.struct(parsed["plan"], parsed["interval"], parsed["cancelAtPeriodEnd"], parsed["periodEndAt"], parsed["card"].isNotNull(), F.array().cast(f"array<{INVOICE}>"), parsed["nextInvoiceNumber"]).cast(STATE),
+    )
+    state = records.withColumn("_s", expired(F.coalesce(read, seed(as_of)), as_of))
+    return state.select(*[c for c in records.columns if c != raw], "_s.*", read.isNull().alias("was_seeded"))
