@@ -124,17 +124,17 @@ def train(docs: DataFrame, labels: DataFrame, learnable: F.Column, id_column: st
     ids = texts.select("doc_id").filter("doc_id is not null")
     confirmed = marks.filter("toxic = 1").select("doc_id").distinct().join(ids, "doc_id", "left_semi")
     chosen = _bounded(confirmed, POSITIVES).withColumn("positive", F.lit(True)).unionByName(_bounded(ids, UNLABELLED).withColumn("positive", F.lit(False)))
-    schema = pa.schema([("positive", pa.bool_()), ("found", pa.list_(pa.string())), ("sketch", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("positive", pa.bool_()), ("found", pa.list_(pa.string())), ("sketch", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.column(1).to_pylist()
+            rows = b.column(2).to_pylist()
             sketches = [int(h.min().view(np.int64)) if len(h := shingle_hashes(t, 5)) else 0 for t in rows]
-            yield batch(schema, [b.column(0), [list(features(t)) for t in rows], sketches])
+            yield batch(schema, [b.column(0), b.column(1), [sorted(features(t)) for t in rows], sketches])
 
     # The chosen ids are bounded, so their texts are found by a broadcast. Of copies and near copies (equal sketches) one is learned from.
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(run, "positive boolean, found array<string>, sketch long")
-    sample = materialize(sample.dropDuplicates(["positive", "sketch"]).drop("sketch"))
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(run, "doc_id long, positive boolean, found array<string>, sketch long")
+    sample = materialize(sample.groupBy("positive", "sketch").agg(F.min_by("found", F.struct("doc_id", "found")).alias("found")).select("positive", "found"))
     n_pos, n_unl = sample.agg(F.count(F.when(F.col("positive"), 1)), F.count(F.when(~F.col("positive"), 1))).first()
     if not n_pos or not n_unl:
         return Model({}, -30.0)
@@ -155,7 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, learnable: F.Column, id_column: st
 
     rows = sample.mapInArrow(index, "positive boolean, at array<int>").toArrow()
     at = [np.asarray(x.values, dtype=np.int64) for x in rows.column("at").combine_chunks()]
-    weights, bias = nnpu(at, np.asarray(rows.column("positive")), len(vocabulary), prior)
+    positive = np.asarray(rows.column("positive"))
+    order = sorted(range(len(at)), key=lambda i: (positive[i], at[i].tobytes()))  # whatever order the rows came in
+    weights, bias = nnpu([at[i] for i in order], positive[order], len(vocabulary), prior)
     return Model({f: float(x) for f, x in zip(vocabulary, weights, strict=True) if abs(x) > 1e-6}, bias)
 
 
