@@ -139,7 +139,8 @@ def links(classes: DataFrame, limit: int, width: int, radius: int) -> DataFrame:
                 out_a.append(flat[twos[close]])
                 out_b.append(flat[twos[close] + 1])
             for k in np.flatnonzero(sizes > 2):
-                own = slice(starts[k], starts[k + 1])
+                # By id, so that the jobs of one group of copies mostly name the same roots.
+                own = starts[k] + np.argsort(flat[starts[k] : starts[k + 1]], kind="stable")
                 if found := list(near(table[own], limit)):
                     found = np.array(found)
                     out_a.append(flat[own][found[:, 0]])
