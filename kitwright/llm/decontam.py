@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from kitwright.llm.common import batch
 
 #: Bytes of a q-gram, edits allowed for each byte of an item, bytes of items shared at once, and of texts looked at together.
-Q, EDIT_RATE, PART_BYTES, CHUNK_BYTES = 8, 0.1, 16_000_000, 4_000_000
+Q, EDIT_RATE, PART_BYTES, CHUNK_BYTES = 8, 0.1, 4_000_000, 4_000_000
 OTHER = re.compile(r"[\W_]+")
 
 
@@ -66,7 +66,7 @@ class Items:
         self.codes = codes[order]
         self.item = np.repeat(np.arange(len(each)), [len(g) for g in each])[order]
         self.at = np.concatenate([np.arange(len(g)) for g in each])[order] if each else np.empty(0, np.int64)
-        self.bits = max(16, int(len(codes) * 64).bit_length())
+        self.bits = min(26, max(16, int(len(codes) * 64).bit_length()))  # 64 MB at most
         self.seen = np.zeros(1 << self.bits, dtype=bool)
         self.seen[_slot(self.codes, self.bits)] = True
         self.short = [k for k, n in enumerate(self.lengths) if n < Q]
