@@ -31,7 +31,7 @@ def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.groups(documents(spark, sf_dir), shingle=3, words=1, width=32, radius=1, limit=3)
+    found = simhash.groups(documents(spark, sf_dir), shingle=3, segments=2, width=32, radius=1, limit=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 

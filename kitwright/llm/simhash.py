@@ -27,7 +27,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kitwright.llm.common import batch, materialize
@@ -68,23 +68,33 @@ def fingerprint_bits(hashes: np.ndarray, words: int) -> np.ndarray:
     return (2 * counts > len(hashes)).astype(np.uint8)
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int, width: int, id_column: str = "doc_id", text_column: str = "text", distinct: bool = False) -> DataFrame:
-    """``doc_id``, ``fp`` (``words`` longs) and ``keys`` (its segments of ``width`` bits); of all or of ``distinct`` shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-    segments, powers = 64 * words // width, 1 << np.arange(width, dtype=np.int64)
+def fingerprints(docs: DataFrame, shingle: int, words: int, id_column: str = "doc_id", text_column: str = "text", distinct: bool = False) -> DataFrame:
+    """``doc_id`` and ``fp`` (``words`` longs), of all or of ``distinct`` shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, keys = [], []
+            fps = []
             for text in b.column(1).to_pylist():
                 hashes = shingle_hashes(text, shingle)
                 bits = fingerprint_bits(np.unique(hashes) if distinct else hashes, words)
                 fps.append(np.packbits(bits, bitorder="little").view("<i8"))
-                keys.append(bits[: segments * width].reshape(segments, width).astype(np.int64) @ powers)
-            yield batch(schema, [b.column(0), fps, keys])
+            yield batch(schema, [b.column(0), fps])
 
     picked = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text")
-    return picked.mapInArrow(run, "doc_id long, fp array<long>, keys array<long>")
+    return picked.mapInArrow(run, "doc_id long, fp array<long>")
+
+
+def buckets(segments: int, width: int) -> Column:
+    """The bucket of ``fp`` in each table: the number of the segment, then its ``width`` bits."""
+    out = []
+    for seg in range(segments):
+        word, offset = divmod(seg * width, 64)
+        bits = F.shiftrightunsigned(F.get("fp", F.lit(word)), offset)
+        if offset + width > 64:
+            bits = bits.bitwiseOR(F.shiftleft(F.get("fp", F.lit(word + 1)), 64 - offset))
+        out.append(bits.bitwiseAND(F.lit((1 << width) - 1).cast("long")).bitwiseOR(F.lit(seg << width).cast("long")))
+    return F.array(*out)
 
 
 def near(fps: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -101,27 +111,27 @@ def near(fps: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
                 yield from zip(repeat(root), found)
 
 
-def links(classes: DataFrame, limit: int, width: int, radius: int) -> DataFrame:
+def links(classes: DataFrame, limit: int, segments: int, width: int, radius: int, word_limit: int) -> DataFrame:
     """Links (a, b) that join what is at most ``limit`` bits apart and meets in a table.
 
-    ``classes`` has ``id``, ``fp`` and ``keys``. With (radius + 1) * segments
-    over ``limit`` nothing is missed; with fewer a share that shrinks with the
-    number of segments is.
+    ``classes`` has ``id`` and ``fp``. With (radius + 1) * segments over
+    ``limit`` nothing is missed; with fewer a share that shrinks with the
+    number of segments is. A probe goes on only if its bucket holds another
+    fingerprint whose first word is at most ``word_limit`` bits from its own,
+    so what meets by chance costs a comparison and no row.
     """
     if radius not in (0, 1):
         raise ValueError("balls of radius 0 or 1 are enumerated")
-    base = classes.select("id", F.posexplode("keys").alias("seg", "key"))
-    if radius:
-        flips = F.explode(F.array(*[F.lit(1 << i).cast("long") for i in range(width)]))
-        probes = base.withColumn("bit", flips).filter("(key & bit) = 0").select("id", "seg", F.expr("key | bit").alias("key"))
-        hits = probes.join(base.select("seg", "key"), ["seg", "key"], "left_semi")
-        entries = base.select("seg", "key", "id").unionByName(hits)
-    else:
-        entries = base
-    entries = materialize(entries)
-    dealt = block_pairs(entries, ["seg", "key"], "id", BLOCK_ROWS).join(classes.select("id", "fp"), "id")
+    base = classes.select(F.explode(buckets(segments, width)).alias("bucket"), "id", F.col("fp")[0].alias("word"))
+    ball = F.explode(F.array(*[F.lit(b).cast("long") for b in (0, *[1 << i for i in range(width if radius else 0)])]))
+    probes = base.withColumn("bit", ball).filter("(bucket & bit) = 0").select(F.expr("bucket | bit").alias("bucket"), "id", "word")
+    table = base.toDF("table_bucket", "table_id", "table_word")
+    met = (F.col("bucket") == F.col("table_bucket")) & (F.col("id") != F.col("table_id")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("table_word"))) <= word_limit)
+    hits = materialize(probes.join(table, met, "left_semi").select("bucket", F.col("id").alias("hit")))
+    entries = materialize(base.select("bucket", "id").join(hits.select("bucket").distinct(), "bucket", "left_semi").union(hits).distinct())
+    dealt = block_pairs(entries, ["bucket"], "id", BLOCK_ROWS).join(classes.select("id", "fp"), "id")
     # Two blocks of bounded size a group.
-    jobs = dealt.groupBy("seg", "key", "block_a", "block_b").agg(F.collect_list(F.struct("id", "fp")).alias("m")).select("m.id", "m.fp")
+    jobs = dealt.groupBy("bucket", "block_a", "block_b").agg(F.collect_list(F.struct("id", "fp")).alias("m")).select("m.id", "m.fp")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,32 +161,52 @@ def links(classes: DataFrame, limit: int, width: int, radius: int) -> DataFrame:
     return jobs.mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 3, words: int = 1, width: int = 32, radius: int = 1, limit: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each document: ``doc_id``, ``fp`` (array of longs), ``component_id`` (smallest id reachable)."""
-    fps = materialize(fingerprints(docs, shingle, words, width, id_column, text_column))
-    classes = fps.groupBy("fp", "keys").agg(F.min("doc_id").alias("id")).filter("id is not null")
-    found = components(links(classes, limit, width, radius))
+def groups(docs: DataFrame, shingle: int = 3, segments: int = 2, width: int = 32, radius: int = 1, limit: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """By 64-bit fingerprints: ``doc_id``, ``fp`` (an array of one long), ``component_id`` (smallest id reachable) for each document."""
+    fps = materialize(fingerprints(docs, shingle, 1, id_column, text_column))
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"))
+    found = components(links(classes, limit, segments, width, radius, limit))
     named = classes.join(found, classes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 5, width: int = 20, slack: float = 3.0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def bit_share(similarity: float) -> float:
+    """Share of bits in which two texts of that Jaccard similarity differ: their hashes' sums are at a cosine of 2 J / (1 + J)."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def tables(rows: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Number of segments and their width for ``rows`` fingerprints.
+
+    The width keeps chance meetings to 16 a bucket at any size (20 bits do up
+    to 16 million rows); the number of segments then follows from ``recall``,
+    the share of pairs of exactly ``similarity`` that agree up to one bit in
+    some segment.
+    """
+    width = max(20, int(np.ceil(np.log2(max(rows, 1) / 16))))
+    same = 1 - bit_share(similarity)
+    meet = same**width + width * (1 - same) * same ** (width - 1)
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - meet))), width
+
+
+def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Groups by the Jaccard similarity of shingle sets: ``doc_id``, ``component_id``.
 
-    Fingerprints of the distinct shingles propose, exact similarities decide. Two texts of similarity J
-    have hashes at a cosine of about 2 J / (1 + J), so a bit differs with
-    probability acos(cosine) / pi; the distance looked for is that share of the
-    bits plus ``slack`` standard deviations. Within the components of such
-    links the shingle sets are compared exactly. Texts with equal fingerprints
-    (320 bits) share a class; those without words are one too.
+    Fingerprints of the distinct shingles propose, exact similarities decide.
+    The distance looked for is the share of bits in which pairs of that
+    similarity differ plus three standard deviations (four for the single
+    word that a probe compares). Within the components of such links the
+    shingle sets are compared exactly. Texts with equal fingerprints (320 bits
+    or more) share a class; those without words are one too. ``docs`` is also
+    counted, which Parquet answers from its footers.
     """
-    bits = 64 * words
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    limit = int(share * bits + slack * (bits * share * (1 - share)) ** 0.5)
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    fps = materialize(fingerprints(picked, shingle, words, width, distinct=True))
-    classes = fps.groupBy("fp", "keys").agg(F.min("doc_id").alias("id")).filter("id is not null")
-    loose = components(links(classes, limit, width, 1)).withColumnRenamed("node", "doc_id")
+    segments, width = tables(picked.count(), similarity, recall)
+    words, share = -(-segments * width // 64), bit_share(similarity)
+    limit, word_limit = (int(share * bits + sd * (bits * share * (1 - share)) ** 0.5) for bits, sd in ((64 * words, 3), (64, 4)))
+    fps = materialize(fingerprints(picked, shingle, words, distinct=True))
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"))
+    loose = components(links(classes, limit, segments, width, 1, word_limit)).withColumnRenamed("node", "doc_id")
     exact = components(_verified(picked.join(loose, "doc_id"), shingle, similarity))
     named = classes.join(exact, classes["id"] == exact["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "component_id")
