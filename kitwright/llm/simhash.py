@@ -22,6 +22,7 @@ null id are never linked to others. Extra columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -111,22 +112,23 @@ def near(fps: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
                 yield from zip(repeat(root), found)
 
 
-def links(classes: DataFrame, limit: int, segments: int, width: int, radius: int, word_limit: int) -> DataFrame:
+def links(classes: DataFrame, limit: int, segments: int, width: int, radius: int, head: int, head_limit: int) -> DataFrame:
     """Links (a, b) that join what is at most ``limit`` bits apart and meets in a table.
 
     ``classes`` has ``id`` and ``fp``. With (radius + 1) * segments over
     ``limit`` nothing is missed; with fewer a share that shrinks with the
     number of segments is. A probe goes on only if its bucket holds another
-    fingerprint whose first word is at most ``word_limit`` bits from its own,
-    so what meets by chance costs a comparison and no row.
+    fingerprint whose first ``head`` words are at most ``head_limit`` bits from
+    its own, so what meets by chance costs a comparison and no row.
     """
     if radius not in (0, 1):
         raise ValueError("balls of radius 0 or 1 are enumerated")
-    base = classes.select(F.explode(buckets(segments, width)).alias("bucket"), "id", F.col("fp")[0].alias("word"))
+    base = classes.select(F.explode(buckets(segments, width)).alias("bucket"), "id", *[F.col("fp")[i].alias(f"word{i}") for i in range(head)])
     ball = F.explode(F.array(*[F.lit(b).cast("long") for b in (0, *[1 << i for i in range(width if radius else 0)])]))
-    probes = base.withColumn("bit", ball).filter("(bucket & bit) = 0").select(F.expr("bucket | bit").alias("bucket"), "id", "word")
-    table = base.toDF("table_bucket", "table_id", "table_word")
-    met = (F.col("bucket") == F.col("table_bucket")) & (F.col("id") != F.col("table_id")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("table_word"))) <= word_limit)
+    probes = base.withColumn("bit", ball).filter("(bucket & bit) = 0").select(F.expr("bucket | bit").alias("bucket"), *base.columns[1:])
+    table = base.toDF(*[f"table_{c}" for c in base.columns])
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"word{i}").bitwiseXOR(F.col(f"table_word{i}"))) for i in range(head)])
+    met = (F.col("bucket") == F.col("table_bucket")) & (F.col("id") != F.col("table_id")) & (apart <= head_limit)
     hits = materialize(probes.join(table, met, "left_semi").select("bucket", F.col("id").alias("hit")))
     entries = materialize(base.select("bucket", "id").join(hits.select("bucket").distinct(), "bucket", "left_semi").union(hits).distinct())
     dealt = block_pairs(entries, ["bucket"], "id", BLOCK_ROWS).join(classes.select("id", "fp"), "id")
@@ -165,7 +167,7 @@ def groups(docs: DataFrame, shingle: int = 3, segments: int = 2, width: int = 32
     """By 64-bit fingerprints: ``doc_id``, ``fp`` (an array of one long), ``component_id`` (smallest id reachable) for each document."""
     fps = materialize(fingerprints(docs, shingle, 1, id_column, text_column))
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"))
-    found = components(links(classes, limit, segments, width, radius, limit))
+    found = components(links(classes, limit, segments, width, radius, 1, limit))
     named = classes.join(found, classes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -194,8 +196,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
 
     Fingerprints of the distinct shingles propose, exact similarities decide.
     The distance looked for is the share of bits in which pairs of that
-    similarity differ plus three standard deviations (four for the single
-    word that a probe compares). Within the components of such links the
+    similarity differ plus three standard deviations (four for the two words
+    that a probe compares). Within the components of such links the
     shingle sets are compared exactly. Texts with equal fingerprints (320 bits
     or more) share a class; those without words are one too. ``docs`` is also
     counted, which Parquet answers from its footers.
@@ -203,10 +205,10 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     segments, width = tables(picked.count(), similarity, recall)
     words, share = -(-segments * width // 64), bit_share(similarity)
-    limit, word_limit = (int(share * bits + sd * (bits * share * (1 - share)) ** 0.5) for bits, sd in ((64 * words, 3), (64, 4)))
+    limit, head_limit = (int(share * bits + sd * (bits * share * (1 - share)) ** 0.5) for bits, sd in ((64 * words, 3), (128, 4)))
     fps = materialize(fingerprints(picked, shingle, words, distinct=True))
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"))
-    loose = components(links(classes, limit, segments, width, 1, word_limit)).withColumnRenamed("node", "doc_id")
+    loose = components(links(classes, limit, segments, width, 1, 2, head_limit)).withColumnRenamed("node", "doc_id")
     exact = components(_verified(picked.join(loose, "doc_id"), shingle, similarity))
     named = classes.join(exact, classes["id"] == exact["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "component_id")
