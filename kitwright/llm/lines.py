@@ -7,11 +7,15 @@ template with all its tokens there is one for each stretch left open. So lines
 that differ in one variable field share a template of at least two thirds of
 their tokens.
 
-A template recurs if it stands in ``LEAST_TEXTS`` or more unrelated documents.
-Documents are unrelated if their sketches (the smallest hash of their five-word
-shingles) differ: copies and near copies of one document, which share all their
-lines, are not taken for boilerplate but left to document deduplication. At
-least half of the documents of a template must be unrelated.
+A template recurs if it stands in ``LEAST_TEXTS`` or more unrelated documents,
+however many copies of them there are. Documents are unrelated if their sketches
+differ. Lines with a template in ``LEAST_TEXTS`` documents are candidates; where
+over ``OWN_SHARE`` of a document's tokens stand in other lines, the sketch is
+the smallest hash of these, so shared boilerplate does not make documents alike.
+The others are copies and near copies, which share nearly all their lines: their
+sketch is the smallest hash of the candidate templates, so what a near copy
+alone holds does not set it apart (a large group has a few sketches, about the
+logarithm of its size). They are left to document deduplication.
 
 Of a recurring template the first line (smallest id, then position) stays, the
 others are dropped.
@@ -33,9 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kitwright.llm.common import batch, materialize
-from kitwright.llm.simhash import shingle_hashes
 
 LEAST_TEXTS, LEADING, LEAST_TOKENS, GENERAL_TOKENS = 8, 2, 3, 9
+#: Share of a document's tokens in lines of its own beyond which it is no near copy.
+OWN_SHARE = 0.2
 FIELD = "<*>"
 
 
@@ -56,41 +61,60 @@ def templates(line: str) -> list[int]:
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
-    """One row for each line with a template: ``id``, ``line`` (its position), ``sketch``, ``keys``."""
-    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("sketch", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """One row for each line with a token: ``id``, ``line`` (its position), ``tokens``, ``own`` (its hash), ``keys``, and ``fresh``, the bits of the keys that no earlier line of the text has."""
+    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("tokens", pa.int32()), ("own", pa.int64()), ("fresh", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = [(k, t) for k, line in enumerate((text or "").split("\n")) if (t := templates(line))]
-                if found:
-                    sketch = int(shingle_hashes(text, 5).min().view(np.int64))
-                    out += [(id_, k, sketch, np.array(t, dtype=np.uint64).view(np.int64)) for k, t in found]
-            yield batch(schema, list(zip(*out, strict=True)) if out else [[]] * 4)
+                seen: set[int] = set()
+                for k, line in enumerate((text or "").split("\n")):
+                    if tokens := len(line.split()):
+                        keys = templates(line)
+                        fresh = sum(1 << i for i, key in enumerate(keys) if key not in seen)
+                        seen.update(keys)
+                        own, *signed = np.array([xxhash.xxh64_intdigest(line), *keys], dtype=np.uint64).view(np.int64).tolist()
+                        out.append((id_, k, tokens, own, fresh, signed))
+            yield batch(schema, list(zip(*out, strict=True)) if out else [[]] * 6)
 
-    return docs.mapInArrow(run, "id long, line int, sketch long, keys array<long>")
+    return docs.mapInArrow(run, "id long, line int, tokens int, own long, fresh int, keys array<long>")
 
 
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_texts: int = LEAST_TEXTS) -> DataFrame:
     """``id`` and ``lines``, the positions of the lines that go, for each text that loses some."""
     picked = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter("id is not null")
-    lines = materialize(_parsed(picked)).select("id", "line", "sketch", F.explode("keys").alias("key"))
-    often = lines.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts).select("key")
-    # From lines to documents to sketches to templates: each step sums before it shuffles.
+    parsed = materialize(_parsed(picked))
+    lines = parsed.select("id", "line", "fresh", F.posexplode("keys").alias("k", "key")).select("id", "line", "key", F.expr("shiftright(fresh, k) & 1 = 1").alias("fresh"))
+    often = lines.filter("fresh").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts).select("key")
+    candidates = materialize(lines.join(often, "key", "left_semi"))
+    shared = candidates.groupBy("id", "line").agg(F.min(F.xxhash64("key")).alias("shared"))
+    sketches = (
+        parsed.select("id", "line", "tokens", "own")
+        .join(shared, ["id", "line"], "left")
+        .groupBy("id")
+        .agg(
+            F.sum("tokens").alias("tokens"),
+            F.sum(F.when(F.col("shared").isNull(), F.col("tokens")).otherwise(0)).alias("own_tokens"),
+            F.min(F.when(F.col("shared").isNull(), F.col("own"))).alias("own"),
+            F.min("shared").alias("shared"),
+        )
+        .filter("shared is not null")
+        .select("id", F.when(F.col("own_tokens") > OWN_SHARE * F.col("tokens"), F.col("own")).otherwise(F.col("shared")).alias("sketch"))
+    )
+    # From documents to sketches to templates: each step sums before it shuffles.
     recurring = (
-        lines.join(often, "key", "left_semi")
-        .groupBy("key", "sketch", "id")
-        .agg(F.min("line").alias("line"))
+        candidates.filter("fresh")
+        .join(sketches, "id")
         .groupBy("key", "sketch")
-        .agg(F.count("*").alias("n"), F.min(F.struct("id", "line")).alias("first"))
+        .agg(F.min(F.struct("id", "line")).alias("first"))
         .groupBy("key")
-        .agg(F.count("*").alias("unrelated"), F.sum("n").alias("n"), F.min("first").alias("first"))
-        .filter((F.col("unrelated") >= least_texts) & (2 * F.col("unrelated") >= F.col("n")))
+        .agg(F.count("*").alias("unrelated"), F.min("first").alias("first"))
+        .filter(F.col("unrelated") >= least_texts)
         .select("key", "first")
     )
     return (
-        lines.join(materialize(recurring), "key")
+        candidates.join(materialize(recurring), "key")
         .filter((F.col("id") != F.col("first.id")) | (F.col("line") != F.col("first.line")))
         .groupBy("id")
         .agg(F.collect_set("line").alias("lines"))  # bounded by a text's lines

@@ -218,6 +218,24 @@ def test_line_templates(spark):
     assert all(got[i].text.count("\n") == 3 for i in range(20, 32)) and got[32].text is None and got[33].text == ""
 
 
+def test_copies_and_boilerplate_switch_no_template_off(spark):
+    rng = random.Random(10)
+    text = lambda n: ["".join(rng.choice("bdfgklmnrst ") + rng.choice("aeiou") for _ in range(70)) for _ in range(n)]
+    footer = text(6)
+    heavy = ["\n".join([*text(3), *footer]) for _ in range(12)]  # most of each is the footer
+    light = ["\n".join([*text(9), footer[0]]) for _ in range(20)]
+    copied = [*text(11), footer[0]]
+    near = []
+    for _ in range(150):
+        w = copied[k := rng.randrange(11)].split()
+        w[rng.randrange(len(w))] = text(1)[0].split()[0] + "edited"
+        near.append("\n".join([*copied[:k], " ".join(w), *copied[k + 1 :]]))
+    rows = [*heavy, *light, *["\n".join(copied)] * 100, *near]
+    got = {r.doc_id: r for r in lines.drop_templates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got[0].n_dropped == 0
+    assert all(got[i].n_dropped == (6 if i < 12 else 1) and footer[0] not in got[i].text for i in range(1, len(rows)))
+
+
 def test_sharding_law_and_mixture(spark):
     rows = spark.range(2011).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "big").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
     got = sharding.interleave(rows, 40, "x").collect()
