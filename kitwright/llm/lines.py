@@ -1,11 +1,13 @@
 """Line deduplication with a log-template tree.
 
 A line's way down the tree is its token count, then its leading tokens; a
-token with a digit is a variable field. At the leaf, lines of one shape are
-generalised: the rest of the line is cut into three stretches, and besides the
-template with all its tokens there is one for each stretch left open. So lines
-that differ in one variable field share a template of at least two thirds of
-their tokens.
+token with a digit is a variable field. At
+the leaf, lines of one shape are generalised: the rest of the line is cut into
+up to four stretches, and besides the template with all its tokens there is one
+for each two stretches left open, or each one in lines of under six tokens. So
+lines that differ in any two word fields (one in a line of three to five tokens)
+share a template. It keeps at least half of the tokens; where digits leave fewer
+than that in a line of nine or more, one third is open.
 
 A template recurs if it stands in ``LEAST_TEXTS`` or more unrelated documents,
 however many copies of them there are. Documents are unrelated if their sketches
@@ -21,14 +23,16 @@ Of a recurring template the first line (smallest id, then position) stays, the
 others are dropped.
 
 Defined results: null or empty texts have no lines that can be dropped; lines
-of under three tokens, or with fewer fixed than variable tokens, have no
-template and stay; a text whose lines are all dropped becomes ''. Ids are
-expected to be unique. Extra columns are kept.
+of under three tokens have no template and stay; those with more variable than
+fixed tokens have only the template of all their tokens as they stand; a text
+whose lines are all dropped becomes ''. Ids are expected to be unique. Extra
+columns are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,26 +42,40 @@ from pyspark.sql import functions as F
 
 from kitwright.llm.common import batch, materialize
 
-LEAST_TEXTS, LEADING, LEAST_TOKENS, GENERAL_TOKENS = 8, 2, 3, 9
+LEAST_TEXTS, LEADING, LEAST_TOKENS, GENERAL_TOKENS, PARTS, PAIR_TOKENS = 8, 2, 3, 9, 4, 6
 #: Share of a document's tokens in lines of its own beyond which it is no near copy.
 OWN_SHARE = 0.2
-FIELD = "<*>"
+FIELD, OPEN = "<*>", "<+>"
 
 
 def templates(line: str) -> list[int]:
     """Names of the line's templates, the full one first; none for a line without one."""
-    tokens = line.split()
-    n = len(tokens)
+    raw = line.split()
+    n = len(raw)
     if n < LEAST_TOKENS:
         return []
-    tokens = [t if t.isalpha() or not any(map(str.isdigit, t)) else FIELD for t in tokens]
+    tokens = [t if t.isalpha() or not any(map(str.isdigit, t)) else FIELD for t in raw]
     if 2 * tokens.count(FIELD) > n:
-        return []
-    shapes = [" ".join(tokens)]
-    if n >= GENERAL_TOKENS:
-        cuts = [LEADING + (n - LEADING) * k // 3 for k in range(4)]
-        shapes += [" ".join([*tokens[:a], FIELD + "+", *tokens[b:]]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [xxhash.xxh64_intdigest(f"{n} {s}") for s in shapes]
+        return [xxhash.xxh64_intdigest(f"{n} {' '.join(raw)}")]
+    parts = min(n - LEADING, PARTS)
+    cuts = [LEADING + (n - LEADING) * k // parts for k in range(parts + 1)]
+    thirds = [LEADING + (n - LEADING) * k // 3 for k in range(4)]
+    shapes = [tokens]
+    # Under PAIR_TOKENS tokens two open stretches would leave too few to go by.
+    for opened in combinations(range(parts), min(parts, 2 if n >= PAIR_TOKENS else 1)):
+        shape = _opened(tokens, [(cuts[k], cuts[k + 1]) for k in opened])
+        if 2 * sum(t not in (FIELD, OPEN) for t in shape) >= n:
+            shapes.append(shape)
+        elif n >= GENERAL_TOKENS and opened[1] == opened[0] + 1:  # where fields abound, the third within it
+            shapes.append(_opened(tokens, [(thirds[opened[0]], thirds[opened[1]])]))
+    return [xxhash.xxh64_intdigest(f"{n} {' '.join(s)}") for s in shapes]
+
+
+def _opened(tokens: list[str], stretches: list[tuple[int, int]]) -> list[str]:
+    out = list(tokens)
+    for a, b in stretches:
+        out[a:b] = [OPEN] * (b - a)
+    return out
 
 
 def _parsed(docs: DataFrame) -> DataFrame:

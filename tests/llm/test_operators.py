@@ -236,6 +236,19 @@ def test_copies_and_boilerplate_switch_no_template_off(spark):
     assert all(got[i].n_dropped == (6 if i < 12 else 1) and footer[0] not in got[i].text for i in range(1, len(rows)))
 
 
+def test_short_lines_digits_and_two_fields_have_templates(spark):
+    rng = random.Random(11)
+    name = lambda: "".join(rng.choice("bdfgklmnrst") + rng.choice("aeiou") for _ in range(5))
+    rows = []
+    for _ in range(20):
+        own = [" ".join(name() for _ in range(12)) for _ in range(4)]
+        same = ["Read more here", "Tel 030 1234 5678", f"Posted by {name()}", f"Sent from the {name()} office near the {name()} station to all members"]
+        rows.append("\n".join(x for pair in zip(own, same, strict=True) for x in pair))
+    got = lines.drop_templates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    for r in got:
+        assert r.text == (rows[0] if r.doc_id == 0 else "\n".join(rows[r.doc_id].split("\n")[::2]))
+
+
 def test_sharding_law_and_mixture(spark):
     rows = spark.range(2011).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "big").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
     got = sharding.interleave(rows, 40, "x").collect()
