@@ -36,6 +36,9 @@ from kitwright.llm.linking import block_pairs, components
 
 #: Seed of a shingle's XXH64, rows of a block of a bucket, and shingles counted at a time.
 SEED, BLOCK_ROWS, CHUNK = 42, 2048, 8192
+#: Texts of up to that many distinct shingles are also compared exactly wherever they share a rare enough shingle.
+#: Pairs beyond have 33 shingles or more each, where the share of differing bits is at most ``EXCESS`` times the formula's.
+SHORT, EXCESS = 40, 1.04
 #: Odd constants that mix a hash to further words: multiples of the golden ratio's 64-bit fraction.
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -186,44 +189,69 @@ def tables(rows: int, similarity: float, recall: float) -> tuple[int, int]:
     some segment.
     """
     width = max(20, int(np.ceil(np.log2(max(rows, 1) / 16))))
-    same = 1 - bit_share(similarity)
+    same = 1 - EXCESS * bit_share(similarity)
     meet = same**width + width * (1 - same) * same ** (width - 1)
     return int(np.ceil(np.log(1 - recall) / np.log(1 - meet))), width
 
 
-def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.999, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Groups by the Jaccard similarity of shingle sets: ``doc_id``, ``component_id``.
 
     Fingerprints of the distinct shingles propose, exact similarities decide.
     The distance looked for is the share of bits in which pairs of that
-    similarity differ plus three standard deviations (four for the two words
-    that a probe compares). Within the components of such links the
+    similarity differ plus four standard deviations. That share is higher and
+    uneven for few shingles, so pairs of texts of up to ``SHORT`` shingles are
+    found exactly besides: of two sets that similar, the lowest
+    ``n - ceil(similarity * n) + 1`` hashes of each have one in common. Within the components of such links the
     shingle sets are compared exactly. Texts with equal fingerprints (320 bits
     or more) share a class; those without words are one too. ``docs`` is also
     counted, which Parquet answers from its footers.
     """
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     segments, width = tables(picked.count(), similarity, recall)
-    words, share = -(-segments * width // 64), bit_share(similarity)
-    limit, head_limit = (int(share * bits + sd * (bits * share * (1 - share)) ** 0.5) for bits, sd in ((64 * words, 3), (128, 4)))
+    words, share = -(-segments * width // 64), EXCESS * bit_share(similarity)
+    limit, head_limit = (int(share * bits + sd * (bits * share * (1 - share)) ** 0.5) for bits, sd in ((64 * words, 4), (128, 4)))
     fps = materialize(fingerprints(picked, shingle, words, distinct=True))
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"))
     loose = components(links(classes, limit, segments, width, 1, 2, head_limit)).withColumnRenamed("node", "doc_id")
-    exact = components(_verified(picked.join(loose, "doc_id"), shingle, similarity))
+    short = _short(picked.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), shingle, similarity)
+    exact = components(_verified(picked.join(loose, "doc_id"), shingle, similarity).unionByName(_compared(short, similarity)))
     named = classes.join(exact, classes["id"] == exact["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "component_id")
 
 
+SETS = pa.schema([("component", pa.int64()), ("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+SETS_SQL = "component long, id long, shingles array<long>"
+
+
 def _verified(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) spanning, within each ``component``, what is ``similarity`` or more alike."""
-    sets = pa.schema([("component", pa.int64()), ("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(sets, [b.column(0), b.column(1), [np.unique(shingle_hashes(t, shingle).view(np.int64)) for t in b.column(2).to_pylist()]])
+            yield batch(SETS, [b.column(0), b.column(1), [np.unique(shingle_hashes(t, shingle).view(np.int64)) for t in b.column(2).to_pylist()]])
+
+    return _compared(docs.select("component", F.col("doc_id").alias("id"), "text").mapInArrow(hashed, SETS_SQL), similarity)
+
+
+def _short(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``component`` (a hash of the prefix), ``id``, ``shingles``: texts of up to ``SHORT`` shingles under each hash by which a similar one finds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = np.unique(shingle_hashes(text, shingle).view(np.int64))
+                if 0 < len(own) <= SHORT:
+                    least = int(np.ceil(similarity * len(own) - 1e-9))
+                    out += [(int(h), id_, own) for h in own[: len(own) - least + 1]]
+            yield batch(SETS, list(zip(*out, strict=True)) if out else [[]] * 3)
+
+    return docs.select("doc_id", "text").mapInArrow(run, SETS_SQL)
+
 
-    members = materialize(docs.select("component", F.col("doc_id").alias("id"), "text").mapInArrow(hashed, "component long, id long, shingles array<long>"))
-    dealt = block_pairs(members.select("component", "id"), ["component"], "id", BLOCK_ROWS // 4).join(members.select("id", "shingles"), "id")
+def _compared(sets: DataFrame, similarity: float) -> DataFrame:
+    members = materialize(sets)
+    dealt = block_pairs(members.select("component", "id"), ["component"], "id", BLOCK_ROWS // 4).join(members, ["component", "id"])
     jobs = dealt.groupBy("component", "block_a", "block_b").agg(F.collect_list(F.struct("id", "shingles")).alias("m")).select("m.id", "m.shingles")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 

@@ -94,6 +94,20 @@ def test_near_copies_by_jaccard(docs, texts):
     assert len(set(want.values())) < len(want) - 8
 
 
+def test_short_near_copies_are_all_found(spark):
+    """Eight words and the same with a ninth: similarity 0.8 exactly."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(300):
+        w = words(rng, 9, 100_000)
+        rows += [" ".join(w[:8]), " ".join(w)]
+    got = {r.doc_id: r.component_id for r in simhash.jaccard_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(600)}
+    same = 1 - simhash.bit_share(0.8)
+    segments, width = simhash.tables(10_000, 0.8, 0.999)
+    assert (1 - same**width - width * (1 - same) * same ** (width - 1)) ** segments <= 0.001
+
+
 def test_substrings_brute_force(docs, texts):
     split = {i: (t or "").encode().split() for i, t in texts}
     first = {}
