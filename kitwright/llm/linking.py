@@ -35,6 +35,44 @@ def block_pairs(members: DataFrame, keys: list[str], member: str, block_rows: in
     )
 
 
+def group_pairs(members: DataFrame, keys: list[str], member: str, group: str, weight: str, block_weight: int) -> DataFrame:
+    """Deals the members of each bucket to jobs that together hold every two of different groups.
+
+    ``members`` has the ``keys``, a ``member`` id, the ``group`` (a long) of
+    members that are known to belong together, and a ``weight``. Buckets of one
+    group are left out. A group above half of ``block_weight`` has blocks of its
+    own, which are never paired with each other, so the members of one large
+    group meet the few others of their bucket and are repeated once for each
+    block of those. Returns the rows with ``block_a`` and ``block_b``.
+    """
+    own = F.when(F.col("_weight") > block_weight / 2, F.ceil(F.col("_weight") / block_weight)).otherwise(0).cast("int")
+    sums = members.groupBy(*keys, group).agg(F.sum(weight).alias("_weight")).withColumn("_own", own)
+    blocks = materialize(  # of buckets with work
+        sums.groupBy(*keys)
+        .agg(
+            F.count("*").alias("_groups"),
+            F.ceil(F.sum(F.when(F.col("_own") == 0, F.col("_weight"))) / block_weight).cast("int").alias("_mixed"),
+            F.collect_list(F.when(F.col("_own") > 0, F.struct(F.col(group).alias("g"), F.col("_own").alias("n")))).alias("_large"),  # 2 weights / block_weight at most
+        )
+        .filter("_groups > 1")
+        .drop("_groups")
+    )
+    mine = F.get(F.filter("_large", lambda x: x["g"] == F.col(group)), F.lit(0))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    spread = lambda n: F.pmod(F.xxhash64(member, F.lit(17)), n)
+    mixed = F.coalesce(F.greatest("_mixed", F.lit(1)), F.lit(0))
+    others = F.flatten(F.transform(F.filter("_large", lambda x: x["g"] != F.col(group)), lambda x: F.transform(numbers(x["n"]), lambda k: F.xxhash64(x["g"], k))))
+    others = F.concat(others, F.transform(numbers(mixed), lambda k: k.cast("long")))
+    return (
+        members.join(blocks, keys)
+        .withColumn("block", F.when(mine.isNotNull(), F.xxhash64(group, spread(mine["n"]).cast("int"))).otherwise(spread(mixed)))
+        .withColumn("_other", F.explode(others))
+        .withColumn("block_a", F.least("block", "_other"))
+        .withColumn("block_b", F.greatest("block", "_other"))
+        .drop("_mixed", "_large", "_other", "block")
+    )
+
+
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """``(node, component)`` for every node of ``links`` (a, b): the smallest node it can reach.
 

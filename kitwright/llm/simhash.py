@@ -10,13 +10,16 @@ verified over the complete distance. Of two segments one bit apart only the one
 that lacks the bit probes, which finds the pair and halves the probes.
 
 Equal fingerprints are one class with one entry, so copies cost nothing more.
-Buckets are handled by :mod:`kitwright.llm.linking`: in bounded blocks, with
-output linear in their members.
+Near copies are joined to the smallest id they meet first, one comparison each;
+what is left to compare in a bucket is dealt by :mod:`kitwright.llm.linking` in
+bounded blocks, with output linear in their members.
 
 Defined results: a null or empty text has no words and the fingerprint zero,
 and is linked like any other; texts of fewer words than a shingle have one
 shingle, the whole sequence; texts of any length are taken whole; rows with a
-null id are never linked to others. Extra columns of the input are ignored.
+null id have the group of their fingerprint's other rows, or none; rows that
+repeat an id are one document, linked by any of their texts; an empty table
+gives an empty table. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kitwright.llm.common import batch, materialize
-from kitwright.llm.linking import block_pairs, components
+from kitwright.llm.linking import components, group_pairs
 
-#: Seed of a shingle's XXH64, rows of a block of a bucket, and shingles counted at a time.
-SEED, BLOCK_ROWS, CHUNK = 42, 2048, 8192
+#: Seed of a shingle's XXH64, rows of a block of a bucket, shingles of a block of sets, shingles counted at a time, and members beyond which a component is a crowd.
+SEED, BLOCK_ROWS, BLOCK_SHINGLES, CHUNK, CROWD = 42, 2048, 1 << 18, 8192, 64
 #: Texts of up to that many distinct shingles are also compared exactly wherever they share a rare enough shingle.
 #: Pairs beyond have 33 shingles or more each, where the share of differing bits is at most ``EXCESS`` times the formula's.
 SHORT, EXCESS = 40, 1.04
@@ -72,21 +75,22 @@ def fingerprint_bits(hashes: np.ndarray, words: int) -> np.ndarray:
     return (2 * counts > len(hashes)).astype(np.uint8)
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int, id_column: str = "doc_id", text_column: str = "text", distinct: bool = False) -> DataFrame:
-    """``doc_id`` and ``fp`` (``words`` longs), of all or of ``distinct`` shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.list_(pa.int64()))])
+def fingerprints(docs: DataFrame, shingle: int, words: int, id_column: str = "doc_id", text_column: str = "text", distinct: bool = False, short: int = 0) -> DataFrame:
+    """``doc_id``, ``fp`` (``words`` longs), of all or of ``distinct`` shingles, and ``few``: the sorted hashes of texts with ``short`` distinct shingles or fewer."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.list_(pa.int64())), ("few", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = []
+            fps, few = [], []
             for text in b.column(1).to_pylist():
                 hashes = shingle_hashes(text, shingle)
-                bits = fingerprint_bits(np.unique(hashes) if distinct else hashes, words)
-                fps.append(np.packbits(bits, bitorder="little").view("<i8"))
-            yield batch(schema, [b.column(0), fps])
+                own = np.unique(hashes.view(np.int64)) if distinct or len(hashes) <= short else hashes
+                fps.append(np.packbits(fingerprint_bits(own.view(np.uint64) if distinct else hashes, words), bitorder="little").view("<i8"))
+                few.append(own if short and len(own) <= short else None)
+            yield batch(schema, [b.column(0), fps, few])
 
     picked = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text")
-    return picked.mapInArrow(run, "doc_id long, fp array<long>")
+    return picked.mapInArrow(run, "doc_id long, fp array<long>, few array<long>")
 
 
 def buckets(segments: int, width: int) -> Column:
@@ -101,18 +105,35 @@ def buckets(segments: int, width: int) -> Column:
     return F.array(*out)
 
 
-def near(fps: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Spanning links (root, member) of the graph of rows at most ``limit`` bits apart."""
+def near(fps: np.ndarray, known: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Spanning links (root, member) of the graph of rows at most ``limit`` bits apart, where rows of one ``known`` group are linked already."""
     left = np.arange(len(fps))
     while len(left) > 1:
         root, left = left[0], left[1:]
         frontier = [root]
         while frontier and len(left):
-            close = np.bitwise_count(fps[left] ^ fps[frontier.pop()]).sum(axis=1, dtype=np.int64) <= limit
+            one = frontier.pop()
+            own = known[left] == known[one]
+            close = own | (np.bitwise_count(fps[left] ^ fps[one]).sum(axis=1, dtype=np.int64) <= limit)
             if close.any():
-                found, left = left[close], left[~close]
-                frontier.extend(found)
-                yield from zip(repeat(root), found)
+                frontier.extend(left[close])
+                yield from zip(repeat(root), left[close & ~own])
+                left = left[~close]
+
+
+def _bits_apart(a: str, b: str, words: int) -> Column:
+    return reduce(Column.__add__, [F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(words)])
+
+
+def _leads(base: DataFrame, classes: DataFrame, limit: int, head: int, head_limit: int) -> DataFrame:
+    """Links (a, b) of each class to the smallest id of a bucket, where they are at most ``limit`` bits apart."""
+    leads = base.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lead"), *[F.min_by(f"word{i}", "id").alias(f"lead{i}") for i in range(head)])
+    # Written, so that a bucket of many members can be split where it is joined.
+    met = base.join(materialize(leads.filter("n > 1").drop("n")), "bucket").filter((F.col("id") != F.col("lead")) & (_bits_apart("word", "lead", head) <= head_limit))
+    fps = classes.select("id", "fp")
+    pairs = met.select("id", "lead").distinct().join(fps, "id").join(fps.toDF("lead", "lead_fp"), "lead")
+    apart = F.aggregate(F.zip_with("fp", "lead_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return pairs.filter(apart <= limit).select(F.col("id").alias("a"), F.col("lead").alias("b"))
 
 
 def links(classes: DataFrame, limit: int, segments: int, width: int, radius: int, head: int, head_limit: int) -> DataFrame:
@@ -120,30 +141,48 @@ def links(classes: DataFrame, limit: int, segments: int, width: int, radius: int
 
     ``classes`` has ``id`` and ``fp``. With (radius + 1) * segments over
     ``limit`` nothing is missed; with fewer a share that shrinks with the
-    number of segments is. A probe goes on only if its bucket holds another
-    fingerprint whose first ``head`` words are at most ``head_limit`` bits from
-    its own, so what meets by chance costs a comparison and no row.
+    number of segments is.
+
+    First the members of each bucket are compared with its smallest id. What
+    that joins is one component, and no two of its members are looked at again:
+    a probe goes on only if its bucket holds a fingerprint of another component
+    whose first ``head`` words are at most ``head_limit`` bits from its own. So
+    a dense group costs a comparison for each member and table, and what meets
+    by chance costs a comparison and no row.
     """
     if radius not in (0, 1):
         raise ValueError("balls of radius 0 or 1 are enumerated")
-    base = classes.select(F.explode(buckets(segments, width)).alias("bucket"), "id", *[F.col("fp")[i].alias(f"word{i}") for i in range(head)])
+    words = [F.col("fp")[i].alias(f"word{i}") for i in range(head)]
+    base = classes.select(F.explode(buckets(segments, width)).alias("bucket"), "id", *words)
+    star = materialize(_leads(base, classes, limit, head, head_limit))
+    known = components(star)
+    crowds = known.groupBy("component").agg((F.count("*") > CROWD).alias("crowd"))
+    labels = known.join(crowds, "component").select(F.col("node").alias("id"), F.col("component"), "crowd")
+    classes = materialize(classes.join(labels, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component"), F.coalesce("crowd", F.lit(False)).alias("crowd")))
+    base = classes.select(F.explode(buckets(segments, width)).alias("bucket"), "id", "component", *words, "crowd")
     ball = F.explode(F.array(*[F.lit(b).cast("long") for b in (0, *[1 << i for i in range(width if radius else 0)])]))
-    probes = base.withColumn("bit", ball).filter("(bucket & bit) = 0").select(F.expr("bucket | bit").alias("bucket"), *base.columns[1:])
-    table = base.toDF(*[f"table_{c}" for c in base.columns])
-    apart = reduce(Column.__add__, [F.bit_count(F.col(f"word{i}").bitwiseXOR(F.col(f"table_word{i}"))) for i in range(head)])
-    met = (F.col("bucket") == F.col("table_bucket")) & (F.col("id") != F.col("table_id")) & (apart <= head_limit)
-    hits = materialize(probes.join(table, met, "left_semi").select("bucket", F.col("id").alias("hit")))
-    entries = materialize(base.select("bucket", "id").join(hits.select("bucket").distinct(), "bucket", "left_semi").union(hits).distinct())
-    dealt = block_pairs(entries, ["bucket"], "id", BLOCK_ROWS).join(classes.select("id", "fp"), "id")
+    probes = base.withColumn("bit", ball).filter("(bucket & bit) = 0").select(F.expr("bucket | bit").alias("bucket"), "id", "component", *[f"word{i}" for i in range(head)])
+    # A crowd stands in a table as one entry a bucket, which all others meet; the next step compares them with its members.
+    entry = ["bucket", "component", *[f"word{i}" for i in range(head)]]
+    many = base.filter("crowd").select("bucket", "component", *[F.lit(None).cast("long").alias(f"word{i}") for i in range(head)]).distinct()
+    table = base.filter("not crowd").select(*entry).unionByName(many).toDF(*[f"table_{c}" for c in entry])
+    other = (F.col("bucket") == F.col("table_bucket")) & (F.col("component") != F.col("table_component"))
+    close = _bits_apart("word", "table_word", head) <= head_limit
+    hits = materialize(probes.join(table, other & (F.col("table_word0").isNull() | close), "left_semi"))
+    if not crowds.filter("crowd").isEmpty():
+        hits = materialize(hits.join(base.select(*entry).toDF(*[f"table_{c}" for c in entry]), other & close, "left_semi"))
+    hits = hits.select("bucket", "id", "component")
+    entries = materialize(base.select("bucket", "id", "component").join(hits.select("bucket").distinct(), "bucket", "left_semi").union(hits).distinct().withColumn("one", F.lit(1)))
+    dealt = group_pairs(entries, ["bucket"], "id", "component", "one", BLOCK_ROWS).join(classes.select("id", "fp"), "id")
     # Two blocks of bounded size a group.
-    jobs = dealt.groupBy("bucket", "block_a", "block_b").agg(F.collect_list(F.struct("id", "fp")).alias("m")).select("m.id", "m.fp")
+    jobs = dealt.groupBy("bucket", "block_a", "block_b").agg(F.collect_list(F.struct("id", "component", "fp")).alias("m")).select("m.id", "m.component", "m.fp")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fps = b.column(0), b.column(1)
+            ids, fps = b.column(0), b.column(2)
             starts = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy()[starts[0] : starts[-1]]
+            flat, group = (b.column(c).values.to_numpy()[starts[0] : starts[-1]] for c in (0, 1))
             table = fps.flatten().flatten().to_numpy().view(np.uint64).reshape(len(flat), -1) if len(flat) else None
             starts = starts - starts[0]
             sizes = np.diff(starts)
@@ -156,14 +195,14 @@ def links(classes: DataFrame, limit: int, segments: int, width: int, radius: int
             for k in np.flatnonzero(sizes > 2):
                 # By id, so that the jobs of one group of copies mostly name the same roots.
                 own = starts[k] + np.argsort(flat[starts[k] : starts[k + 1]], kind="stable")
-                if found := list(near(table[own], limit)):
+                if found := list(near(table[own], group[own], limit)):
                     found = np.array(found)
                     out_a.append(flat[own][found[:, 0]])
                     out_b.append(flat[own][found[:, 1]])
             a, c = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
             yield batch(schema, [a, c])
 
-    return jobs.mapInArrow(run, "a long, b long")
+    return star.unionByName(jobs.mapInArrow(run, "a long, b long"))
 
 
 def groups(docs: DataFrame, shingle: int = 3, segments: int = 2, width: int = 32, radius: int = 1, limit: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -183,12 +222,12 @@ def bit_share(similarity: float) -> float:
 def tables(rows: int, similarity: float, recall: float) -> tuple[int, int]:
     """Number of segments and their width for ``rows`` fingerprints.
 
-    The width keeps chance meetings to 16 a bucket at any size (20 bits do up
-    to 16 million rows); the number of segments then follows from ``recall``,
+    The width keeps chance meetings to 16 a bucket at any size (16 bits do up
+    to a million rows); the number of segments then follows from ``recall``,
     the share of pairs of exactly ``similarity`` that agree up to one bit in
-    some segment.
+    some segment, which is so the same at every size.
     """
-    width = max(20, int(np.ceil(np.log2(max(rows, 1) / 16))))
+    width = max(16, int(np.ceil(np.log2(max(rows, 1) / 16))))
     same = 1 - EXCESS * bit_share(similarity)
     meet = same**width + width * (1 - same) * same ** (width - 1)
     return int(np.ceil(np.log(1 - recall) / np.log(1 - meet))), width
@@ -202,87 +241,99 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     similarity differ plus four standard deviations. That share is higher and
     uneven for few shingles, so pairs of texts of up to ``SHORT`` shingles are
     found exactly besides: of two sets that similar, the lowest
-    ``n - ceil(similarity * n) + 1`` hashes of each have one in common. Within the components of such links the
-    shingle sets are compared exactly. Texts with equal fingerprints (320 bits
-    or more) share a class; those without words are one too. ``docs`` is also
-    counted, which Parquet answers from its footers.
+    ``n - ceil(similarity * n) + 1`` hashes of each have one in common. Within
+    the components of the former links, and among those who share such a hash,
+    the shingle sets are compared exactly. Texts with equal fingerprints (320
+    bits or more) share a class; those without words are one too. ``docs`` is
+    also counted, which Parquet answers from its footers.
     """
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     segments, width = tables(picked.count(), similarity, recall)
     words, share = -(-segments * width // 64), EXCESS * bit_share(similarity)
     limit, head_limit = (int(share * bits + sd * (bits * share * (1 - share)) ** 0.5) for bits, sd in ((64 * words, 4), (128, 4)))
-    fps = materialize(fingerprints(picked, shingle, words, distinct=True))
+    fps = materialize(fingerprints(picked, shingle, words, distinct=True, short=SHORT))
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"))
     loose = components(links(classes, limit, segments, width, 1, 2, head_limit)).withColumnRenamed("node", "doc_id")
-    short = _short(picked.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), shingle, similarity)
-    exact = components(_verified(picked.join(loose, "doc_id"), shingle, similarity).unionByName(_compared(short, similarity)))
+    least = F.size("few") - F.ceil(F.size("few") * similarity - 1e-9) + 1
+    own = classes.select(F.col("id").alias("doc_id"), "fp")
+    short = fps.filter("size(few) > 0").join(own, ["doc_id", "fp"], "left_semi")
+    short = short.select(F.explode(F.slice("few", F.lit(1), least.cast("int"))).alias("key"), F.col("doc_id").alias("id"), F.col("few").alias("shingles"))
+    exact = components(_compared(_sets(picked.join(loose, "doc_id"), shingle).unionByName(short), similarity))
     named = classes.join(exact, classes["id"] == exact["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "component_id")
 
 
-SETS = pa.schema([("component", pa.int64()), ("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-SETS_SQL = "component long, id long, shingles array<long>"
-
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``key`` (the component), ``id`` and ``shingles``, the sorted hashes of the distinct shingles."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
-def _verified(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) spanning, within each ``component``, what is ``similarity`` or more alike."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(SETS, [b.column(0), b.column(1), [np.unique(shingle_hashes(t, shingle).view(np.int64)) for t in b.column(2).to_pylist()]])
+            yield batch(schema, [b.column(0), b.column(1), [np.unique(shingle_hashes(t, shingle).view(np.int64)) for t in b.column(2).to_pylist()]])
 
-    return _compared(docs.select("component", F.col("doc_id").alias("id"), "text").mapInArrow(hashed, SETS_SQL), similarity)
+    return docs.select("component", "doc_id", "text").mapInArrow(hashed, "key long, id long, shingles array<long>")
 
 
-def _short(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``component`` (a hash of the prefix), ``id``, ``shingles``: texts of up to ``SHORT`` shingles under each hash by which a similar one finds them."""
+def _compared(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) spanning, among the members of each ``key``, what is ``similarity`` or more alike.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each member is compared with the smallest id of its key first. Those it
+    joins are one group; then only members of different groups are compared.
+    """
+    members = materialize(sets)
+    firsts = members.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n > 1").select("key", "id")
+    first = members.join(firsts, ["key", "id"]).select("key", F.col("id").alias("first"), F.col("shingles").alias("of_first"))
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.unique(shingle_hashes(text, shingle).view(np.int64))
-                if 0 < len(own) <= SHORT:
-                    least = int(np.ceil(similarity * len(own) - 1e-9))
-                    out += [(int(h), id_, own) for h in own[: len(own) - least + 1]]
-            yield batch(SETS, list(zip(*out, strict=True)) if out else [[]] * 3)
-
-    return docs.select("doc_id", "text").mapInArrow(run, SETS_SQL)
-
-
-def _compared(sets: DataFrame, similarity: float) -> DataFrame:
-    members = materialize(sets)
-    dealt = block_pairs(members.select("component", "id"), ["component"], "id", BLOCK_ROWS // 4).join(members, ["component", "id"])
-    jobs = dealt.groupBy("component", "block_a", "block_b").agg(F.collect_list(F.struct("id", "shingles")).alias("m")).select("m.id", "m.shingles")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+            for k, (key, id_, other) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 2)), strict=True)):
+                if any(alike([np.asarray(b.column(c)[k].values) for c in (3, 4)], np.array([0, 1]), similarity)):
+                    out.append((key, id_, other))
+            yield batch(schema, list(zip(*out, strict=True)) if out else [[], [], []])
+
+    star = members.join(first, "key").filter("id <> first").select("key", "id", "first", "shingles", "of_first")
+    star = materialize(star.mapInArrow(with_first, "key long, a long, b long").distinct())
+    grouped = members.select("key", "id", F.size("shingles").alias("n")).join(star.select("key", F.col("a").alias("id"), "b"), ["key", "id"], "left")
+    grouped = grouped.select("key", "id", "n", F.coalesce("b", "id").alias("known"))
+    dealt = group_pairs(grouped, ["key"], "id", "known", "n", BLOCK_SHINGLES).drop("n").join(members, ["key", "id"])
+    jobs = dealt.groupBy("key", "block_a", "block_b").agg(F.collect_list(F.struct("id", "known", "shingles")).alias("m")).select("m.id", "m.known", "m.shingles")
+    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for k in range(b.num_rows):
-                ids = b.column(0)[k].values.to_numpy()
-                each = [np.asarray(s) for s in b.column(1)[k].values.to_numpy(zero_copy_only=False)]
-                out += [(ids[i], ids[j]) for i, j in alike(each, similarity)]
-            yield batch(schema, list(zip(*out, strict=True)) if out else [[], []])
+                ids, known = (b.column(c)[k].values.to_numpy() for c in (0, 1))
+                each = b.column(2)[k].values
+                each = np.split(each.flatten().to_numpy(), np.cumsum(each.value_lengths().to_numpy())[:-1])
+                out += [(ids[i], ids[j]) for i, j in alike(each, known, similarity)]
+            yield batch(pairs, list(zip(*out, strict=True)) if out else [[], []])
 
-    return jobs.mapInArrow(run, "a long, b long")
+    return star.select("a", "b").unionByName(jobs.mapInArrow(run, "a long, b long"))
 
 
-def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
-    """Spanning links (root, member) of the graph of sorted sets whose Jaccard similarity is ``similarity`` or more."""
+def alike(sets: list[np.ndarray], known: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Spanning links (root, member) of the graph of sorted sets whose Jaccard similarity is ``similarity`` or more, where sets of one ``known`` group are linked already."""
     left = np.arange(len(sets))
     sizes = np.array([len(s) for s in sets])
     while len(left) > 1:
         root, left = left[0], left[1:]
         frontier = [root]
         while frontier and len(left):
-            one = sets[frontier.pop()]
+            at = frontier.pop()
+            one = sets[at]
+            own = known[left] == known[at]
+            frontier.extend(left[own])
+            left = left[~own]
             # Sizes alone rule out most of the others.
             fits = left[(np.minimum(sizes[left], len(one)) >= similarity * np.maximum(sizes[left], len(one))) & (sizes[left] > 0)]
             if not len(fits) or not len(one):
                 continue
             every = np.concatenate([sets[i] for i in fits])
-            at = np.minimum(np.searchsorted(one, every), len(one) - 1)
-            shared = np.add.reduceat(one[at] == every, np.cumsum(sizes[fits]) - sizes[fits], dtype=np.int64)
+            place = np.minimum(np.searchsorted(one, every), len(one) - 1)
+            shared = np.add.reduceat(one[place] == every, np.cumsum(sizes[fits]) - sizes[fits], dtype=np.int64)
             found = fits[shared >= similarity * (sizes[fits] + len(one) - shared)]
             if len(found):
                 left = left[~np.isin(left, found)]
