@@ -1,13 +1,18 @@
 """Line deduplication with a log-template tree.
 
-A line's way down the tree is its token count, then its leading tokens; a
-token with a digit is a variable field. At
-the leaf, lines of one shape are generalised: the rest of the line is cut into
-up to four stretches, and besides the template with all its tokens there is one
-for each two stretches left open, or each one in lines of under six tokens. So
-lines that differ in any two word fields (one in a line of three to five tokens)
-share a template. It keeps at least half of the tokens; where digits leave fewer
-than that in a line of nine or more, one third is open.
+A line's way down the tree is its token count, then its ``LEADING`` first
+tokens; a token with a digit is a variable field. At the leaf, tokens are
+counted by position over the documents. A token that ``least_texts`` documents
+have at its position is part of a template, any other is a field; and a
+position with that many such or other tokens varies. Each line has at most two
+templates: one of all its frequent tokens, and one that leaves the varying
+positions open too. So "Posted by Alice in News" and "Posted by Bob in News"
+share a template, wherever and however many the fields are. A template keeps
+at least half of the line's tokens as words.
+
+Only lines at leaves that enough documents share are counted token by token.
+They are known by a bitmap of ``BITMAP`` bits, a bounded broadcast: where leaves
+share a bit, more lines are counted than need be, with the same result.
 
 A template recurs if it stands in ``LEAST_TEXTS`` or more unrelated documents,
 however many copies of them there are. Documents are unrelated if their sketches
@@ -23,16 +28,18 @@ Of a recurring template the first line (smallest id, then position) stays, the
 others are dropped.
 
 Defined results: null or empty texts have no lines that can be dropped; lines
-of under three tokens have no template and stay; those with more variable than
-fixed tokens have only the template of all their tokens as they stand; a text
-whose lines are all dropped becomes ''. Ids are expected to be unique. Extra
-columns are kept.
+of under three tokens have no template and stay; in those with more variable
+than fixed tokens no token is masked as a field; a text whose lines are all dropped
+becomes ''; texts of any length are taken whole; rows with a null id lose
+nothing; rows that repeat an id are one document and lose the lines that any of
+them loses at that position; an empty table gives an empty table. Extra columns
+are kept.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,70 +49,120 @@ from pyspark.sql import functions as F
 
 from kitwright.llm.common import batch, materialize
 
-LEAST_TEXTS, LEADING, LEAST_TOKENS, GENERAL_TOKENS, PARTS, PAIR_TOKENS = 8, 2, 3, 9, 4, 6
+LEAST_TEXTS, LEADING, LEAST_TOKENS = 8, 2, 3
+#: Bits of the map of leaves that enough documents share: 8 MB at any size.
+BITMAP = 1 << 26
 #: Share of a document's tokens in lines of its own beyond which it is no near copy.
 OWN_SHARE = 0.2
-FIELD, OPEN = "<*>", "<+>"
+FIELD = "<*>"
+DIGIT = re.compile(r"\d").search
 
 
-def templates(line: str) -> list[int]:
-    """Names of the line's templates, the full one first; none for a line without one."""
+def _signed(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def masked(line: str) -> list[str]:
+    """The tokens of a line, with ``FIELD`` for those with a digit unless most have one."""
     raw = line.split()
-    n = len(raw)
-    if n < LEAST_TOKENS:
-        return []
-    tokens = [t if t.isalpha() or not any(map(str.isdigit, t)) else FIELD for t in raw]
-    if 2 * tokens.count(FIELD) > n:
-        return [xxhash.xxh64_intdigest(f"{n} {' '.join(raw)}")]
-    parts = min(n - LEADING, PARTS)
-    cuts = [LEADING + (n - LEADING) * k // parts for k in range(parts + 1)]
-    thirds = [LEADING + (n - LEADING) * k // 3 for k in range(4)]
-    shapes = [tokens]
-    # Under PAIR_TOKENS tokens two open stretches would leave too few to go by.
-    for opened in combinations(range(parts), min(parts, 2 if n >= PAIR_TOKENS else 1)):
-        shape = _opened(tokens, [(cuts[k], cuts[k + 1]) for k in opened])
-        if 2 * sum(t not in (FIELD, OPEN) for t in shape) >= n:
-            shapes.append(shape)
-        elif n >= GENERAL_TOKENS and opened[1] == opened[0] + 1:  # where fields abound, the third within it
-            shapes.append(_opened(tokens, [(thirds[opened[0]], thirds[opened[1]])]))
-    return [xxhash.xxh64_intdigest(f"{n} {' '.join(s)}") for s in shapes]
-
-
-def _opened(tokens: list[str], stretches: list[tuple[int, int]]) -> list[str]:
-    out = list(tokens)
-    for a, b in stretches:
-        out[a:b] = [OPEN] * (b - a)
-    return out
+    if not DIGIT(line):
+        return raw
+    tokens = [FIELD if DIGIT(t) else t for t in raw]
+    return raw if 2 * tokens.count(FIELD) > len(raw) else tokens
+
+
+def leaf(tokens: list[str]) -> int | None:
+    """The leaf of the tree that a line with these tokens comes to; none for a line of too few."""
+    return _signed(" ".join([str(len(tokens)), *tokens[:LEADING]])) if len(tokens) >= LEAST_TOKENS else None
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
-    """One row for each line with a token: ``id``, ``line`` (its position), ``tokens``, ``own`` (its hash), ``keys``, and ``fresh``, the bits of the keys that no earlier line of the text has."""
-    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("tokens", pa.int32()), ("own", pa.int64()), ("fresh", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    """One row for each line with a token: ``id``, ``line`` (its position), ``tokens``, ``own`` (its hash), ``leaf``, and ``fresh`` if no earlier line of the text came to that leaf."""
+    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("tokens", pa.int32()), ("own", pa.int64()), ("leaf", pa.int64()), ("fresh", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen: set[int] = set()
+                seen: set[int | None] = {None}
                 for k, line in enumerate((text or "").split("\n")):
-                    if tokens := len(line.split()):
-                        keys = templates(line)
-                        fresh = sum(1 << i for i, key in enumerate(keys) if key not in seen)
-                        seen.update(keys)
-                        own, *signed = np.array([xxhash.xxh64_intdigest(line), *keys], dtype=np.uint64).view(np.int64).tolist()
-                        out.append((id_, k, tokens, own, fresh, signed))
+                    if tokens := masked(line):
+                        at = leaf(tokens)
+                        out.append((id_, k, len(tokens), _signed(line), at, at not in seen))
+                        seen.add(at)
             yield batch(schema, list(zip(*out, strict=True)) if out else [[]] * 6)
 
-    return docs.mapInArrow(run, "id long, line int, tokens int, own long, fresh int, keys array<long>")
+    return docs.mapInArrow(run, "id long, line int, tokens int, own long, leaf long, fresh boolean")
+
+
+def _bitmap(leaves: DataFrame) -> np.ndarray:
+    """The ``BITMAP`` bits, of which a leaf sets one."""
+    bits = leaves.select((F.pmod("leaf", F.lit(BITMAP)) + 1).alias("bit"))
+    parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    out = np.zeros(BITMAP // 8, dtype=np.uint8)
+    for r in parts:  # at most BITMAP / 32,768 rows of 4 kB
+        out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
+
+
+def _cells(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The lines whose leaf is in the bitmap: ``id``, ``line``, ``leaf``, ``cells`` (a hash for each token), ``fresh`` (those that no earlier line of the text has at the leaf and position)."""
+    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("cells", pa.list_(pa.int64())), ("fresh", pa.list_(pa.bool_()))])
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # BITMAP bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = memoryview(shared.value)
+        for b in batches:
+            out = []
+            for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen: set[tuple] = set()
+                for k, line in enumerate((text or "").split("\n")):
+                    tokens = masked(line)
+                    at = leaf(tokens)
+                    if at is not None and bits[at % BITMAP >> 3] >> (at & 7) & 1:
+                        cells = list(map(_signed, tokens))
+                        places = [(at, p, c) for p, c in enumerate(cells)]
+                        out.append((id_, k, at, cells, [p not in seen for p in places]))
+                        seen.update(places)
+            yield batch(schema, list(zip(*out, strict=True)) if out else [[]] * 5)
+
+    return docs.mapInArrow(run, "id long, line int, leaf long, cells array<long>, fresh array<boolean>")
+
+
+def _keys(cells: DataFrame, least_texts: int) -> DataFrame:
+    """``id``, ``line``, ``key``: the lines' templates."""
+    spread = cells.select("id", "line", "leaf", F.size("cells").alias("n"), F.posexplode(F.arrays_zip("cells", "fresh")).alias("at", "c"))
+    spread = spread.select("id", "line", "leaf", "n", "at", F.col("c.cells").alias("cell"), F.col("c.fresh").alias("fresh"))
+    counts = spread.filter("fresh").groupBy("leaf", "at", "cell").agg(F.count("*").alias("texts"))
+    varying = counts.groupBy("leaf", "at").agg((F.count("*") >= least_texts).alias("varies"))
+    # Written, so that the lines of a leaf that very many documents share can be split where they are joined.
+    frequent = materialize(counts.filter(F.col("texts") >= least_texts).join(varying, ["leaf", "at"]).select("leaf", "at", "cell", "varies"))
+    mark, word = F.xxhash64("at", "cell"), F.when(F.col("cell") != _signed(FIELD), 1)
+    stays = ~F.col("varies")
+    shapes = (
+        spread.join(frequent, ["leaf", "at", "cell"])
+        .groupBy("id", "line", "leaf", "n")
+        .agg(
+            F.bit_xor(mark).alias("full"),
+            F.count(word).alias("words"),
+            F.bit_xor(F.when(stays, mark)).alias("open"),
+            F.count(F.when(stays, word)).alias("open_words"),
+        )
+    )
+    full = F.when(2 * F.col("words") >= F.col("n"), F.xxhash64("leaf", "full"))
+    opened = F.when(2 * F.col("open_words") >= F.col("n"), F.xxhash64("leaf", "open"))
+    return shapes.select("id", "line", F.explode(F.array_distinct(F.array_compact(F.array(full, opened)))).alias("key"))
 
 
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_texts: int = LEAST_TEXTS) -> DataFrame:
     """``id`` and ``lines``, the positions of the lines that go, for each text that loses some."""
     picked = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter("id is not null")
     parsed = materialize(_parsed(picked))
-    lines = parsed.select("id", "line", "fresh", F.posexplode("keys").alias("k", "key")).select("id", "line", "key", F.expr("shiftright(fresh, k) & 1 = 1").alias("fresh"))
-    often = lines.filter("fresh").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts).select("key")
-    candidates = materialize(lines.join(often, "key", "left_semi"))
+    bitmap = _bitmap(parsed.filter("fresh").groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts))
+    lines = materialize(_keys(materialize(_cells(picked, bitmap)), least_texts))
+    often = lines.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts).select("key")
+    candidates = materialize(lines.join(materialize(often), "key", "left_semi"))
     shared = candidates.groupBy("id", "line").agg(F.min(F.xxhash64("key")).alias("shared"))
     sketches = (
         parsed.select("id", "line", "tokens", "own")
@@ -122,8 +179,7 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
     # From documents to sketches to templates: each step sums before it shuffles.
     recurring = (
-        candidates.filter("fresh")
-        .join(sketches, "id")
+        candidates.join(sketches, "id")
         .groupBy("key", "sketch")
         .agg(F.min(F.struct("id", "line")).alias("first"))
         .groupBy("key")
@@ -139,14 +195,14 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
 
-def drop_templates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_texts: int = LEAST_TEXTS) -> DataFrame:
-    """``docs`` without the lines of recurring templates, with ``n_lines`` and ``n_dropped``."""
+def drop_templates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_texts: int = LEAST_TEXTS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` without the lines of recurring templates, with the columns ``counts`` (in place of any of those names): the lines before, and those dropped."""
     gone = dropped_lines(docs, id_column, text_column, least_texts)
     rows = docs.join(gone.select(F.col("id").alias("_gone_id"), F.col("lines").alias("_gone_lines")), F.col(id_column).cast("long") == F.col("_gone_id"), "left")
     every = F.split(F.col(text_column), "\n", -1)
     kept = F.array_join(F.filter(every, lambda _, k: ~F.array_contains("_gone_lines", k)), "\n")
     return rows.select(
-        *[F.when(F.col("_gone_lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_column else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.coalesce(F.size(every), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone_lines"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.when(F.col("_gone_lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_column else F.col(c) for c in docs.columns if c not in counts],
+        F.coalesce(F.size(every), F.lit(0)).cast("long").alias(counts[0]),
+        F.coalesce(F.size("_gone_lines"), F.lit(0)).cast("long").alias(counts[1]),
     )
