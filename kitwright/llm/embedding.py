@@ -16,7 +16,11 @@ Equal vectors of one label are one class. Its size counts in the links.
 Defined results: rows whose label or vector is null, or whose vector is empty,
 zero or has null or non-finite components link with nothing; vectors of
 different lengths never link; an id is its own component where it has no links.
-Extra columns of the input are ignored.
+Each row gets one row; rows that repeat an id are vectors of their own, which
+link if they are near (a repeated row links with its twin) and have the same
+id as any other; a row with a null id links with nothing and has no component.
+Cosines that tie with the threshold link. An empty table gives an empty table;
+vectors of any length are taken whole. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -172,21 +176,22 @@ def near_vectors(
     """One row for each vector: ``vec_id``, ``n_links``, ``component_id``, ``kept``."""
     rows = vectors.selectExpr(f"cast(`{id_column}` as long) as vec_id", f"cast(`{label_column}` as string) as label", f"`{vector_column}` as vector")
     usable = rows.filter("label is not null and vector is not null and vec_id is not null")
-    classes = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    # Classes are numbered, since ids may repeat. Written, so that a class of many rows can be split where it is joined.
+    classes = materialize(usable.groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))).withColumn("id", F.monotonically_increasing_id())
     hashed = materialize(_hashed(classes, tables, probes, seed))
     found = materialize(_links(hashed, tables, probes, threshold))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     nodes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    smallest = nodes.join(classes.select(F.col("id").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("smallest"))
     named = (
         hashed.select("id", "n")
         .join(counts, "id", "left")
-        .join(nodes.select(F.col("node").alias("id"), "component"), "id", "left")
-        .select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
+        .join(nodes.join(smallest, "component").select(F.col("node").alias("id"), "smallest"), "id", "left")
+        .select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "smallest")
     )
-    members = usable.join(classes.select("label", "vector", "id"), ["label", "vector"]).select("vec_id", "id").join(named, "id")
-    component = F.coalesce("component", "vec_id")
-    return (
-        rows.select("vec_id")
-        .join(members.select("vec_id", "links", "component"), "vec_id", "left")
-        .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    known = materialize(classes.join(named, "id").select("label", "vector", "links", F.coalesce("smallest", "first").alias("component")))
+    component = F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("component")), F.col("vec_id"))
+    links = F.when(F.col("vec_id").isNotNull(), F.col("links"))
+    return rows.join(known, ["label", "vector"], "left").select(
+        "vec_id", F.coalesce(links, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept")
     )
