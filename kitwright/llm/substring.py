@@ -19,8 +19,10 @@ in the others every window is a repeat.
 
 Defined results: a null text has no words; documents under 50 words lose
 nothing; all judgements are made on the input, whatever is removed; texts of
-any length are taken whole. Ids are expected to be unique; extra columns of the
-input are ignored.
+any length are taken whole. Each row gets one row: rows that repeat an id are
+judged by their own texts and take nothing from each other, as neither id is
+smaller; a row with a null id loses nothing and takes nothing from others. An
+empty table gives an empty table; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kitwright.llm.common import batch, materialize
@@ -153,31 +155,31 @@ def anchors(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_words``, ``sequence`` (digest of the words) and the picked symbols: ``keys``, ``at``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sequence", pa.binary()), ("keys", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+    """``doc_id``, ``text_hash``, ``n_words``, ``sequence`` (digest of the words) and the picked symbols: ``keys``, ``at``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("sequence", pa.binary()), ("keys", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 words = words_of(text)
                 keys, at = anchors(named(words)) if len(words) >= WINDOW else (np.empty(0, np.uint64), np.empty(0))
                 rows.append((len(words), hashlib.sha256(b" ".join(words)).digest(), keys.view(np.int64), at.astype(np.int32)))
-            yield batch(schema, [b.column(0), *(map(list, zip(*rows, strict=True)) if rows else [[]] * 4)])
+            yield batch(schema, [b.column(0), b.column(1), *(map(list, zip(*rows, strict=True)) if rows else [[]] * 4)])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, sequence binary, keys array<long>, at array<int>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_words long, sequence binary, keys array<long>, at array<int>")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``packed``, the compressed text: what crosses the network where texts must."""
-    schema = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())])
+    """``doc_id``, ``text_hash`` and ``packed``, the compressed text: what crosses the network where texts must."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            yield batch(schema, [b.column(0), [pack((t or "").encode("utf-8")) for t in b.column(1).to_pylist()]])
+            yield batch(schema, [b.column(0), b.column(1), [pack((t or "").encode("utf-8")) for t in b.column(2).to_pylist()]])
 
-    return docs.mapInArrow(run, "doc_id long, packed binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, packed binary")
 
 
 def _unpacked(column: pa.Array) -> list[list[bytes]]:
@@ -186,38 +188,38 @@ def _unpacked(column: pa.Array) -> list[list[bytes]]:
 
 
 def _windows(suspects: DataFrame) -> DataFrame:
-    """The 50-word windows around the shared symbols of each document: ``h1``, ``h2``, ``doc_id``, ``q``."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("q", pa.int32())])
+    """The 50-word windows around the shared symbols of each document: ``h1``, ``h2``, ``doc_id``, ``version``, ``q``."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int32()), ("q", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, words, at in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for doc, version, words, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _unpacked(b.column(2)), b.column(3).to_pylist(), strict=True):
                 names = named(words)
                 # The windows that could have picked the symbol: it starts BEFORE to BEFORE + PICK - 1 words into them.
                 q = np.unique(np.asarray(at)[:, None] - np.arange(BEFORE, BEFORE + PICK)[None, :])
                 q = q[(q >= 0) & (q + WINDOW <= len(names))]
                 h1, h2 = (Rolling(names, base)(q, WINDOW).view(np.int64) for base in BASES)
-                yield batch(schema, [h1, h2, np.full(len(q), doc), q.astype(np.int32)])
+                yield batch(schema, [h1, h2, np.full(len(q), doc), np.full(len(q), version, dtype=np.int32), q.astype(np.int32)])
 
-    return suspects.select("doc_id", "packed", "at").mapInArrow(run, "h1 long, h2 long, doc_id long, q int")
+    return suspects.select("doc_id", "version", "packed", "at").mapInArrow(run, "h1 long, h2 long, doc_id long, version int, q int")
 
 
 def _cut(suspects: DataFrame) -> DataFrame:
-    """Each document without the words of its ``repeats``: ``doc_id``, ``n_removed``, ``kept`` (the words left, by one space)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+    """Each document without the words of its ``repeats``: ``doc_id``, ``sequence``, ``n_removed``, ``kept`` (the words left, by one space)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sequence", pa.binary()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, words, repeats in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for doc, sequence, words, repeats in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _unpacked(b.column(2)), b.column(3).to_pylist(), strict=True):
                 edges = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(edges, np.asarray(repeats), 1)
                 np.add.at(edges, np.asarray(repeats) + WINDOW, -1)
                 gone = np.cumsum(edges)[:-1] > 0
-                rows.append((doc, int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode("utf-8")))
-            yield batch(schema, list(zip(*rows, strict=True)) if rows else [[]] * 3)
+                rows.append((doc, sequence, int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode("utf-8")))
+            yield batch(schema, list(zip(*rows, strict=True)) if rows else [[]] * 4)
 
-    return suspects.select("doc_id", "packed", "repeats").mapInArrow(run, "doc_id long, n_removed long, kept string")
+    return suspects.select("doc_id", "sequence", "packed", "repeats").mapInArrow(run, "doc_id long, sequence binary, n_removed long, kept string")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -225,29 +227,35 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     ``kept`` is null where nothing was removed: the text's words, unchanged.
     """
-    picked = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text")
+    picked = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"xxhash64(`{text_column}`) as text_hash", f"`{text_column}` as text")
     parsed = materialize(_parsed(picked))
-    firsts = parsed.groupBy("sequence").agg(F.min("doc_id").alias("first"))
-    symbols = parsed.select("doc_id", F.xxhash64("sequence").alias("sequence"), F.explode(F.arrays_zip("keys", "at")).alias("s"))
+    # The document that stands for a word sequence; ``version`` tells those of one id apart.
+    firsts = parsed.filter("doc_id is not null").groupBy("sequence").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n"))
+    firsts = firsts.select("sequence", "first.*", "n")
+    first = firsts.withColumn("version", F.row_number().over(Window.partitionBy("doc_id").orderBy("sequence"))).drop("n")
+    symbols = parsed.filter("doc_id is not null").select("doc_id", F.xxhash64("sequence").alias("sequence"), F.explode(F.arrays_zip("keys", "at")).alias("s"))
     symbols = symbols.select("doc_id", "sequence", F.col("s.keys").alias("key"), F.col("s.at").alias("at"))
-    # Copies have one sequence, so what only they share is not counted as shared.
-    shared = symbols.groupBy("key").agg(F.min("sequence").alias("a"), F.max("sequence").alias("b")).filter("a < b").select("key")
+    # Copies have one sequence, so what only they share is not counted as shared. Written, as are the
+    # repeated windows below, so that a symbol of very many documents can be split where it is joined.
+    shared = materialize(symbols.groupBy("key").agg(F.min("sequence").alias("a"), F.max("sequence").alias("b")).filter("a < b").select("key"))
     places = (
         symbols.select("doc_id", "key", "at")
         .join(shared, "key", "left_semi")
         .groupBy("doc_id")
-        .agg(F.collect_list("at").alias("at"))  # bounded by a text
-        .join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+        .agg(F.collect_list("at").alias("at"))  # bounded by a text; of a repeated id, places of all its texts
+        .join(first, "doc_id")
     )
-    suspects = materialize(_packed(picked).join(places, "doc_id"))
+    # A repeated row is taken once: both have the same id and text.
+    suspects = materialize(_packed(picked).join(places, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]))
     windows = _windows(suspects)
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    repeats = windows.join(first, ["h1", "h2"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("q").alias("repeats"))
-    cut = _cut(suspects.select("doc_id", "packed").join(repeats, "doc_id"))
+    repeated = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    repeats = windows.join(materialize(repeated), ["h1", "h2"]).filter("doc_id > first").groupBy("doc_id", "version").agg(F.collect_list("q").alias("repeats"))
+    cut = _cut(suspects.select("doc_id", "version", "sequence", "packed").join(repeats, ["doc_id", "version"]))
 
-    copies = parsed.select("doc_id", "n_words", "sequence").join(firsts, "sequence")
+    copied = materialize(firsts.filter("n > 1").select("sequence", F.col("doc_id").alias("first")))
+    rows = parsed.select("doc_id", "n_words", "sequence").join(copied, "sequence", "left").join(cut, ["doc_id", "sequence"], "left")
     gone = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= WINDOW)
-    return copies.join(cut, "doc_id", "left").select(
+    return rows.select(
         "doc_id",
         "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
