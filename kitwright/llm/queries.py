@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitwright.llm import bpe, decontam, embedding, langid, lines, secrets, sharding, simhash, substring, toxicity
-from kitwright.llm.common import documents, id_bucket
+from kitwright.llm.common import documents, id_bucket, materialize
 
 SHARDS, SHARD_SEED = 40, "kitwright"
 
@@ -59,7 +59,12 @@ def op8_benchmark_qgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.report(documents(spark, sf_dir).select("doc_id", "text"))
+    """The table arrives in two commits: the second scan leaves out the blobs that the first commit's ledger lists."""
+    versions = documents(spark, sf_dir).select("doc_id", "text")
+    later = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)) == 1
+    findings, ledger = map(materialize, secrets.update(versions.filter(~later)))
+    findings, _ = secrets.update(versions.filter(later), ledger=ledger, findings=findings)
+    found = secrets.at_paths(versions, findings)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 

@@ -6,8 +6,15 @@ only the pairs that are missing, so a blob that a thousand paths share is
 scanned once, and after a rule changes only that rule runs again. Findings
 belong to blobs and are joined back to all paths that hold them.
 
+Findings count for a scan as long as the version of their rule is in use.
+Those of blobs that no path holds any more are kept, and harm nothing, until
+:func:`pruned` drops them.
+
 Defined results: a null text is the empty text; equal texts share one blob and
-each row gets the findings; offsets count code points, ends are exclusive.
+each row gets the findings, repeated rows and repeated ids too; offsets count
+code points, ends are exclusive; spans that tie go by kind as listed, then by
+end; texts of any length are scanned whole; an empty table gives an empty
+table. Extra columns are kept, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -102,22 +109,33 @@ def update(versions: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, ledger: Da
     return found, seen
 
 
+def pruned(versions: DataFrame, ledger: DataFrame, findings: DataFrame, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The findings and the ledger of blobs that ``versions`` still hold: (findings, ledger)."""
+    present = blobs(versions, text_column).select("blob").distinct()
+    return findings.join(present, "blob", "left_semi"), ledger.join(present, "blob", "left_semi")
+
+
 def by_blob(findings: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """One row for each blob with findings: a count for each kind, and ``spans`` by start, then kind as listed."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     # A blob's findings lie in one text, which bounds the list.
     listed = F.sort_array(F.collect_list(F.struct("span_start", order[F.col("kind")].alias("at"), "span_end", "kind")))
-    return findings.groupBy("blob").agg(
+    return findings.filter(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(
         *[F.count(F.when(F.col("kind") == r.kind, 1)).alias(f"n_{r.kind}") for r in rules],
         F.array_join(F.transform(listed, lambda s: F.concat_ws(":", s["kind"], s["span_start"], s["span_end"])), ",").alias("spans"),
     )
 
 
 def report(versions: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, ledger: DataFrame | None = None, findings: DataFrame | None = None, text_column: str = "text") -> DataFrame:
-    """``versions`` without the text, with the counts and spans of their blobs (in place of columns of those names)."""
-    versions = versions.drop("spans", *[f"n_{r.kind}" for r in rules])
+    """``versions`` without the text, with the counts and spans of their blobs (in place of columns of those names), after an :func:`update`."""
     found, _ = update(versions, rules, ledger, findings, text_column)
-    merged = materialize(by_blob(found, rules))  # only blobs with findings
+    return at_paths(versions, found, rules, text_column)
+
+
+def at_paths(versions: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, text_column: str = "text") -> DataFrame:
+    """``versions`` without the text, with what ``findings`` has of their blobs."""
+    versions = versions.drop("spans", *[f"n_{r.kind}" for r in rules])
+    merged = materialize(by_blob(findings, rules))  # only blobs with findings
     return (
         blobs(versions, text_column)
         .join(merged, "blob", "left")
