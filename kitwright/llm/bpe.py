@@ -14,7 +14,9 @@ memoised. Pieces repeat, so their ids are memoised as well, in a bounded map
 of each Python worker.
 
 Defined results: a null text encodes as the empty text, which has no tokens;
-texts of any length are encoded whole; special tokens are ordinary text.
+texts of any length are encoded whole; special tokens are ordinary text;
+repeated rows are encoded one by one; an empty table gives an empty table; extra
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,13 +9,18 @@ time: the language of a document is the label of all positions of its windows.
 Gates use the piecewise-linear sigmoid clip(x + 1/2, 0, 1). A byte's input
 weights are one row of a table, so reading a byte is a lookup.
 
-What is learned from is bounded: about ``TEXTS`` texts a language, chosen by a
-hash of their ids, ``WINDOWS`` windows of each, and the ``LANGUAGES`` most
-frequent languages. Predictions take every whole text.
+What is learned from is bounded: about ``TEXTS`` texts of each language, chosen
+by a hash of their ids, and ``WINDOWS`` windows of each text. Every language of
+the labels is learned; the driver gets one count and the sample of each, so
+fitting takes as many times longer as there are more languages. Predictions take
+every whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if there is nothing to learn from. Texts of any length are
-read whole. Language, source and id are no inputs of a prediction.
+read whole. Of languages that tie the first in the alphabet is predicted;
+repeated rows and repeated ids are predicted one by one; an empty table gives an
+empty table; extra columns are ignored. Language, source and id are no inputs
+of a prediction.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from kitwright.llm.common import batch
 
-TEXTS, WINDOWS, LANGUAGES = 500, 4, 200
+TEXTS, WINDOWS = 500, 4
 WINDOW, HIDDEN, ROWS = 64, 8, 4096
 
 
@@ -191,7 +196,7 @@ def train(docs: DataFrame, learnable: F.Column, id_column: str = "doc_id", text_
     """A network from the texts with a language where ``learnable`` holds, or None if there are none."""
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     rows = rows.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * TEXTS / r["count"]))])

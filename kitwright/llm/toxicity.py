@@ -13,8 +13,11 @@ features. Scoring takes every whole text.
 
 Defined results: a null or empty text has no features and gets the score of the
 bias alone; with no confirmed positive, or no feature that tells them apart, there is nothing
-to learn and every score is next to 0. Labels of held-out ids are never read; language, source and id are
-no inputs of a score.
+to learn and every score is next to 0. Texts of any length are scored whole, by
+their distinct words; repeated rows and repeated ids are scored one by one; an
+empty table gives an empty table, and without labels nothing is rejected. Extra
+columns are ignored by scores and kept by :func:`keep_clean`. Labels of held-out
+ids are never read; language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -119,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: F.Column, id_column: st
     n, n_toxic = marks.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0))).first()
     if not n_toxic:
         return Model({}, -30.0)
-    prior = min(max(n_toxic / n, 0.001), 0.5)
+    prior = n_toxic / (n + 1)  # below 1 even if all are toxic
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     ids = texts.select("doc_id").filter("doc_id is not null")
     confirmed = marks.filter("toxic = 1").select("doc_id").distinct().join(ids, "doc_id", "left_semi")
