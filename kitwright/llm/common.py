@@ -14,15 +14,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and cuts its lineage, in the shared folder of ``spark.checkpoint.dir``.
-
-    Where that setting is missing (local tests), a temporary folder is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, or the context's checkpoint folder. A local master may do without and gets a temporary one."""
     context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="kitwright-checkpoint-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Computes ``df`` once and cuts its lineage, in :func:`shared_folder`."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
