@@ -7,13 +7,16 @@ decontaminate documents that hold a benchmark item go
 encode        every text becomes byte-level BPE ids, and is decoded again
 
 Nulls: a document with a null or empty text passes the filters like any other
-(all such are one near-duplicate group) and encodes to no tokens. An empty
-table passes as an empty table. Extra columns are kept up to the last stage.
+(all such are one near-duplicate group) and encodes to no tokens. Texts of any
+length are taken whole. Of the equal or tied documents of a group the smallest
+id stays; rows that repeat an id stay or go together; rows with a null id pass
+near-dup and decontamination as they are. An empty table passes as an empty
+table. Extra columns are kept, as they are, up to the last stage; ``n_chars``
+follows the text.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitwright.llm import bpe, decontam, lines, simhash, toxicity
-from kitwright.llm.common import documents, id_bucket, materialize
+from kitwright.llm.common import documents, id_bucket, materialize, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,9 +37,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 2: ``n_chars``, where it stands, follows the text."""
-    kept = lines.drop_templates(docs).filter("n_dropped = 0 or trim(text) <> ''")
+    # Longer than any column of ``docs``, so that none of the same name is overwritten.
+    free = "_".join(["", *docs.columns])
+    kept = lines.drop_templates(docs, counts=(f"lines{free}", f"dropped{free}"))
+    dropped = F.col(f"dropped{free}")
+    kept = kept.filter((dropped == 0) | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        kept = kept.withColumn("n_chars", F.when(dropped > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return kept.select(docs.columns)
 
 
@@ -74,8 +81,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared checkpoint folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kitwright-pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4()}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
