@@ -155,22 +155,26 @@ def links(classes: DataFrame, limit: int, segments: int, width: int, radius: int
     words = [F.col("fp")[i].alias(f"word{i}") for i in range(head)]
     base = classes.select(F.explode(buckets(segments, width)).alias("bucket"), "id", *words)
     star = materialize(_leads(base, classes, limit, head, head_limit))
-    known = components(star)
-    crowds = known.groupBy("component").agg((F.count("*") > CROWD).alias("crowd"))
-    labels = known.join(crowds, "component").select(F.col("node").alias("id"), F.col("component"), "crowd")
-    classes = materialize(classes.join(labels, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component"), F.coalesce("crowd", F.lit(False)).alias("crowd")))
-    base = classes.select(F.explode(buckets(segments, width)).alias("bucket"), "id", "component", *words, "crowd")
+    # What is linked to one id, or to one whose own smallest link is that id, is known to be together.
+    one = star.groupBy("a").agg(F.min("b").alias("b"))
+    known = one.join(one.toDF("b", "c"), "b", "left").select(F.col("a").alias("id"), F.coalesce("c", "b").alias("component"))
+    of_lead = [F.col("fp")[i].alias(f"center{i}") for i in range(head)]
+    crowds = materialize(known.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).join(classes.select(F.col("id").alias("component"), *of_lead).dropDuplicates(["component"]), "component").drop("n"))
+    named = classes.join(known, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
+    classes = materialize(named.join(crowds, "component", "left"))
+    centers = [f"center{i}" for i in range(head)]
+    base = classes.select(F.explode(buckets(segments, width)).alias("bucket"), "id", "component", *words, *centers)
     ball = F.explode(F.array(*[F.lit(b).cast("long") for b in (0, *[1 << i for i in range(width if radius else 0)])]))
     probes = base.withColumn("bit", ball).filter("(bucket & bit) = 0").select(F.expr("bucket | bit").alias("bucket"), "id", "component", *[f"word{i}" for i in range(head)])
-    # A crowd stands in a table as one entry a bucket, which all others meet; the next step compares them with its members.
+    # A crowd stands in a table as one entry a bucket: its lead, and how far the members there are from that at most.
     entry = ["bucket", "component", *[f"word{i}" for i in range(head)]]
-    many = base.filter("crowd").select("bucket", "component", *[F.lit(None).cast("long").alias(f"word{i}") for i in range(head)]).distinct()
-    table = base.filter("not crowd").select(*entry).unionByName(many).toDF(*[f"table_{c}" for c in entry])
+    many = base.filter("center0 is not null").groupBy("bucket", "component", *centers).agg(F.max(_bits_apart("word", "center", head)).alias("around")).toDF(*entry, "around")
+    table = base.filter("center0 is null").select(*entry, F.lit(0).alias("around")).unionByName(many).toDF(*[f"table_{c}" for c in entry], "around")
     other = (F.col("bucket") == F.col("table_bucket")) & (F.col("component") != F.col("table_component"))
-    close = _bits_apart("word", "table_word", head) <= head_limit
-    hits = materialize(probes.join(table, other & (F.col("table_word0").isNull() | close), "left_semi"))
-    if not crowds.filter("crowd").isEmpty():
-        hits = materialize(hits.join(base.select(*entry).toDF(*[f"table_{c}" for c in entry]), other & close, "left_semi"))
+    apart = _bits_apart("word", "table_word", head)
+    hits = materialize(probes.join(table, other & (apart <= F.col("around") + head_limit), "left_semi"))
+    if not crowds.isEmpty():  # now by each member
+        hits = materialize(hits.join(base.select(*entry).toDF(*[f"table_{c}" for c in entry]), other & (apart <= head_limit), "left_semi"))
     hits = hits.select("bucket", "id", "component")
     entries = materialize(base.select("bucket", "id", "component").join(hits.select("bucket").distinct(), "bucket", "left_semi").union(hits).distinct().withColumn("one", F.lit(1)))
     dealt = group_pairs(entries, ["bucket"], "id", "component", "one", BLOCK_ROWS).join(classes.select("id", "fp"), "id")
