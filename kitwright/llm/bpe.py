@@ -36,7 +36,7 @@ from kitwright.llm.common import batch
 
 #: Entries of a worker's memos of space-delimited parts and of pieces (the memo of token pairs
 #: is emptied with the former), and the longest part or piece in them.
-PART_MEMO, PIECE_MEMO, MEMO_LENGTH = 800_000, 200_000, 64
+PART_MEMO, PIECE_MEMO, MEMO_LENGTH = 250_000, 100_000, 64
 
 
 class Tokenizer:
