@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from kitwright.llm.common import materialize
 
+#: Links that one task of :func:`components` takes, about.
+LINKS_A_TASK = 200_000
+
 
 def block_pairs(members: DataFrame, keys: list[str], member: str, block_rows: int) -> DataFrame:
     """Deals the members of each bucket to jobs that together hold every two of them.
@@ -83,15 +86,18 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     Rows stay within the number of links; each round's links are checkpointed.
     """
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if edges.isEmpty():
+    many = edges.count()
+    if not many:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    tasks = -(-many // LINKS_A_TASK)  # as many as the links need, however many partitions a shuffle has
     for _ in range(rounds):
+        edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = materialize(small.select("e.u", "e.v").filter("u <> v").distinct())
+        after = materialize(small.select("e.u", "e.v").filter("u <> v").coalesce(tasks).distinct().coalesce(tasks))
         # Ended when each node has one parent and no parent has one of its own: stars.
         rows, nodes = after.agg(F.count("*"), F.count_distinct("u")).first()
         if rows == nodes and after.join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():

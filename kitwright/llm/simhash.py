@@ -42,6 +42,8 @@ SEED, BLOCK_ROWS, BLOCK_SHINGLES, CHUNK, CROWD = 42, 2048, 1 << 18, 8192, 64
 #: Texts of up to that many distinct shingles are also compared exactly wherever they share a rare enough shingle.
 #: Pairs beyond have 33 shingles or more each, where the share of differing bits is at most ``EXCESS`` times the formula's.
 SHORT, EXCESS = 40, 1.04
+#: Words of a fingerprint that a probe of :func:`jaccard_groups` carries to be compared where it meets another.
+HEAD = 3
 #: Odd constants that mix a hash to further words: multiples of the golden ratio's 64-bit fraction.
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -155,9 +157,7 @@ def links(classes: DataFrame, limit: int, segments: int, width: int, radius: int
     words = [F.col("fp")[i].alias(f"word{i}") for i in range(head)]
     base = classes.select(F.explode(buckets(segments, width)).alias("bucket"), "id", *words)
     star = materialize(_leads(base, classes, limit, head, head_limit))
-    # What is linked to one id, or to one whose own smallest link is that id, is known to be together.
-    one = star.groupBy("a").agg(F.min("b").alias("b"))
-    known = one.join(one.toDF("b", "c"), "b", "left").select(F.col("a").alias("id"), F.coalesce("c", "b").alias("component"))
+    known = components(star).withColumnRenamed("node", "id")
     of_lead = [F.col("fp")[i].alias(f"center{i}") for i in range(head)]
     crowds = materialize(known.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).join(classes.select(F.col("id").alias("component"), *of_lead).dropDuplicates(["component"]), "component").drop("n"))
     named = classes.join(known, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
@@ -254,10 +254,10 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     segments, width = tables(picked.count(), similarity, recall)
     words, share = -(-segments * width // 64), EXCESS * bit_share(similarity)
-    limit, head_limit = (int(share * bits + sd * (bits * share * (1 - share)) ** 0.5) for bits, sd in ((64 * words, 4), (128, 4)))
+    limit, head_limit = (int(share * bits + sd * (bits * share * (1 - share)) ** 0.5) for bits, sd in ((64 * words, 4), (64 * HEAD, 4)))
     fps = materialize(fingerprints(picked, shingle, words, distinct=True, short=SHORT))
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"))
-    loose = components(links(classes, limit, segments, width, 1, 2, head_limit)).withColumnRenamed("node", "doc_id")
+    loose = components(links(classes, limit, segments, width, 1, HEAD, head_limit)).withColumnRenamed("node", "doc_id")
     least = F.size("few") - F.ceil(F.size("few") * similarity - 1e-9) + 1
     own = classes.select(F.col("id").alias("doc_id"), "fp")
     short = fps.filter("size(few) > 0").join(own, ["doc_id", "fp"], "left_semi")
