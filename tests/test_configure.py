@@ -89,6 +89,11 @@ def test_saving(spark, tmp_path):
     selection.save_draft(drafts, f"{tmp_path}/drafts", F.col("status"))
     stored = spark.read.parquet(f"{tmp_path}/drafts")
     assert [r.part_ids for r in selection.restored(stored, ["frame", "esc"], ["fc"]).collect()] == [["frame"]]
+    # Drafts of others, and of those whose status is not known, stay.
+    later = spark.createDataFrame([(1, ["fc"], "loading"), (3, ["esc"], "signedOut")], drafts.schema)
+    selection.save_draft(later, f"{tmp_path}/drafts", F.col("status"))
+    got = selection.restored(spark.read.parquet(f"{tmp_path}/drafts"), ["frame", "esc", "fc"], [])
+    assert {r.user_id: r.part_ids for r in got.collect()} == {1: ["frame"], 3: ["esc"]}
 
 
 def test_stream_equals_batch(spark, tmp_path):
