@@ -131,7 +131,7 @@ def _cells(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
 
 def _keys(cells: DataFrame, least_texts: int) -> DataFrame:
-    """``id``, ``line``, ``key``: the lines' templates."""
+    """``id``, ``line``, ``open``, ``key``: the lines' templates, 0 that of all frequent tokens, 1 the open one."""
     spread = cells.select("id", "line", "leaf", F.size("cells").alias("n"), F.posexplode(F.arrays_zip("cells", "fresh")).alias("at", "c"))
     spread = spread.select("id", "line", "leaf", "n", "at", F.col("c.cells").alias("cell"), F.col("c.fresh").alias("fresh"))
     counts = spread.filter("fresh").groupBy("leaf", "at", "cell").agg(F.count("*").alias("texts"))
@@ -152,7 +152,7 @@ def _keys(cells: DataFrame, least_texts: int) -> DataFrame:
     )
     full = F.when(2 * F.col("words") >= F.col("n"), F.xxhash64("leaf", "full"))
     opened = F.when(2 * F.col("open_words") >= F.col("n"), F.xxhash64("leaf", "open"))
-    return shapes.select("id", "line", F.explode(F.array_distinct(F.array_compact(F.array(full, opened)))).alias("key"))
+    return shapes.select("id", "line", F.posexplode(F.array_distinct(F.array_compact(F.array(full, opened)))).alias("open", "key"))
 
 
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_texts: int = LEAST_TEXTS) -> DataFrame:
@@ -163,7 +163,7 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     lines = materialize(_keys(materialize(_cells(picked, bitmap)), least_texts))
     often = lines.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts).select("key")
     candidates = materialize(lines.join(materialize(often), "key", "left_semi"))
-    shared = candidates.groupBy("id", "line").agg(F.min(F.xxhash64("key")).alias("shared"))
+    shared = candidates.groupBy("id", "line").agg(F.max_by(F.xxhash64("key"), "open").alias("shared"))  # near copies agree in the open one
     sketches = (
         parsed.select("id", "line", "tokens", "own")
         .join(shared, ["id", "line"], "left")
