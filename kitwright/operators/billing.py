@@ -116,7 +116,7 @@ def plan_cards(plans: DataFrame, current_plan: Column, current_interval: Column,
 
 def usage_meters(states: DataFrame, plans: DataFrame, usage: dict[str, Column]) -> DataFrame:
     """``<meter>_text`` and ``<meter>_percent`` of each meter in ``usage`` against the limits of the row's plan."""
-    joined = states.join(F.broadcast(plans.select("plan", *usage)), "plan")  # a row a plan
+    joined = states.join(plans.select("plan", *usage), "plan")
     shown = [x for m, v in usage.items() for x in (usage_label(v, m).alias(f"{m}_text"), usage_percent(v, m).alias(f"{m}_percent"))]
     return joined.select(*[c for c in states.columns], *shown)
 

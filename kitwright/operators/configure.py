@@ -58,14 +58,18 @@ def resolve(picks: DataFrame, products: DataFrame, build: str = "build_id", orde
 
     ``picks``: build, ``slot``, ``product_id`` and the columns of ``order``, of
     which the greatest counts. A product's own category isn't compared with the
-    slot. The catalogue is a dimension and is broadcast; the picks are
-    summed map-side and shuffled once.
+    slot. The picks carry the product's ``no`` (unique in ``products``), are
+    summed map-side and shuffled once; the catalogue joins each slot after that.
+    With one numeric column of ``order`` both sums are hash aggregates.
     """
-    found = picks.join(F.broadcast(products.select(*ATTRIBUTES).withColumnRenamed("id", "_id")), F.col("product_id") == F.col("_id"), "left")
-    product = F.when(F.col("_id").isNotNull(), F.struct(*[F.col("_id").alias("id") if a == "id" else F.col(a) for a in ATTRIBUTES]))
-    turn = F.struct(*[F.col(c) for c in (order or ["product_id"])])
-    last = [F.max_by(product, F.when(F.col("slot") == s, turn)).alias(s) for s in SLOTS]
-    return found.groupBy(build).agg(*last)
+    numbers = products.select(F.col("id").alias("product_id"), F.col("no").alias("_no"))
+    by = order or ["product_id"]
+    turn = F.col(by[0]) if len(by) == 1 else F.struct(*by)
+    last = [F.max_by("_no", F.when(F.col("slot") == s, turn)).alias(f"_{s}") for s in SLOTS]
+    out = picks.join(numbers, "product_id", "left").groupBy(build).agg(*last)
+    for s in SLOTS:
+        out = out.join(products.select(F.col("no").alias(f"_{s}"), F.struct(*ATTRIBUTES).alias(s)), f"_{s}", "left")
+    return out.select(build, *SLOTS)
 
 
 def _pair(rule: PairRule) -> Column:
@@ -119,12 +123,12 @@ def candidates(builds: DataFrame, products: DataFrame, category: str | None = No
 
     The verdict is the whole build's: a conflict elsewhere marks every
     candidate. The catalogue is a dimension, so each build is paired with its
-    few rows (an explode of a broadcast row), not with other builds.
+    few rows (an explode of one row that holds it), not with other builds.
     ``compatible_only`` hides incompatible candidates; unknown ones stay.
     """
     wanted = products if category is None else products.filter(F.col("category") == category)
     listed = wanted.agg(F.collect_list(F.struct(*ATTRIBUTES)).alias("c"))
-    each = builds.crossJoin(F.broadcast(listed)).withColumn("c", F.explode("c"))
+    each = builds.crossJoin(listed).withColumn("c", F.explode("c"))
     keep = [c for c in builds.columns if c not in SLOTS]
     put = [F.when(F.col("c.category") == s, F.col("c")).otherwise(F.col(s)).alias(s) for s in SLOTS]
     tried = evaluate(each.select(*keep, F.col("c.category").alias("category"), F.col("c.id").alias("candidate_id"), *put))
@@ -138,7 +142,7 @@ def pair_matrix(products: DataFrame) -> DataFrame:
     for rule in PAIR_RULES:
         a = products.filter(F.col("category") == rule.a).select(F.struct(*ATTRIBUTES).alias("a"))
         b = products.filter(F.col("category") == rule.b).select(F.struct(*ATTRIBUTES).alias("b"))
-        pairs = a.crossJoin(F.broadcast(b)).select(F.lit(rule.label).alias("rule"), "a.id", F.col("b.id").alias("b_id"), holds(rule.holds(F.col("a"), F.col("b"))).alias("fits"))
+        pairs = a.crossJoin(b).select(F.lit(rule.label).alias("rule"), "a.id", F.col("b.id").alias("b_id"), holds(rule.holds(F.col("a"), F.col("b"))).alias("fits"))
         pairs = pairs.withColumnRenamed("id", "a_id")
         out = pairs if out is None else out.unionByName(pairs)
     return out
@@ -149,7 +153,7 @@ def catalogue_builds(products: DataFrame) -> DataFrame:
     out = None
     for slot in SLOTS:
         one = products.filter(F.col("category") == slot).select(F.struct(*ATTRIBUTES).alias(slot))
-        out = one if out is None else out.crossJoin(F.broadcast(one))
+        out = one if out is None else out.crossJoin(one)
     return out.withColumn("build_id", F.concat_ws("+", *[F.col(f"{s}.id") for s in SLOTS]))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitwright.functions.scalars import col, dollars, trimmed
-from kitwright.sources.catalog import SLOTS
+from kitwright.sources.catalog import SLOTS, literal
 
 # The three kits (frame, motors, controller, ESC, propellers, battery), and names with and without footage.
 KITS = {
@@ -52,7 +52,7 @@ def priority_preset(asked: DataFrame, priorities: str = "priorities", budget: st
 
 
 def suggestion_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SUGGESTIONS, "style string, lo int, hi int, suggestion string, parts array<string>, before string, after string")
+    return literal(spark, SUGGESTIONS, "style string, lo int, hi int, suggestion string, parts array<string>, before string, after string")
 
 
 def suggest(answers: DataFrame, table: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def suggest(answers: DataFrame, table: DataFrame) -> DataFrame:
     """
     styles = [s[0] for s in SUGGESTIONS if s[0]]
     known = F.when(F.col("style").isin(styles), F.col("style"))
-    t = F.broadcast(table.withColumnsRenamed({"style": "_style"}))
+    t = table.withColumnsRenamed({"style": "_style"})
     band = F.col("budget").between(F.coalesce("lo", F.lit(-(2**31))), F.coalesce("hi", F.lit(2**31 - 1)))
     shell = F.coalesce(F.concat(F.lit("Custom shell in "), F.nullif(F.col("color"), F.lit(""))), F.lit("Classic factory shell"))
     return answers.join(t, known.eqNullSafe(F.col("_style")) & (known.isNotNull() | band), "left").select(

@@ -6,22 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def toggled(toggles: DataFrame, parts: DataFrame, user: str = "user_id") -> DataFrame:
-    """The parts selected for each user after all toggles: ``user``, ``part_id``, ``price``, ``no``.
+def part_rows(toggles: DataFrame, parts: DataFrame, user: str = "user_id") -> DataFrame:
+    """Every part for each user with ``is_selected`` after all toggles: ``user``, ``part_id``, ``price``, ``no``.
 
     A part is selected if it was toggled an odd number of times and isn't
-    essential, or an even number of times and is. Counts are summed map-side;
-    the parts are a dimension.
+    essential, or an even number of times and is. A user's toggles are one long,
+    the exclusive or of a bit a part, so they are summed map-side and shuffled
+    once. ``no`` counts the parts from 0; more than 63 are an error. Toggles of
+    unknown parts count for the user only.
     """
-    counts = toggles.groupBy(user, "part_id").agg(F.count("*").alias("n"))
-    every = counts.select(user).distinct().withColumn("part_id", F.lit(None).cast("string"))
-    p = F.broadcast(parts.select(F.col("id").alias("part_id"), "price", "essential", "no"))
-    all_parts = every.drop("part_id").crossJoin(p)  # a user's few parts
-    return (
-        all_parts.join(counts, [user, "part_id"], "left")
-        .filter((F.coalesce("n", F.lit(0)) % 2 == 1) != F.col("essential"))
-        .select(user, "part_id", "price", "no")
-    )
+    numbers = parts.select(F.col("id").alias("part_id"), "no")
+    bit = F.when(F.col("no") < 63, F.expr("shiftleft(1L, no)")).when(F.col("no") >= 63, F.raise_error(F.lit("more than 63 parts")).cast("long"))
+    odd = toggles.join(numbers, "part_id", "left").groupBy(user).agg(F.coalesce(F.bit_xor(bit), F.lit(0)).alias("_odd"))
+    each = odd.crossJoin(parts.select(F.col("id").alias("part_id"), "price", "essential", "no"))  # a user's few parts
+    return each.select(user, "part_id", "price", "no", (F.expr("shiftright(_odd, no) & 1 = 1") != F.col("essential")).alias("is_selected"))
+
+
+def toggled(toggles: DataFrame, parts: DataFrame, user: str = "user_id") -> DataFrame:
+    """The parts selected for each user after all toggles: ``user``, ``part_id``, ``price``, ``no``."""
+    return part_rows(toggles, parts, user).filter("is_selected").drop("is_selected")
+
+
+def toggled_totals(toggles: DataFrame, parts: DataFrame, user: str = "user_id") -> DataFrame:
+    """``n_parts`` and ``total`` for each user with toggles; shuffled once."""
+    chosen = F.col("is_selected")
+    return part_rows(toggles, parts, user).groupBy(user).agg(F.count_if(chosen).alias("n_parts"), F.coalesce(F.sum(F.when(chosen, F.col("price"))), F.lit(0)).alias("total"))
 
 
 def totals(selected: DataFrame, users: DataFrame, user: str = "user_id") -> DataFrame:

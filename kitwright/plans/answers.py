@@ -107,8 +107,7 @@ chosen AS (SELECT users.user_id, p.id AS part_id, p.name, p.price, p.no, (coales
 
 @query("starter_totals", f"WITH {SELECTED_SQL} SELECT user_id, count(*) FILTER (WHERE is_selected) AS n_parts, coalesce(sum(price) FILTER (WHERE is_selected), 0)::BIGINT AS total FROM chosen GROUP BY user_id")
 def starter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = toggles(spark, sf_dir)
-    return selection.totals(selection.toggled(t, catalog.parts(spark)), t.select("user_id").distinct())
+    return selection.toggled_totals(toggles(spark, sf_dir), catalog.parts(spark))
 
 
 @query("starter_rows", f"WITH {SELECTED_SQL} SELECT part_id, count(*) FILTER (WHERE is_selected) AS n_selected, count(*) FILTER (WHERE NOT is_selected) AS n_open FROM chosen GROUP BY part_id")

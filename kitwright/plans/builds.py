@@ -16,17 +16,18 @@ from kitwright.sources.tables import table
 
 
 def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``build_id``, ``slot``, ``product_id`` and the order of picks."""
+    """``build_id``, ``slot``, ``product_id`` and ``turn``, the order of picks (room for 65,535 lines an order)."""
     products = catalog.PRODUCTS
     number = F.pmod("l_partkey", F.lit(len(products))).cast("int")
     slot, ident = (F.element_at(F.array(*[F.lit(p[k]) for p in products]), number + 1) for k in ("category", "id"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", number.alias("pick_no"), slot.alias("slot"), ident.alias("product_id"))
+    turn = (F.col("l_orderkey").cast("long") * 65536 + F.col("l_linenumber")) * 32 + number
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", turn.alias("turn"), slot.alias("slot"), ident.alias("product_id"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("build_id"))
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("build_id", "slot", "product_id", "l_orderkey", "l_linenumber", "pick_no")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("build_id", "slot", "product_id", "turn")
 
 
 def builds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return configure.resolve(picks(spark, sf_dir), catalog.products(spark), order=["l_orderkey", "l_linenumber", "pick_no"])
+    return configure.resolve(picks(spark, sf_dir), catalog.products(spark), order=["turn"])
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +133,10 @@ def candidate_visible_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def component_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every category of every build, filled or not."""
-    names = F.broadcast(catalog.products(spark).select("id", "name"))
+    names = catalog.products(spark).select("id", "name")
     slots = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c)["id"].alias("id"), F.col(c)["price"].alias("price")) for c in SLOTS]))
     rows = builds(spark, sf_dir).select("build_id", slots.alias("s")).select("build_id", "s.*").join(names, "id", "left")
-    return rows.join(F.broadcast(catalog.categories(spark)), "category").select(
+    return rows.join(catalog.categories(spark), "category").select(
         "build_id", "ord", "label", F.coalesce("name", F.lit("Not selected")).alias("product_name"), F.coalesce(F.col("price").cast("string"), F.lit("—")).alias("price_text")
     )
 

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Category order and labels.
 CATEGORIES = [
@@ -106,8 +109,15 @@ _PRODUCT_COLUMNS = [c.split()[0] for c in PRODUCT_SCHEMA.split(", ")]
 PRODUCT_ROWS = [tuple({"no": no, **p, "price": Decimal(p["price"])}.get(c) for c in _PRODUCT_COLUMNS) for no, p in enumerate(PRODUCTS)]
 
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """``rows`` as a local relation: its size is known to the optimizer, which then broadcasts it by itself."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    columns = [pa.array(list(values), f.type) for values, f in zip(zip(*rows, strict=True), fields, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields))
+
+
 def products(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PRODUCT_ROWS, PRODUCT_SCHEMA)
+    return literal(spark, PRODUCT_ROWS, PRODUCT_SCHEMA)
 
 
 def product_index(products: DataFrame) -> DataFrame:
@@ -119,31 +129,31 @@ def product_index(products: DataFrame) -> DataFrame:
 
 
 def categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, c, label) for i, (c, label) in enumerate(CATEGORIES)], "ord int, category string, label string")
+    return literal(spark, [(i, c, label) for i, (c, label) in enumerate(CATEGORIES)], "ord int, category string, label string")
 
 
 def presets(spark: SparkSession) -> DataFrame:
     """The presets with their selection as a map from slot to product id."""
-    rows = [(key, name, dict(zip(SLOTS, ids, strict=True))) for key, name, ids in PRESETS]
-    return spark.createDataFrame(rows, "key string, name string, selection map<string,string>")
+    rows = [(key, name, list(zip(SLOTS, ids, strict=True))) for key, name, ids in PRESETS]
+    return literal(spark, rows, "key string, name string, selection map<string,string>")
 
 
 def parts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *p) for i, p in enumerate(PARTS)], "no int, id string, name string, price int, essential boolean")
+    return literal(spark, [(i, *p) for i, p in enumerate(PARTS)], "no int, id string, name string, price int, essential boolean")
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "id string, name string, level string, flight_time string, top_speed string, camera string, price int")
+    return literal(spark, TEMPLATES, "id string, name string, level string, flight_time string, top_speed string, camera string, price int")
 
 
 def ready_made(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(READY_MADE, "name string, brand string, price int, weight string, camera string, best_for string")
+    return literal(spark, READY_MADE, "name string, brand string, price int, weight string, camera string, best_for string")
 
 
 def plans(spark: SparkSession) -> DataFrame:
     rows = [(*p[:5], *map(Decimal, p[5:8]), p[8]) for p in PLANS]
-    return spark.createDataFrame(
-        rows, "plan string, plan_name string, ai_builds double, saved_builds double, exports double, monthly decimal(10,2), yearly_monthly decimal(10,2), yearly_total decimal(10,2), support string"
+    return literal(
+        spark, rows, "plan string, plan_name string, ai_builds double, saved_builds double, exports double, monthly decimal(10,2), yearly_monthly decimal(10,2), yearly_total decimal(10,2), support string"
     )
 
 
