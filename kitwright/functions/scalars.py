@@ -98,6 +98,11 @@ def acceptable_password(password: Column | str, again: Column | str) -> Column:
     return holds((F.length(col(password)) >= 8) & (col(password) == col(again)))
 
 
+def acceptable_name(name: Column | str) -> Column:
+    """At most 100 characters without the white space at either end."""
+    return holds(F.length(trimmed(name)) <= 100)
+
+
 def display_name(name: Column | str, email: Column | str, default: str = "Pilot") -> Column:
     """The name if it isn't blank, else what stands before the @, else the default."""
     return F.coalesce(F.nullif(trimmed(name), F.lit("")), F.nullif(F.split_part(col(email), F.lit("@"), F.lit(1)), F.lit("")), F.lit(default))

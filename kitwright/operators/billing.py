@@ -47,7 +47,8 @@ def expired(state: Column, now: Column) -> Column:
 def step(state: Column, event: Column) -> Column:
     """The state after an event (``ts``, ``action``, ``plan``, ``interval``).
 
-    Actions: ``change``, ``cancel``, ``resume``, ``add_card``, ``remove_card``.
+    Actions: ``change``, ``select`` (a change, unless it names the plan and interval
+    that hold already), ``cancel``, ``resume``, ``add_card``, ``remove_card``.
     """
     now = event["ts"]
     s = expired(state, now)
@@ -60,10 +61,12 @@ def step(state: Column, event: Column) -> Column:
         s, plan=event["plan"], interval=event["interval"], cancel_at_period_end=F.lit(False), period_end_at=add_months(now, F.when(yearly, 12).otherwise(1)),
         invoices=F.concat(F.array(invoice), s["invoices"]), next_invoice_number=s["next_invoice_number"] + 1,
     )
+    same = (event["plan"] == s["plan"]) & (free | (event["interval"] == s["interval"]))
+    change = (event["action"] == "change") | ((event["action"] == "select") & ~holds(same))
     to_free = _with(s, plan=F.lit("free"), interval=F.lit("monthly"), cancel_at_period_end=F.lit(False), period_end_at=F.lit(None))
     return (
-        F.when((event["action"] == "change") & free, to_free)
-        .when((event["action"] == "change") & s["has_card"], paid)
+        F.when(change & free, to_free)
+        .when(change & s["has_card"], paid)
         .when((event["action"] == "cancel") & (s["plan"] != "free"), _with(s, cancel_at_period_end=F.lit(True)))
         .when(event["action"] == "resume", _with(s, cancel_at_period_end=F.lit(False)))
         .when(event["action"] == "add_card", _with(s, has_card=F.lit(True)))

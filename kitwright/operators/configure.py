@@ -136,6 +136,20 @@ def candidates(builds: DataFrame, products: DataFrame, category: str | None = No
     return verdicts.filter("status <> 'incompatible'") if compatible_only else verdicts
 
 
+# The verdict on a candidate without a conflict.
+VERDICTS = {"compatible": "Compatible with the completed demo build", "unknown": "No conflicts found so far; complete the build to verify."}
+
+
+def candidate_rows(found: DataFrame, products: DataFrame) -> DataFrame:
+    """:func:`candidates` as listed: ``detail`` (``spec · weight g``) and ``verdict_text``, for a conflict its messages."""
+    keep = [c for c in found.columns if c not in ("status", "messages")]
+    detail = products.select(F.col("id").alias("candidate_id"), F.concat("spec", F.lit(" · "), "weight", F.lit(" g")).alias("detail"))
+    text = F.when(F.col("status") == "incompatible", F.concat_ws(" ", "messages"))
+    for status, words in VERDICTS.items():
+        text = text.when(F.col("status") == status, words)
+    return found.select(*keep, text.alias("verdict_text")).join(detail, "candidate_id").select(*keep, "detail", "verdict_text")
+
+
 def pair_matrix(products: DataFrame) -> DataFrame:
     """Every pair of products that a pair rule looks at, and whether it holds: ``rule``, ``a_id``, ``b_id``, ``fits``."""
     out = None

@@ -86,6 +86,19 @@ def billing_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return billing.receipts(states(spark, sf_dir), name, email).select("user_id", "file_name", F.md5("body").alias("body_md5"))
 
 
+@query(
+    "billing_selections",
+    """WITH e AS (SELECT user_id, ts, event_id, CASE WHEN value >= 50 THEN 'team' ELSE 'pro' END AS plan, CASE WHEN event_id % 2 = 0 THEN 'yearly' ELSE 'monthly' END AS term FROM events WHERE event_type = 'purchase'),
+p AS (SELECT *, lag(plan, 1, 'pro') OVER w AS old_plan, lag(term, 1, 'monthly') OVER w AS old_term FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, arg_max(plan, (ts, event_id)) AS plan, arg_max(term, (ts, event_id)) AS plan_interval, count(*) FILTER (WHERE plan <> old_plan OR term <> old_term)::INT AS n_changes FROM p GROUP BY user_id""",
+)
+def billing_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases alone, as choices on the page: one that names the plan and interval in force makes no invoice."""
+    chosen = actions(spark, sf_dir).filter("action = 'change'").withColumn("action", F.lit("select"))
+    after = billing.replay(chosen, _at(OPENED), _at(AS_OF))
+    return after.select("user_id", "plan", F.col("interval").alias("plan_interval"), (F.col("next_invoice_number") - 5).alias("n_changes"))
+
+
 @query(
     "usage_meters",
     f"""WITH {STATES_SQL}, {PLANS_SQL} SELECT user_id, plan,

@@ -110,6 +110,13 @@ def starter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.toggled_totals(toggles(spark, sf_dir), catalog.parts(spark))
 
 
+@query("starter_part_rows", f"WITH {SELECTED_SQL} SELECT user_id, part_id, p.role, is_selected FROM chosen JOIN parts p ON p.id = part_id")
+def starter_part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = catalog.parts(spark)
+    roles = parts.select(F.col("id").alias("part_id"), "role")
+    return selection.part_rows(toggles(spark, sf_dir), parts).join(roles, "part_id").select("user_id", "part_id", "role", "is_selected")
+
+
 @query("starter_rows", f"WITH {SELECTED_SQL} SELECT part_id, count(*) FILTER (WHERE is_selected) AS n_selected, count(*) FILTER (WHERE NOT is_selected) AS n_open FROM chosen GROUP BY part_id")
 def starter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = toggles(spark, sf_dir)
@@ -151,9 +158,9 @@ def saved_build_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("event_id", F.size("b").alias("n_saved"), F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x["estimatedTotal"]).alias("saved_total"))
 
 
-@query("template_cards", f"WITH {TEMPLATES_SQL} SELECT id, name, level, '$' || price AS price_text, flight_time, top_speed, camera FROM templates")
+@query("template_cards", f"WITH {TEMPLATES_SQL} SELECT id, name, level, '$' || price AS price_text, flight_time, top_speed, camera, blurb FROM templates")
 def template_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.templates(spark).select("id", "name", "level", F.concat(F.lit("$"), "price").alias("price_text"), "flight_time", "top_speed", "camera")
+    return catalog.templates(spark).select("id", "name", "level", F.concat(F.lit("$"), "price").alias("price_text"), "flight_time", "top_speed", "camera", "blurb")
 
 
 def by_brand(rows: DataFrame, brand: F.Column, column: str = "brand") -> DataFrame:
@@ -161,11 +168,11 @@ def by_brand(rows: DataFrame, brand: F.Column, column: str = "brand") -> DataFra
     return rows.filter((brand == "All") | (F.col(column) == brand))
 
 
-@query("ready_made_cards", f"WITH {READY_MADE_SQL}, b(shown) AS (VALUES ('All'), ('DJI'), ('Autel'), ('Skydio'), ('HOVERAir')) SELECT shown, name, '$' || price AS price_text, weight, best_for FROM ready_made, b WHERE shown = 'All' OR brand = shown")
+@query("ready_made_cards", f"WITH {READY_MADE_SQL}, b(shown) AS (VALUES ('All'), ('DJI'), ('Autel'), ('Skydio'), ('HOVERAir')) SELECT shown, name, '$' || price AS price_text, weight, best_for, brand, camera FROM ready_made, b WHERE shown = 'All' OR brand = shown")
 def ready_made_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = spark.createDataFrame([("All",), ("DJI",), ("Autel",), ("Skydio",), ("HOVERAir",)], "shown string")
     every = catalog.ready_made(spark).crossJoin(F.broadcast(shown))  # six rows by five
-    return by_brand(every, F.col("shown")).select("shown", "name", F.concat(F.lit("$"), "price").alias("price_text"), "weight", "best_for")
+    return by_brand(every, F.col("shown")).select("shown", "name", F.concat(F.lit("$"), "price").alias("price_text"), "weight", "best_for", "brand", "camera")
 
 
 @query("brand_filter", "SELECT 'All' AS shown, count(*) AS n_parts FROM part UNION ALL SELECT p_brand, count(*) FROM part GROUP BY p_brand")

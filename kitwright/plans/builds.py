@@ -115,6 +115,18 @@ def candidate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("status", "verdict").withColumn("messages", F.concat_ws(" | ", "messages"))
 
 
+@query(
+    "candidate_rows",
+    f"WITH {BUILDS_SQL}, tried AS (SELECT build_id, q.category, q.id AS candidate_id, {_CANDIDATES} FROM slots CROSS JOIN products q WHERE q.category = 'esc'), "
+    f"{evaluation_sql('tried', 's.build_id, s.category, s.candidate_id')} "
+    "SELECT build_id, e.category, candidate_id, q.spec || ' · ' || q.weight || ' g' AS detail, CASE status WHEN 'incompatible' THEN array_to_string(warnings, ' ') "
+    "WHEN 'compatible' THEN 'Compatible with the completed demo build' ELSE 'No conflicts found so far; complete the build to verify.' END AS verdict_text FROM evaluated e JOIN products q ON q.id = candidate_id",
+)
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products = catalog.products(spark)
+    return configure.candidate_rows(configure.candidates(builds(spark, sf_dir), products, "esc"), products)
+
+
 @query(
     "candidate_visible_counts",
     f"WITH {BUILDS_SQL}, tried AS (SELECT build_id, q.category, q.id AS candidate_id, {_CANDIDATES} FROM slots CROSS JOIN products q WHERE q.category = 'motors'), "

@@ -27,6 +27,8 @@ def _apply(s: tuple, e: tuple) -> tuple:
     ts, action, new_plan, new_interval = e
     if cancels and period_end is not None and period_end <= ts:
         plan, interval, cancels, period_end = "free", "monthly", False, None
+    if action == "select" and not (new_plan == plan and (plan == "free" or new_interval == interval)):
+        action = "change"
     if action == "change" and new_plan == "free":
         plan, interval, cancels, period_end = "free", "monthly", False, None
     elif action == "change" and has_card:

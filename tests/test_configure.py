@@ -96,6 +96,32 @@ def test_saving(spark, tmp_path):
     assert {r.user_id: r.part_ids for r in got.collect()} == {1: ["frame"], 3: ["esc"]}
 
 
+def test_selecting_the_plan_in_force_changes_nothing(spark):
+    at = lambda day: datetime.datetime(2024, 1, day)
+    events = [
+        (1, at(2), 1, "select", "pro", "monthly"), (1, at(3), 2, "select", "pro", "yearly"), (1, at(4), 3, "select", "pro", "yearly"),
+        (2, at(2), 1, "change", "pro", "monthly"),
+        (3, at(2), 1, "select", "free", "monthly"), (3, at(3), 2, "select", "free", "yearly"), (3, at(4), 3, "remove_card", None, None), (3, at(5), 4, "select", "pro", "monthly"),
+        (4, at(2), 1, "cancel", None, None), (4, at(3), 2, "select", "pro", "monthly"),
+    ]
+    table = spark.createDataFrame(events, "user_id long, ts timestamp, seq long, action string, plan string, interval string")
+    opened, as_of = (F.lit(x).cast("timestamp") for x in ("2024-01-01", "2024-01-20"))
+    got = {r.user_id: (r.plan, r.interval, r.cancel_at_period_end, r.has_card, r.next_invoice_number) for r in billing.replay(table, opened, as_of).collect()}
+    assert got == {1: ("pro", "yearly", False, True, 6), 2: ("pro", "monthly", False, True, 6), 3: ("free", "monthly", False, False, 5), 4: ("pro", "monthly", True, True, 5)}
+
+
+def test_names_and_part_bits(spark):
+    names = spark.createDataFrame([("x" * 100,), (" " + "x" * 100 + "\t",), ("x" * 101,), (None,)], "name string")
+    assert [r[0] for r in names.select(S.acceptable_name("name")).collect()] == [True, True, False, False]
+    toggles = spark.createDataFrame([(1, "frame"), (1, "camera"), (1, "camera"), (1, "camera"), (2, "nothing"), (3, None)], "user_id long, part_id string")
+    got = {u: {r.part_id for r in selection.toggled(toggles, catalog.parts(spark)).collect() if r.user_id == u} for u in (1, 2, 3)}
+    default = {p[0] for p in catalog.PARTS if p[3]}
+    assert got == {1: default - {"frame"} | {"camera"}, 2: default, 3: default}
+    many = catalog.parts(spark).withColumn("no", F.col("no") + 60)
+    with pytest.raises(Exception, match="more than 63 parts"):
+        selection.toggled(toggles.withColumn("part_id", F.lit("camera")), many).collect()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from kitwright.plans.accounts import OPENED, actions
     from kitwright.streaming.billing_stream import replay_stream
