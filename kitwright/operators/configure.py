@@ -123,12 +123,11 @@ def candidates(builds: DataFrame, products: DataFrame, category: str | None = No
 
     The verdict is the whole build's: a conflict elsewhere marks every
     candidate. The catalogue is a dimension, so each build is paired with its
-    few rows (an explode of one row that holds it), not with other builds.
+    few rows, not with other builds.
     ``compatible_only`` hides incompatible candidates; unknown ones stay.
     """
     wanted = products if category is None else products.filter(F.col("category") == category)
-    listed = wanted.agg(F.collect_list(F.struct(*ATTRIBUTES)).alias("c"))
-    each = builds.crossJoin(listed).withColumn("c", F.explode("c"))
+    each = builds.crossJoin(wanted.select(F.struct(*ATTRIBUTES).alias("c")))
     keep = [c for c in builds.columns if c not in SLOTS]
     put = [F.when(F.col("c.category") == s, F.col("c")).otherwise(F.col(s)).alias(s) for s in SLOTS]
     tried = evaluate(each.select(*keep, F.col("c.category").alias("category"), F.col("c.id").alias("candidate_id"), *put))
