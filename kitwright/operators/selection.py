@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kitwright.operators.records import overwrite
+
 
 def part_rows(toggles: DataFrame, parts: DataFrame, user: str = "user_id") -> DataFrame:
     """Every part for each user with ``is_selected`` after all toggles: ``user``, ``part_id``, ``price``, ``no``.
@@ -56,20 +58,9 @@ def save(builds: DataFrame, path: str) -> None:
 
 
 def save_draft(drafts: DataFrame, path: str, status: Column) -> None:
-    """Overwrites the drafts of those who are signed out; all other stored drafts stay as they are.
-
-    What is stored is written anew beside ``path`` and then takes its place.
-    """
-    spark = drafts.sparkSession
+    """Overwrites the drafts of those who are signed out; all other stored drafts stay as they are."""
     text = F.to_json(F.struct(F.col("part_ids").alias("partIds"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("savedAt")))
-    rows = drafts.filter(status == "signedOut").select("user_id", text.alias("raw"))
-    place, following = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.next"))
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(place):
-        rows = rows.unionByName(spark.read.parquet(path).join(rows.select("user_id"), "user_id", "left_anti"))
-    rows.write.mode("overwrite").parquet(f"{path}.next")
-    files.delete(place, True)
-    files.rename(following, place)
+    overwrite(drafts.filter(status == "signedOut").select("user_id", text.alias("raw")), path, "user_id")
 
 
 def saved_builds(raw: Column) -> Column:

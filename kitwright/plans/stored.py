@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kitwright.functions import scalars as S
-from kitwright.operators import billing
+from kitwright.operators import billing, records
 from kitwright.plans.accounts import AS_OF, STATES_SQL, _at, states
 from kitwright.plans.builds import BUILDS_SQL, builds
 from kitwright.plans.registry import query
@@ -55,6 +55,46 @@ def render_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A stored text for each user: three in five are whole, one is broken and one is missing.
+_RAW = """CASE WHEN user_id % 5 = 4 THEN '{"plan":"team","card"' WHEN user_id % 5 < 3 THEN concat(
+  '{"plan":"', CASE WHEN user_id % 3 = 0 THEN 'pro' ELSE 'team' END, '","interval":"yearly","cancelAtPeriodEnd":', CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END,
+  ',"periodEndAt":"2024-0', user_id % 2 + user_id % 3 + 2, '-01T00:00:00.000Z","card":', CASE WHEN user_id % 5 = 2 THEN 'null' ELSE '{"brand":"VISA","last4":"4242","addedAt":"2024-01-02T03:04:05.678Z"}' END,
+  ',"billingEmail":"pay', user_id, '@example.com","usage":{"aiBuilds":', n, ',"savedBuilds":', top % 60, ',"exports":', n % 7,
+  '},"invoices":[{"id":"DEMO-0002","date":"2024-02-01T00:00:00.000Z","description":"Team plan, monthly","amount":49,"status":"Paid"},{"id":"DEMO-0001","date":"2024-01-01T00:00:00.000Z","description":"Pro plan, monthly","amount":', n, '.4,"status":"Paid"}],"nextInvoiceNumber":', n + 3, '}') END AS raw"""
+
+
+@query(
+    "billing_records",
+    f"""WITH s AS (SELECT user_id, {_RAW} FROM (SELECT user_id, count(*) AS n, max(event_id) AS top FROM events GROUP BY user_id)), j AS (SELECT user_id, CASE WHEN json_valid(raw) THEN raw::JSON END AS r FROM s),
+p AS (SELECT *, r IS NULL AS was_seeded, r->>'plan' AS plan, (r->>'cancelAtPeriodEnd')::BOOLEAN AS cancels, replace(r->>'periodEndAt', 'Z', '')::TIMESTAMP AS ends, replace(r->'card'->>'addedAt', 'Z', '')::TIMESTAMP AS added FROM j),
+o AS (SELECT *, coalesce(cancels AND ends <= TIMESTAMP '{AS_OF}', false) AS is_over FROM p)
+SELECT user_id, was_seeded, CASE WHEN was_seeded THEN 'pro' WHEN is_over THEN 'free' ELSE plan END AS plan, CASE WHEN was_seeded OR is_over THEN 'monthly' ELSE r->>'interval' END AS plan_interval, coalesce(cancels AND NOT is_over, false) AS cancels,
+  CASE WHEN was_seeded THEN TIMESTAMP '{AS_OF}' + INTERVAL 30 DAY WHEN NOT is_over THEN ends END AS period_end_at,
+  CASE WHEN is_over AND user_id % 4 = 0 THEN NULL ELSE coalesce(added, TIMESTAMP '{AS_OF}') END AS card_added_at, CASE WHEN is_over AND user_id % 4 = 0 THEN NULL ELSE '4242' END AS card_last4,
+  CASE WHEN user_id % 7 = 0 THEN 'bills' || user_id || '@example.com' WHEN was_seeded THEN 'user' || user_id || '@example.com' ELSE r->>'billingEmail' END AS billing_email,
+  coalesce((r->'usage'->>'aiBuilds')::BIGINT, 4) AS ai_builds, coalesce((r->'usage'->>'savedBuilds')::BIGINT, 15) AS saved_builds, coalesce((r->'usage'->>'exports')::BIGINT, 6) AS exports,
+  CASE WHEN was_seeded THEN 4 ELSE json_array_length(r->'invoices') END::INT AS n_invoices, CASE WHEN was_seeded THEN 19 ELSE (r->'invoices'->1->>'amount')::DOUBLE END::DOUBLE AS second_amount,
+  coalesce((r->>'nextInvoiceNumber')::INT, 5) AS next_invoice FROM o""",
+)
+def billing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records read, a card added, cards removed on free plans, e-mails changed, and all written as text and read again."""
+    user, as_of = F.col("user_id"), _at(AS_OF)
+    mail = lambda name: F.concat(F.lit(name), user.cast("string"), F.lit("@example.com"))
+    texts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("top")).selectExpr("user_id", _RAW)
+    stored = records.read(texts, "raw", as_of, mail("user"))
+    carded = records.with_card(F.col("record"), as_of)
+    carded = F.when(user % 4 == 0, records.without_card(carded)).otherwise(carded)
+    mailed = records.with_email(F.col("record"), F.when(user % 7 == 0, mail("bills")))
+    changed = stored.withColumn("record", carded).withColumn("record", mailed)
+    again = records.read(changed.select("user_id", "was_seeded", records.text(F.col("record")).alias("raw")).withColumnRenamed("was_seeded", "seeded"), "raw", as_of, mail("user"))
+    r = F.col("record")
+    return again.select(
+        "user_id", F.col("seeded").alias("was_seeded"), r["plan"].alias("plan"), r["interval"].alias("plan_interval"), r["cancelAtPeriodEnd"].alias("cancels"), r["periodEndAt"].alias("period_end_at"),
+        r["card"]["addedAt"].alias("card_added_at"), r["card"]["last4"].alias("card_last4"), r["billingEmail"].alias("billing_email"), r["usage"]["aiBuilds"].alias("ai_builds"), r["usage"]["savedBuilds"].alias("saved_builds"),
+        r["usage"]["exports"].alias("exports"), F.size(r["invoices"]).alias("n_invoices"), r["invoices"][1]["amount"].cast("double").alias("second_amount"), r["nextInvoiceNumber"].alias("next_invoice"),
+    )
+
+
 @query(
     "stored_billing",
     """SELECT user_id, CASE WHEN user_id % 4 = 1 THEN 'team' WHEN user_id % 4 = 2 THEN 'free' ELSE 'pro' END AS plan, CASE WHEN user_id % 4 = 1 THEN 'yearly' ELSE 'monthly' END AS plan_interval,
