@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: For words of letters, digits and what is not ASCII: every other byte as a space, and A-Z in lower case.
+AS_WORDS = bytes(b + 32 if 0x41 <= b < 0x5B else b if 0x30 <= b < 0x3A or 0x61 <= b < 0x7B or b >= 0x80 else 32 for b in range(256))
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kitwright.llm import bpe, decontam, embedding, langid, lines, secrets, sharding, simhash, substring, toxicity
+from kitwright.llm import bpe, decontam, embedding, langid, licenses, lines, periodic, ranking, secrets, sharding, simhash, substring, toxicity
 from kitwright.llm.common import documents, id_bucket, materialize
 
 SHARDS, SHARD_SEED = 40, "kitwright"
@@ -74,6 +74,33 @@ def op10_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net).select("doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.report(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op12_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` (``doc_id``, ``text``) where one text in ten, by its id, repeats a stretch of its words up to its end."""
+    n, h = F.size("_words").cast("long"), F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.withColumn("_h", h).withColumn("_words", F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    rows = rows.withColumn("_n", n).withColumn("_g", F.floor(F.col("_h") / 10)).withColumn("_a", F.expr("cast(_g % _n as int)"))
+    rows = rows.withColumn("_p", F.expr("cast(1 + floor((_n - _a) / (3 + _g % 8)) as int)"))
+    repeated = F.expr("array_join(transform(_words, (w, i) -> if(i >= _a, get(_words, _a + (i - _a) % _p), w)), ' ')")
+    return rows.select("doc_id", F.when(F.col("_n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.summary(periodic.find(with_repeats(documents(spark, sf_dir).select("doc_id", "text"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,10 +110,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_stratified_shards, op2_line_templates, op3_cross_polytope, op4_simhash, op5_recompression,
-        op6_toxicity_nnpu, op7_byte_bpe, op8_benchmark_qgrams, op9_secret_ledger, op10_language_gru, pipeline,
+        op6_toxicity_nnpu, op7_byte_bpe, op8_benchmark_qgrams, op9_secret_ledger, op10_language_gru,
+        op11_license_notices, op12_dual_tree_search, op13_periodic_runs, pipeline,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_stratified_shards": sharding.oracle(SHARDS, SHARD_SEED)}
+    return {"op1_stratified_shards": sharding.oracle(SHARDS, SHARD_SEED), "op12_dual_tree_search": ranking.oracle(10)}
