@@ -82,16 +82,15 @@ def replay(events: DataFrame, opened: Column, as_of: Column, user: str = "user_i
     return folded.select(user, expired(F.col("s"), as_of).alias("s")).select(user, "s.*")
 
 
-def invoice_rows(states: DataFrame, user: str = "user_id") -> DataFrame:
-    """One row for each invoice as shown, in the order of the list (newest changes first, then the seed's)."""
-    return states.select(user, F.posexplode("invoices").alias("place", "i")).select(
-        user, "place", F.col("i.id").alias("invoice_id"), date_label("i.date").alias("date_text"), F.col("i.description").alias("description"), euro_irish("i.amount").alias("amount_text"), F.col("i.status").alias("paid_status")
-    )
+def listed(invoices: DataFrame, user: str = "user_id") -> DataFrame:
+    """Invoices (``no``, ``invoice``) as shown; the page lists those made later first."""
+    i = F.col("invoice")
+    return invoices.select(user, "no", i["id"].alias("invoice_id"), date_label(i["date"]).alias("date_text"), i["description"].alias("description"), euro_irish(i["amount"]).alias("amount_text"), i["status"].alias("paid_status"))
 
 
-def receipts(states: DataFrame, name: Column, email: Column, user: str = "user_id") -> DataFrame:
+def receipts(invoices: DataFrame, name: Column, email: Column, user: str = "user_id") -> DataFrame:
     """A text for each invoice: ``file_name`` and ``body``."""
-    rows = states.withColumn("_name", name).withColumn("_email", email).select(user, "_name", "_email", F.explode("invoices").alias("i"))
+    rows = invoices.select(user, name.alias("_name"), email.alias("_email"), F.col("invoice").alias("i"))
     lines = [
         F.lit("Demo receipt"), F.concat(F.lit("Invoice: "), "i.id"), F.concat(F.lit("Date: "), date_label("i.date")), F.concat(F.lit("Customer: "), "_name", F.lit(" <"), "_email", F.lit(">")),
         F.concat(F.lit("Description: "), "i.description"), F.concat(F.lit("Amount: "), euro_irish("i.amount")), F.concat(F.lit("Status: "), "i.status"), F.lit(""), F.lit("Demo only. No payment was processed."),
@@ -122,19 +121,3 @@ def usage_meters(states: DataFrame, plans: DataFrame, usage: dict[str, Column])
     joined = states.join(plans.select("plan", *usage), "plan")
     shown = [x for m, v in usage.items() for x in (usage_label(v, m).alias(f"{m}_text"), usage_percent(v, m).alias(f"{m}_percent"))]
     return joined.select(*[c for c in states.columns], *shown)
-
-
-def stored(records: DataFrame, raw: str, as_of: Column) -> DataFrame:
-    """``records`` with the fields of the state in place of ``raw``, a stored JSON text, and ``was_seeded``.
-
-    A missing or broken text gives the seed; a cancelled plan whose period has
-    ended comes back as the free plan.
-    """
-    fields = "plan string, interval string, cancelAtPeriodEnd boolean, periodEndAt timestamp, card struct<brand:string>, nextInvoiceNumber int"
-    parsed = F.from_json(F.when(F.try_parse_json(F.col(raw)).isNotNull(), F.col(raw)), fields)
-    read = F.when(
-        parsed["plan"].isNotNull(),
-        F.struct(parsed["plan"], parsed["interval"], parsed["cancelAtPeriodEnd"], parsed["periodEndAt"], parsed["card"].isNotNull(), F.array().cast(f"array<{INVOICE}>"), parsed["nextInvoiceNumber"]).cast(STATE),
-    )
-    state = records.withColumn("_s", expired(F.coalesce(read, seed(as_of)), as_of))
-    return state.select(*[c for c in records.columns if c != raw], "_s.*", read.isNull().alias("was_seeded"))

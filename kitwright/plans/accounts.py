@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kitwright.functions import scalars as S
-from kitwright.operators import billing
+from kitwright.operators import billing, history
 from kitwright.plans.registry import query
 from kitwright.sources import catalog
 from kitwright.sources.catalog import PLANS_SQL
@@ -35,7 +35,11 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return billing.replay(actions(spark, sf_dir), _at(OPENED), _at(AS_OF))
+    return history.states(actions(spark, sf_dir), _at(OPENED), _at(AS_OF))
+
+
+def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.invoices(actions(spark, sf_dir), _at(OPENED))
 
 
 #: The state by windows instead of a fold: what counts is each user's last purchase, and after it the last cancel or
@@ -58,22 +62,22 @@ final AS (SELECT user_id, CASE WHEN is_over THEN 'free' ELSE plan END AS plan, C
 @query("billing_states", f"WITH {STATES_SQL} SELECT user_id, plan, plan_interval, cancels, period_end_at, (4 + n)::INT AS n_invoices, (5 + n)::INT AS next_invoice FROM final")
 def billing_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states(spark, sf_dir).select(
-        "user_id", "plan", F.col("interval").alias("plan_interval"), F.col("cancel_at_period_end").alias("cancels"), "period_end_at", F.size("invoices").alias("n_invoices"), F.col("next_invoice_number").alias("next_invoice")
+        "user_id", "plan", F.col("interval").alias("plan_interval"), F.col("cancel_at_period_end").alias("cancels"), "period_end_at", F.col("n_invoices").cast("int"), F.col("next_invoice_number").cast("int").alias("next_invoice")
     )
 
 
 _INVOICES = f"""WITH b AS (SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type = 'purchase'),
 u AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS n FROM events GROUP BY user_id),
 rows AS (
-  SELECT user_id, (n - k)::INT AS place, 'DEMO-' || CASE WHEN k + 4 < 10000 THEN lpad((k + 4)::VARCHAR, 4, '0') ELSE (k + 4)::VARCHAR END AS invoice_id, ts AS d,
+  SELECT user_id, k + 4 AS no, 'DEMO-' || CASE WHEN k + 4 < 10000 THEN lpad((k + 4)::VARCHAR, 4, '0') ELSE (k + 4)::VARCHAR END AS invoice_id, ts AS d,
     CASE WHEN value >= 50 THEN 'Team' ELSE 'Pro' END || ' plan, ' || CASE WHEN event_id % 2 = 0 THEN 'yearly' ELSE 'monthly' END AS description,
     CASE WHEN value >= 50 THEN CASE WHEN event_id % 2 = 0 THEN '€470.40' ELSE '€49.00' END ELSE CASE WHEN event_id % 2 = 0 THEN '€182.40' ELSE '€19.00' END END AS amount_text FROM b
-  UNION ALL SELECT user_id, (n + i)::INT, 'DEMO-000' || (i + 1), TIMESTAMP '{OPENED}' - INTERVAL (3 - i) MONTH, 'Pro plan, monthly', '€19.00' FROM u, range(4) r(i))"""
+  UNION ALL SELECT user_id, i + 1, 'DEMO-000' || (i + 1), TIMESTAMP '{OPENED}' - INTERVAL (3 - i) MONTH, 'Pro plan, monthly', '€19.00' FROM u, range(4) r(i))"""
 
 
-@query("billing_invoices", f"{_INVOICES} SELECT user_id, place, invoice_id, strftime(d, '%b %-d, %Y') AS date_text, description, amount_text, 'Paid' AS paid_status FROM rows")
+@query("billing_invoices", f"{_INVOICES} SELECT user_id, no, invoice_id, strftime(d, '%b %-d, %Y') AS date_text, description, amount_text, 'Paid' AS paid_status FROM rows")
 def billing_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return billing.invoice_rows(states(spark, sf_dir))
+    return billing.listed(invoices(spark, sf_dir))
 
 
 @query(
@@ -83,7 +87,7 @@ def billing_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def billing_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, email = F.concat(F.lit("User "), F.col("user_id")), F.concat(F.lit("u"), F.col("user_id"), F.lit("@example.com"))
-    return billing.receipts(states(spark, sf_dir), name, email).select("user_id", "file_name", F.md5("body").alias("body_md5"))
+    return billing.receipts(invoices(spark, sf_dir), name, email).select("user_id", "file_name", F.md5("body").alias("body_md5"))
 
 
 @query(

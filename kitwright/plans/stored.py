@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kitwright.functions import scalars as S
-from kitwright.operators import billing, records
-from kitwright.plans.accounts import AS_OF, STATES_SQL, _at, states
+from kitwright.operators import records
+from kitwright.plans.accounts import AS_OF, STATES_SQL, _at, invoices, states
 from kitwright.plans.builds import BUILDS_SQL, builds
 from kitwright.plans.registry import query
 from kitwright.sources import catalog
@@ -109,8 +109,9 @@ def stored_billing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 3, '{"plan":"team"')
     )
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    got = billing.stored(users.withColumn("raw", raw), "raw", _at(AS_OF))
-    return got.select("user_id", "plan", F.col("interval").alias("plan_interval"), F.col("next_invoice_number").alias("next_invoice"), "was_seeded")
+    got = records.read(users.withColumn("raw", raw), "raw", _at(AS_OF), F.lit("a@example.com"))
+    r = F.col("record")
+    return got.select("user_id", r["plan"].alias("plan"), r["interval"].alias("plan_interval"), r["nextInvoiceNumber"].alias("next_invoice"), "was_seeded")
 
 
 @query(
@@ -119,8 +120,8 @@ def stored_billing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, plan, round((76 + coalesce((SELECT sum(amount) FROM i WHERE i.user_id = final.user_id), 0))::DOUBLE, 2) AS paid FROM final""",
 )
 def invoice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = F.aggregate("invoices", F.lit(0).cast("decimal(18,2)"), lambda a, i: (a + i["amount"]).cast("decimal(18,2)"))
-    return states(spark, sf_dir).select("user_id", "plan", F.round(total.cast("double"), 2).alias("paid"))
+    paid = invoices(spark, sf_dir).groupBy("user_id").agg(F.round(F.sum("invoice.amount").cast("double"), 2).alias("paid"))
+    return states(spark, sf_dir).select("user_id", "plan").join(paid, "user_id")
 
 
 @query(
