@@ -63,7 +63,7 @@ def group_pairs(members: DataFrame, keys: list[str], member: str, group: str, we
     mine = F.get(F.filter("_large", lambda x: x["g"] == F.col(group)), F.lit(0))
     numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     spread = lambda n: F.pmod(F.xxhash64(member, F.lit(17)), n)
-    mixed = F.coalesce(F.greatest("_mixed", F.lit(1)), F.lit(0))
+    mixed = F.when(F.col("_mixed").isNull(), 0).otherwise(F.greatest("_mixed", F.lit(1)))  # none where all groups are large
     others = F.flatten(F.transform(F.filter("_large", lambda x: x["g"] != F.col(group)), lambda x: F.transform(numbers(x["n"]), lambda k: F.xxhash64(x["g"], k))))
     others = F.concat(others, F.transform(numbers(mixed), lambda k: k.cast("long")))
     return (
