@@ -42,6 +42,8 @@ SEED, BLOCK_ROWS, BLOCK_SHINGLES, CHUNK, CROWD = 42, 2048, 1 << 18, 8192, 64
 #: Texts of up to that many distinct shingles are also compared exactly wherever they share a rare enough shingle.
 #: Pairs beyond have 33 shingles or more each, where the share of differing bits is at most ``EXCESS`` times the formula's.
 SHORT, EXCESS = 40, 1.04
+#: Cells that count the shingles of short texts, by which the rare ones go first.
+CELLS = 1 << 18
 #: Words of a fingerprint that a probe of :func:`jaccard_groups` carries to be compared where it meets another.
 HEAD = 3
 #: Odd constants that mix a hash to further words: multiples of the golden ratio's 64-bit fraction.
@@ -244,8 +246,10 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     The distance looked for is the share of bits in which pairs of that
     similarity differ plus four standard deviations. That share is higher and
     uneven for few shingles, so pairs of texts of up to ``SHORT`` shingles are
-    found exactly besides: of two sets that similar, the lowest
-    ``n - ceil(similarity * n) + 1`` hashes of each have one in common. Within
+    found exactly besides: of two sets that similar, the first
+    ``n - ceil(similarity * n) + 1`` hashes of each have one in common, in any
+    order of the hashes; rare ones go first, so what many texts share is a key
+    of few. Within
     the components of the former links, and among those who share such a hash,
     the shingle sets are compared exactly. Texts with equal fingerprints (320
     bits or more) share a class; those without words are one too. ``docs`` is
@@ -258,15 +262,35 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     fps = materialize(fingerprints(picked, shingle, words, distinct=True, short=SHORT))
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"))
     loose = components(links(classes, limit, segments, width, 1, HEAD, head_limit)).withColumnRenamed("node", "doc_id")
-    least = F.size("few") - F.ceil(F.size("few") * similarity - 1e-9) + 1
     own = classes.select(F.col("id").alias("doc_id"), "fp")
-    short = fps.filter("size(few) > 0").join(own, ["doc_id", "fp"], "left_semi")
-    short = short.select(F.explode(F.slice("few", F.lit(1), least.cast("int"))).alias("key"), F.col("doc_id").alias("id"), F.col("few").alias("shingles"))
+    short = _short_keys(materialize(fps.filter("size(few) > 0").join(own, ["doc_id", "fp"], "left_semi").select(F.col("doc_id").alias("id"), "few")), similarity)
     exact = components(_compared(_sets(picked.join(loose, "doc_id"), shingle).unionByName(short), similarity))
     named = classes.join(exact, classes["id"] == exact["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "component_id")
 
 
+def _short_keys(short: DataFrame, similarity: float) -> DataFrame:
+    """``key``, ``id`` and ``shingles`` for each of the first hashes of each text, by how many texts have hashes of their cell, then by hash."""
+    cells = short.select(F.explode("few").alias("h")).groupBy(F.pmod("h", F.lit(CELLS)).alias("cell")).count().collect()  # CELLS rows at most
+    counts = np.zeros(CELLS, dtype=np.int64)
+    for cell, n in cells:
+        counts[cell] = n
+    shared = short.sparkSession.sparkContext.broadcast(counts)
+    schema = pa.schema([("id", pa.int64()), ("first", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            firsts = []
+            for few in b.column(1):
+                hashes = few.values.to_numpy()
+                keep = len(hashes) - int(np.ceil(len(hashes) * similarity - 1e-9)) + 1
+                firsts.append(hashes[np.lexsort((hashes, shared.value[hashes % CELLS]))[:keep]])
+            yield batch(schema, [b.column(0), firsts, b.column(1)])
+
+    keyed = short.mapInArrow(run, "id long, first array<long>, shingles array<long>")
+    return keyed.select(F.explode("first").alias("key"), "id", "shingles")
+
+
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """``key`` (the component), ``id`` and ``shingles``, the sorted hashes of the distinct shingles."""
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])

@@ -108,6 +108,30 @@ def test_short_near_copies_are_all_found(spark):
     assert (1 - same**width - width * (1 - same) * same ** (width - 1)) ** segments <= 0.001
 
 
+def test_a_shingle_of_all_short_texts_is_no_key(spark):
+    """Rows dealt grow with the texts, though all share a shingle; and of two large groups no block holds one alone."""
+    rng = random.Random(13)
+    shared = words(rng, 5)
+    dealt = []
+    for many in (400, 1600):
+        rows = []
+        for i in range(many):
+            w = [*shared, *words(rng, 30, 1_000_000)]
+            rows += [" ".join(w), " ".join([*w[:-1], "other"])] if i % 10 == 0 else [" ".join(w)]
+        table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        fps = simhash.fingerprints(table, 5, 1, distinct=True, short=simhash.SHORT).select(F.col("doc_id").alias("id"), "few")
+        keys = simhash._short_keys(fps, 0.8)
+        dealt.append(keys.groupBy("key").count().filter("count > 1").agg(F.sum(F.col("count") * F.col("count"))).first()[0])
+        got = {r.doc_id: r.component_id for r in simhash.jaccard_groups(table).collect()}
+        assert sum(a != b for a, b in got.items()) == many // 10
+    assert dealt[1] < 6 * dealt[0]
+    table = spark.createDataFrame([(1, i, i // 200, 1) for i in range(400)], "k int, id long, g long, one int")
+    jobs = {}
+    for r in linking.group_pairs(table, ["k"], "id", "g", "one", 64).collect():
+        jobs.setdefault((r.block_a, r.block_b), []).append(r.g)
+    assert all(len(set(groups)) == 2 for groups in jobs.values()) and len(jobs) == 16
+
+
 def test_substrings_brute_force(docs, texts):
     split = {i: (t or "").encode().split() for i, t in texts}
     first = {}
