@@ -1,8 +1,14 @@
-"""The billing state machine over a stream of events (an extension: the batch form is a fold).
+"""The billing state machine over a stream of events, in event time.
 
-State is kept for each user and changes with event time; within a micro-batch
-a user's events are taken in order of time. Every batch emits the users whose
-state it changed.
+Events may come late and out of order, up to the watermark's delay. Each is
+kept until the watermark has passed it; a timer at its time then applies it
+after all that are earlier, so what a user's state goes through is what the
+batch fold goes through. A cancelled plan has a timer at the end of its period
+and ends then, without another event. Events behind the watermark are dropped,
+as in every stateful stream.
+
+An output row is a state and the time it holds from; a user has one for each
+time that changed it. A user's events of one delay are kept, no more.
 """
 
 from __future__ import annotations
@@ -11,10 +17,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-STATE = "plan string, interval string, cancels boolean, period_end timestamp, has_card boolean, next_invoice int"
-OUTPUT = f"user_id long, {STATE}"
+STATE = "plan string, interval string, cancels boolean, period_end timestamp, has_card boolean, n_invoices int"
+WAITING = "ts timestamp, seq long, action string, plan string, interval string"
+OUTPUT = f"user_id long, since timestamp, {STATE}"
 
 
 def _months_later(ts: pd.Timestamp, months: int) -> pd.Timestamp:
@@ -22,18 +30,23 @@ def _months_later(ts: pd.Timestamp, months: int) -> pd.Timestamp:
     return first + pd.Timedelta(days=ts.day - 1)
 
 
+def _ended(s: tuple, now: pd.Timestamp) -> tuple:
+    plan, interval, cancels, period_end, has_card, made = s
+    if cancels and period_end is not None and period_end <= now:
+        return "free", "monthly", False, None, has_card, made
+    return s
+
+
 def _apply(s: tuple, e: tuple) -> tuple:
-    plan, interval, cancels, period_end, has_card, number = s
-    ts, action, new_plan, new_interval = e
-    if cancels and period_end is not None and period_end <= ts:
-        plan, interval, cancels, period_end = "free", "monthly", False, None
+    ts, _, action, new_plan, new_interval = e
+    plan, interval, cancels, period_end, has_card, made = _ended(s, ts)
     if action == "select" and not (new_plan == plan and (plan == "free" or new_interval == interval)):
         action = "change"
     if action == "change" and new_plan == "free":
         plan, interval, cancels, period_end = "free", "monthly", False, None
     elif action == "change" and has_card:
         plan, interval, cancels = new_plan, new_interval, False
-        period_end, number = _months_later(ts, 12 if new_interval == "yearly" else 1), number + 1
+        period_end, made = _months_later(ts, 12 if new_interval == "yearly" else 1), made + 1
     elif action == "cancel" and plan != "free":
         cancels = True
     elif action == "resume":
@@ -42,20 +55,74 @@ def _apply(s: tuple, e: tuple) -> tuple:
         has_card = True
     elif action == "remove_card" and plan == "free":
         has_card = False
-    return plan, interval, cancels, period_end, has_card, number
+    return plan, interval, cancels, period_end, has_card, made
+
+
+def _millis(ts: pd.Timestamp) -> int:
+    """The first whole millisecond at or after ``ts``."""
+    return -(-ts.value // 1_000_000)
+
+
+class Subscription(StatefulProcessor):
+    """One user's state, the events that wait for the watermark, and a timer for each of them and for the end of the period."""
+
+    def __init__(self, opened: str):
+        self.opened = pd.Timestamp(opened)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", STATE)
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def _now(self) -> tuple:
+        if not self.state.exists():
+            return "pro", "monthly", False, self.opened + pd.Timedelta(days=30), True, 4
+        plan, interval, cancels, period_end, has_card, made = self.state.get()
+        return plan, interval, cancels, None if pd.isna(period_end) else pd.Timestamp(period_end), has_card, made
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            part = part[part["ts"].notna()]
+            for ts, *event in part[["ts", "seq", "action", "plan", "interval"]].itertuples(index=False, name=None):
+                self.waiting.appendValue((ts.to_pydatetime(), *event))
+                self.handle.registerTimer(_millis(ts))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """All that lies at or before the timer, in order of time; then the end of the period."""
+        now = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        events = [(pd.Timestamp(ts), *rest) for ts, *rest in self.waiting.get()]
+        due = sorted((e for e in events if e[0] <= now), key=lambda e: e[:2])
+        if due:
+            later = [(e[0].to_pydatetime(), *e[1:]) for e in events if e[0] > now]
+            self.waiting.put(later) if later else self.waiting.clear()
+        before = s = self._now()
+        since = now
+        for e in due:
+            s, since = _apply(s, e), e[0]
+        if _ended(s, now) != s:
+            s, since = _ended(s, now), s[3]
+        if s != before or not self.state.exists():
+            self.state.update((*s[:3], None if s[3] is None else s[3].to_pydatetime(), *s[4:]))
+            if s[2] and s[3] is not None and s[3] > now:
+                self.handle.registerTimer(_millis(s[3]))
+            columns = ["user_id", "since", "plan", "interval", "cancels", "period_end", "has_card", "n_invoices"]
+            yield pd.DataFrame([(key[0], since, *s)], columns=columns).astype({"since": "datetime64[ns]", "period_end": "datetime64[ns]"})
+        else:
+            yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
 
+def replay_stream(events: DataFrame, opened: str, delay: str = "1 day") -> DataFrame:
+    """States of each user with events (``user_id``, ``ts``, ``seq``, ``action``, ``plan``, ``interval``) that come up to ``delay`` late.
 
-def replay_stream(events: DataFrame, opened: str) -> DataFrame:
-    """The state of each user with new events (``user_id``, ``ts``, ``seq``, ``action``, ``plan``, ``interval``)."""
-    start = pd.Timestamp(opened)
+    The session needs the RocksDB state store (:data:`STORE`).
+    """
+    watched = events.select("user_id", "ts", "seq", "action", "plan", "interval").withWatermark("ts", delay)
+    return watched.groupBy("user_id").transformWithStateInPandas(Subscription(opened), OUTPUT, "update", "EventTime")
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = state.get if state.exists else ("pro", "monthly", False, start + pd.Timedelta(days=30), True, 5)
-        s = (*s[:3], None if pd.isna(s[3]) else pd.Timestamp(s[3]), *s[4:])
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])  # a user's events of one micro-batch
-        for e in rows[["ts", "action", "plan", "interval"]].itertuples(index=False, name=None):
-            s = _apply(s, e)
-        state.update((*s[:3], None if s[3] is None else s[3].to_pydatetime(), *s[4:]))
-        yield pd.DataFrame([(key[0], *s)], columns=["user_id", "plan", "interval", "cancels", "period_end", "has_card", "next_invoice"]).astype({"period_end": "datetime64[ns]"})
 
-    return events.groupBy("user_id").applyInPandasWithState(update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+#: The setting that timers need.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}

@@ -120,18 +120,3 @@ def test_names_and_part_bits(spark):
     many = catalog.parts(spark).withColumn("no", F.col("no") + 60)
     with pytest.raises(Exception, match="more than 63 parts"):
         selection.toggled(toggles.withColumn("part_id", F.lit("camera")), many).collect()
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    from kitwright.plans.accounts import OPENED, actions
-    from kitwright.streaming.billing_stream import replay_stream
-
-    events = actions(spark, "/root/testdata/sf0.001")
-    events.orderBy("ts").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = replay_stream(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"), OPENED)
-    q = stream.writeStream.format("memory").queryName("billing_now").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    latest = F.lit("1970-01-01").cast("timestamp")
-    batch = billing.replay(events, F.lit(OPENED).cast("timestamp"), latest)
-    want = {(r.user_id, r.plan, r.interval, r.cancel_at_period_end, r.next_invoice_number) for r in batch.collect()}
-    assert {(r.user_id, r.plan, r.interval, r.cancels, r.next_invoice) for r in spark.table("billing_now").collect()} == want
