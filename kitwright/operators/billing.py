@@ -98,6 +98,12 @@ def receipts(invoices: DataFrame, name: Column, email: Column, user: str = "user
     return rows.select(user, F.concat(F.col("i.id"), F.lit(".txt")).alias("file_name"), F.concat_ws("\n", *lines).alias("body"))
 
 
+def write_receipts(receipts: DataFrame, path: str, user: str = "user_id") -> None:
+    """Each receipt as a file of its own, in a folder for each user; the session knows the format ``text_files``."""
+    rows = receipts.select(F.concat_ws("/", F.col(user).cast("string"), "file_name").alias("file_name"), "body")
+    rows.write.format("text_files").mode("append").save(path)
+
+
 def plan_cards(plans: DataFrame, current_plan: Column, current_interval: Column, interval: Column) -> DataFrame:
     """The plan cards as shown for a choice of interval: price, features and the button's text."""
     plan, yearly = F.col("plan"), interval == "yearly"

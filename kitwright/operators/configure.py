@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kitwright.functions.scalars import filled, given, holds, round_half_up
+from kitwright.functions.scalars import DASH, euro_german, filled, given, holds, round_half_up
 from kitwright.sources.catalog import SLOTS
 
 ATTRIBUTES = [
@@ -170,20 +170,62 @@ def catalogue_builds(products: DataFrame) -> DataFrame:
     return out.withColumn("build_id", F.concat_ws("+", *[F.col(f"{s}.id") for s in SLOTS]))
 
 
+# What stands beside the tiles.
+STATUS_TEXTS = {"compatible": "All components are compatible", "incompatible": "Compatibility needs attention", "unknown": "Select components to check compatibility"}
+
+
 def tiles(evaluated: DataFrame) -> DataFrame:
-    """The texts of the statistics tiles: ``score_text``, ``grade``, ``speed_text``, ``weight_text``."""
+    """The texts of the statistics tiles: ``score_text``, ``grade``, ``speed_text``, ``weight_text``, ``price_text``, ``status_text``; a dash for an unknown estimate."""
     keep = [c for c in evaluated.columns if c not in ("n_filled", "price", "weight", "speed", "score", "status", "warnings", "missing")]
     return evaluated.select(
         *keep,
-        F.concat(F.coalesce(F.col("score").cast("string"), F.lit("—")), F.lit("/100")).alias("score_text"),
-        F.when(F.col("score") >= 80, "Great").when(F.col("score").isNotNull(), "Good").otherwise("Incomplete").alias("grade"),
-        F.concat(F.lit("~ "), F.coalesce(F.col("speed").cast("string"), F.lit("—")), F.lit(" km/h")).alias("speed_text"),
-        F.concat(F.lit("~ "), F.coalesce(F.col("weight").cast("string"), F.lit("—")), F.lit(" g")).alias("weight_text"),
+        F.concat(F.coalesce(F.col("score").cast("string"), F.lit(DASH)), F.lit("/100")).alias("score_text"),
+        F.when(F.col("score") >= 80, "Great match").when(F.col("score").isNotNull(), "Good match").otherwise("Build incomplete").alias("grade"),
+        F.coalesce(F.concat(F.lit("~ "), F.col("speed"), F.lit(" km/h")), F.lit(DASH)).alias("speed_text"),
+        F.coalesce(F.concat(F.lit("~ "), F.col("weight"), F.lit(" g")), F.lit(DASH)).alias("weight_text"),
+        euro_german("price").alias("price_text"),
+        F.element_at(F.create_map(*[F.lit(x) for pair in STATUS_TEXTS.items() for x in pair]), F.col("status")).alias("status_text"),
     )
 
 
+# What stands by a component for the status of its build.
+FITS = {"compatible": "Compatible", "incompatible": "Check fit", "unknown": "Pending checks"}
+
+
+def component_rows(builds: DataFrame, products: DataFrame, categories: DataFrame) -> DataFrame:
+    """Every category of every build, filled or not: ``ord``, ``label``, ``product_name``, ``spec``, ``fit``, ``price_text``, ``button``.
+
+    The fit is the whole build's, as the component is tried where it stands.
+    """
+    keep = [c for c in builds.columns if c not in SLOTS]
+    status = evaluate(builds.select(*keep, *SLOTS, F.struct(*SLOTS).alias("_slots")), [*keep, "_slots"])
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("category"), F.col("_slots")[s]["id"].alias("id"), F.col("_slots")[s]["price"].alias("price")) for s in SLOTS]))
+    rows = status.select(*keep, "status", each.alias("s")).select(*keep, "status", "s.*")
+    there = F.col("id").isNotNull()
+    fit = F.element_at(F.create_map(*[F.lit(x) for pair in FITS.items() for x in pair]), F.col("status"))
+    named = rows.join(products.select("id", "name", "spec"), "id", "left").join(categories, "category")
+    return named.select(
+        *keep, "ord", "label", F.coalesce("name", F.lit("No component selected")).alias("product_name"), "spec", F.when(there, fit).otherwise("Not selected").alias("fit"),
+        F.coalesce(euro_german("price"), F.lit(DASH)).alias("price_text"), F.when(there, "Change").otherwise("Select Component").alias("button"),
+    )
+
+
+def _quoted(x: Column) -> Column:
+    """A text as JSON, null for null."""
+    whole = F.to_json(F.struct(x.alias("x")))
+    return F.when(x.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
+
+
 def exported(builds: DataFrame, source: str, name: Column) -> DataFrame:
-    """Each build as an indented JSON text of source, name and selection: ``export``."""
+    """Each build as a JSON text of source, name and selection, indented by two: ``export``."""
     keep = [c for c in builds.columns if c not in SLOTS]
-    pairs = F.filter(F.array(*[F.struct(F.lit(s).alias("key"), F.col(s)["id"].alias("value")) for s in SLOTS]), lambda e: e["value"].isNotNull())
-    return builds.select(*keep, F.to_json(F.struct(F.lit(source).alias("source"), name.alias("name"), F.map_from_entries(pairs).alias("selection")), {"pretty": "true"}).alias("export"))
+    chosen = F.array_compact(F.array(*[F.concat(F.lit(f'    "{s}": '), _quoted(F.col(s)["id"])) for s in SLOTS]))
+    selection = F.when(F.size(chosen) == 0, "{}").otherwise(F.concat(F.lit("{\n"), F.array_join(chosen, ",\n"), F.lit("\n  }")))
+    text = F.concat(F.lit('{\n  "source": '), _quoted(F.lit(source)), F.lit(',\n  "name": '), _quoted(name), F.lit(',\n  "selection": '), selection, F.lit("\n}"))
+    return builds.select(*keep, text.alias("export"))
+
+
+def write_exports(exports: DataFrame, path: str, folder: Column) -> None:
+    """Each export as a file ``build.json`` in the folder of that name; the session knows the format ``text_files``."""
+    rows = exports.select(F.concat_ws("/", folder.cast("string"), F.lit("build.json")).alias("file_name"), F.col("export").alias("body"))
+    rows.write.format("text_files").mode("append").save(path)

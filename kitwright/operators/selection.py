@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kitwright.operators.records import overwrite
+from kitwright.sources import manifest
 
 
 def part_rows(toggles: DataFrame, parts: DataFrame, user: str = "user_id") -> DataFrame:
@@ -52,18 +52,41 @@ def restored(drafts: DataFrame, known: list[str], default: list[str], raw: str =
     return drafts.withColumn("part_ids", F.coalesce(F.array_distinct(texts), F.array(*map(F.lit, default))))
 
 
-def save(builds: DataFrame, path: str) -> None:
-    """Appends saved builds (``user_id``, ``part_ids``, ``estimated_total``) with an id and a time."""
-    builds.withColumn("id", F.expr("uuid()")).withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(path)
+def save(builds: DataFrame, root: str, commit: str) -> None:
+    """Appends saved builds (``user_id``, ``part_ids``, ``estimated_total``) with an id and a time, and drops the drafts of their users.
+
+    Both are one commit to the store at ``root`` (tables ``builds`` and
+    ``drafts``), made once however often it is repeated under its name.
+    """
+    rows = builds.withColumn("id", F.expr("uuid()")).withColumn("saved_at", F.current_timestamp())
+
+    def change(now: dict[str, DataFrame]) -> dict[str, manifest.Append | manifest.Replace]:
+        left = {"drafts": manifest.Replace(now["drafts"].join(builds.select("user_id"), "user_id", "left_anti"))} if "drafts" in now else {}
+        return {"builds": manifest.Append(rows)} | left
+
+    manifest.commit(builds.sparkSession, root, commit, change)
 
 
-def save_draft(drafts: DataFrame, path: str, status: Column) -> None:
+def save_draft(drafts: DataFrame, root: str, commit: str, status: Column) -> None:
     """Overwrites the drafts of those who are signed out; all other stored drafts stay as they are."""
     text = F.to_json(F.struct(F.col("part_ids").alias("partIds"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("savedAt")))
-    overwrite(drafts.filter(status == "signedOut").select("user_id", text.alias("raw")), path, "user_id")
+    rows = drafts.filter(status == "signedOut").select("user_id", text.alias("raw"))
+    manifest.commit(rows.sparkSession, root, commit, lambda now: {"drafts": manifest.Replace(manifest.by_key(now.get("drafts"), rows, "user_id"))})
 
 
 def saved_builds(raw: Column) -> Column:
-    """A stored list of saved builds; nothing stored, or no list, is the empty list."""
+    """A stored list of saved builds; nothing stored, or JSON that is no list, is the empty list. Broken JSON is null: it cannot be added to."""
     kind = "array<struct<id:string,savedAt:string,partIds:array<string>,estimatedTotal:int>>"
-    return F.coalesce(F.from_json(F.coalesce(raw, F.lit("[]")), kind), F.array().cast(kind))
+    text = F.coalesce(F.nullif(raw, F.lit("")), F.lit("[]"))
+    parsed = F.try_parse_json(text)
+    is_list = F.try_variant_get(parsed, "$", "array<variant>").isNotNull()
+    return F.when(is_list, F.from_json(text, kind)).when(parsed.isNotNull(), F.array().cast(kind))
+
+
+# What is shown where a build could not be saved.
+SAVE_ERROR = "This browser could not save your build. Check its storage settings and try again."
+
+
+def save_error(raw: Column) -> Column:
+    """The text of a failed save: the stored list is broken; empty where it isn't."""
+    return F.when(saved_builds(raw).isNull(), SAVE_ERROR).otherwise("")

@@ -96,7 +96,16 @@ def build_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluated(spark, sf_dir).select(F.explode("warnings").alias("w")).groupBy(F.split_part("w", F.lit(":"), F.lit(1)).alias("rule_label")).agg(F.count("*").alias("n_builds"))
 
 
-@query("build_tiles", f"{EVALUATED_SQL} SELECT build_id, coalesce(score::VARCHAR, '—') || '/100' AS score_text, CASE WHEN score >= 80 THEN 'Great' WHEN score IS NOT NULL THEN 'Good' ELSE 'Incomplete' END AS grade, '~ ' || coalesce(speed::VARCHAR, '—') || ' km/h' AS speed_text, '~ ' || coalesce(weight::VARCHAR, '—') || ' g' AS weight_text FROM evaluated")
+#: An amount in German style.
+_EUROS = "translate(format('{{:,.2f}}', {}::DOUBLE), ',.', '.,') || chr(160) || '€'"
+
+
+@query(
+    "build_tiles",
+    f"""{EVALUATED_SQL} SELECT build_id, coalesce(score::VARCHAR, '—') || '/100' AS score_text, CASE WHEN score >= 80 THEN 'Great match' WHEN score IS NOT NULL THEN 'Good match' ELSE 'Build incomplete' END AS grade,
+  coalesce('~ ' || speed::VARCHAR || ' km/h', '—') AS speed_text, coalesce('~ ' || weight::VARCHAR || ' g', '—') AS weight_text, {_EUROS.format("price")} AS price_text,
+  CASE status WHEN 'compatible' THEN 'All components are compatible' WHEN 'incompatible' THEN 'Compatibility needs attention' ELSE 'Select components to check compatibility' END AS status_text FROM evaluated""",
+)
 def build_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configure.tiles(evaluated(spark, sf_dir))
 
@@ -140,23 +149,19 @@ def candidate_visible_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "component_rows",
-    f"WITH {BUILDS_SQL}, {CATEGORIES_SQL}, long AS (UNPIVOT (SELECT build_id, {', '.join(f'coalesce({a}, -1) AS {s}' for s, a in SHORT.items())} FROM slots) ON {', '.join(SLOTS)} INTO NAME category VALUE no) "
-    "SELECT build_id, ord, label, coalesce(name, 'Not selected') AS product_name, coalesce(price::VARCHAR, '—') AS price_text FROM long JOIN categories USING (category) LEFT JOIN products USING (no)",
+    f"{EVALUATED_SQL}, {CATEGORIES_SQL}, long AS (UNPIVOT (SELECT build_id, {', '.join(f'coalesce({a}, -1) AS {s}' for s, a in SHORT.items())} FROM slots) ON {', '.join(SLOTS)} INTO NAME category VALUE no) "
+    "SELECT build_id, ord, label, coalesce(name, 'No component selected') AS product_name, spec, CASE WHEN p.no IS NULL THEN 'Not selected' WHEN status = 'compatible' THEN 'Compatible' WHEN status = 'incompatible' THEN 'Check fit' ELSE 'Pending checks' END AS fit, "
+    f"coalesce({_EUROS.format('p.price')}, '—') AS price_text, CASE WHEN p.no IS NULL THEN 'Select Component' ELSE 'Change' END AS button FROM long JOIN categories USING (category) JOIN evaluated e USING (build_id) LEFT JOIN products p USING (no)",
 )
 def component_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every category of every build, filled or not."""
-    names = catalog.products(spark).select("id", "name")
-    slots = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c)["id"].alias("id"), F.col(c)["price"].alias("price")) for c in SLOTS]))
-    rows = builds(spark, sf_dir).select("build_id", slots.alias("s")).select("build_id", "s.*").join(names, "id", "left")
-    return rows.join(catalog.categories(spark), "category").select(
-        "build_id", "ord", "label", F.coalesce("name", F.lit("Not selected")).alias("product_name"), F.coalesce(F.col("price").cast("string"), F.lit("—")).alias("price_text")
-    )
+    return configure.component_rows(builds(spark, sf_dir), catalog.products(spark), catalog.categories(spark))
 
 
 @query(
     "build_export",
-    f"WITH {BUILDS_SQL} SELECT build_id, md5('{{\\n  \"source\" : \"kitwright\",\\n  \"name\" : \"Build ' || build_id || '\",\\n  \"selection\" : {{\\n' || ".replace("\\n", "' || chr(10) || '")
-    + "array_to_string(list_filter([" + ", ".join(f"'    \"{s}\" : \"' || {a}_.id || '\"'" for s, a in SHORT.items()) + "], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '  }' || chr(10) || '}') AS export_md5 FROM slots s "
+    f"WITH {BUILDS_SQL} SELECT build_id, md5('{{\\n  \"source\": \"kitwright\",\\n  \"name\": \"Build ' || build_id || '\",\\n  \"selection\": {{\\n' || ".replace("\\n", "' || chr(10) || '")
+    + "array_to_string(list_filter([" + ", ".join(f"'    \"{s}\": \"' || {a}_.id || '\"'" for s, a in SHORT.items()) + "], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '  }' || chr(10) || '}') AS export_md5 FROM slots s "
     + " ".join(f"LEFT JOIN products {a}_ ON {a}_.no = s.{a}" for a in SHORT.values()),
 )
 def build_export(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def billing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     mailed = records.with_email(F.col("record"), F.when(user % 7 == 0, mail("bills")))
     changed = stored.withColumn("record", carded).withColumn("record", mailed)
     again = records.read(changed.select("user_id", "was_seeded", records.text(F.col("record")).alias("raw")).withColumnRenamed("was_seeded", "seeded"), "raw", as_of, mail("user"))
-    r = F.col("record")
+    again, r = again.withColumn("record", records.fields(F.col("record"))), F.col("record")
     return again.select(
         "user_id", F.col("seeded").alias("was_seeded"), r["plan"].alias("plan"), r["interval"].alias("plan_interval"), r["cancelAtPeriodEnd"].alias("cancels"), r["periodEndAt"].alias("period_end_at"),
         r["card"]["addedAt"].alias("card_added_at"), r["card"]["last4"].alias("card_last4"), r["billingEmail"].alias("billing_email"), r["usage"]["aiBuilds"].alias("ai_builds"), r["usage"]["savedBuilds"].alias("saved_builds"),
@@ -110,7 +110,7 @@ def stored_billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     users = table(spark, sf_dir, "events").select("user_id").distinct()
     got = records.read(users.withColumn("raw", raw), "raw", _at(AS_OF), F.lit("a@example.com"))
-    r = F.col("record")
+    r = records.fields(F.col("record"))
     return got.select("user_id", r["plan"].alias("plan"), r["interval"].alias("plan_interval"), r["nextInvoiceNumber"].alias("next_invoice"), "was_seeded")
 
 

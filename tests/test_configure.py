@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kitwright.functions import scalars as S
 from kitwright.operators import billing, configure, recommend, selection
-from kitwright.sources import catalog
+from kitwright.sources import catalog, manifest
 from kitwright.sources.catalog import SLOTS
 
 RACER = dict(zip(SLOTS, catalog.PRESETS[1][2], strict=True))
@@ -81,21 +81,28 @@ def test_billing_trace(spark):
 
 
 def test_saving(spark, tmp_path):
+    root = f"{tmp_path}/store"
     builds = spark.createDataFrame([(1, ["frame"], 45)], "user_id long, part_ids array<string>, estimated_total int")
-    for _ in range(2):
-        selection.save(builds, f"{tmp_path}/saved")
-    assert spark.read.parquet(f"{tmp_path}/saved").select("id").distinct().count() == 2
+    for commit in ("one", "two"):
+        selection.save(builds, root, commit)
+    assert manifest.tables(spark, root)["builds"].select("id").distinct().count() == 2
     drafts = spark.createDataFrame([(1, ["frame"], "signedOut"), (2, ["esc"], "loading")], "user_id long, part_ids array<string>, status string")
-    selection.save_draft(drafts, f"{tmp_path}/drafts", F.col("status"))
-    stored = spark.read.parquet(f"{tmp_path}/drafts")
+    selection.save_draft(drafts, root, "three", F.col("status"))
+    stored = manifest.tables(spark, root)["drafts"]
     assert [r.part_ids for r in selection.restored(stored, ["frame", "esc"], ["fc"]).collect()] == [["frame"]]
     # Drafts of others, and of those whose status is not known, stay.
     later = spark.createDataFrame([(1, ["fc"], "loading"), (3, ["esc"], "signedOut")], drafts.schema)
-    selection.save_draft(later, f"{tmp_path}/drafts", F.col("status"))
-    got = selection.restored(spark.read.parquet(f"{tmp_path}/drafts"), ["frame", "esc", "fc"], [])
+    selection.save_draft(later, root, "four", F.col("status"))
+    got = selection.restored(manifest.tables(spark, root)["drafts"], ["frame", "esc", "fc"], [])
     assert {r.user_id: r.part_ids for r in got.collect()} == {1: ["frame"], 3: ["esc"]}
 
 
+def test_a_broken_list_is_an_error(spark):
+    lists = spark.createDataFrame([(None,), ("",), ("[]",), ('{"a":1}',), ('[{"id":"a","estimatedTotal":5}]',), ("[{",)], "raw string")
+    got = lists.select(F.size(selection.saved_builds(F.col("raw"))).alias("n"), selection.save_error(F.col("raw")).alias("e")).collect()
+    assert [(r.n, r.e == "") for r in got] == [(0, True)] * 4 + [(1, True), (None, False)]
+
+
 def test_selecting_the_plan_in_force_changes_nothing(spark):
     at = lambda day: datetime.datetime(2024, 1, day)
     events = [
