@@ -114,6 +114,7 @@ def initial(name: Column | str, email: Column | str) -> Column:
 
 def sign_in_error(code: Column | str, message: Column | str) -> Column:
     """A code first, then words of the message, else the default."""
+    # The texts.
     return (
         F.when(holds(col(code) == "email_not_confirmed"), "Please confirm your email first. Check your inbox.")
         .when(holds(col(message).rlike("(?i)fetch|network")), "Could not reach the sign-in service. Check your connection and try again.")
@@ -127,7 +128,7 @@ def one_of(x: Column | str, allowed: list[str]) -> Column:
 
 
 def unlimited(limit: Column | str) -> Column:
-    return holds(col(limit) == float("inf"))
+    return holds((col(limit) == float("inf")) | F.isnan(col(limit).cast("double")))
 
 
 def usage_label(value: Column | str, limit: Column | str) -> Column:
@@ -136,10 +137,77 @@ def usage_label(value: Column | str, limit: Column | str) -> Column:
 
 
 def usage_percent(value: Column | str, limit: Column | str) -> Column:
-    """At most 100; without a limit 100, with a limit of zero 0."""
-    return F.when(unlimited(limit), 100.0).when(col(limit) == 0, 0.0).otherwise(F.least(F.lit(100.0), F.try_divide(col(value).cast("double"), col(limit).cast("double")) * 100))
+    """At most 100; without a limit 100, with a limit of zero 0; NaN for a value that is none."""
+    used = col(value).cast("double")
+    return F.when(unlimited(limit), 100.0).when(col(limit) == 0, 0.0).when(F.isnan(used), float("nan")).otherwise(F.least(F.lit(100.0), F.try_divide(col(value).cast("double"), col(limit).cast("double")) * 100))
 
 
 def progress(step: Column | str, index: Column | str) -> Column:
     """Whether the mark at ``index`` is lit at ``step`` of four questions."""
     return holds(col(index) <= F.least(col(step), F.lit(3)))
+
+
+def month_label(ts: Column | str) -> Column:
+    """``Jan``"""
+    return F.date_format(col(ts), "MMM")
+
+
+def day_label(ts: Column | str) -> Column:
+    """``1/31/2024``"""
+    return F.date_format(col(ts), "M/d/yyyy")
+
+
+def chart_id(x: Column | str) -> Column:
+    """An identifier without colons."""
+    return F.translate(col(x), ":", "")
+
+
+def number(x: Column | str) -> Column:
+    """A number in a text; null if it is none."""
+    return col(x).try_cast("double")
+
+
+def form_errors(email: Column | str, password: Column | str, name: Column | str) -> Column:
+    """A sign-up form's errors as a map from field to text."""
+    # The texts.
+    found = [
+        F.when(~is_email(email), F.struct(F.lit("email"), F.lit("Enter a valid email address."))),
+        F.when(~acceptable_name(name), F.struct(F.lit("name"), F.lit("Use 100 characters or fewer."))),
+        F.when(~filled(password), F.struct(F.lit("password"), F.lit("Enter your password."))).when(F.length(col(password)) < 8, F.struct(F.lit("password"), F.lit("Use at least 8 characters."))),
+    ]
+    return F.map_from_entries(F.array_compact(F.array(*found)))
+
+
+def sign_up_outcome(reached: Column | str, error: Column | str, identities: Column | str, session: Column | str) -> Column:
+    """What a sign-up came to: ``ok``, ``error_text``, ``needs_confirmation``.
+
+    An answer without identities names an account that exists already; one
+    without a session waits for the e-mail to be confirmed.
+    """
+    # The texts.
+    text = (
+        F.when(~holds(col(reached)), "Could not create your account. Check your connection and try again.")
+        .when(col(error).isNotNull(), col(error))
+        .when(holds(col(identities) == 0), "An account with this email already exists. Try signing in.")
+    )
+    return F.struct(text.isNull().alias("ok"), text.alias("error_text"), (text.isNull() & ~holds(col(session))).alias("needs_confirmation"))
+
+
+def shown_series(item: Column | str) -> Column:
+    """Whether a chart item (a variant) belongs to a series: its type isn't ``none``."""
+    return ~holds(F.try_variant_get(col(item), "$.type", "string") == "none")
+
+
+def payload_config(config: Column, item: Column, key: Column) -> Column:
+    """The entry of ``config`` for a chart item (a variant): by the text that the item has at ``key``, else the one its payload has there, else by ``key``.
+
+    A text that is no key of ``config`` gives the entry of ``key`` itself.
+    """
+
+    def text(v: Column) -> Column:
+        at = F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), key)
+        return F.when(holds(F.schema_of_variant(at) == "STRING"), F.try_variant_get(at, "$", "string"))
+
+    payload = F.try_element_at(F.try_variant_get(item, "$", "map<string,variant>"), F.lit("payload"))
+    label = F.coalesce(text(item), text(payload), key)
+    return F.coalesce(F.try_element_at(config, label), F.try_element_at(config, key))

@@ -104,13 +104,18 @@ def write_receipts(receipts: DataFrame, path: str, user: str = "user_id") -> Non
     rows.write.format("text_files").mode("append").save(path)
 
 
-def plan_cards(plans: DataFrame, current_plan: Column, current_interval: Column, interval: Column) -> DataFrame:
-    """The plan cards as shown for a choice of interval: price, features and the button's text."""
+# What the cards say of the plans; the first names the site.
+PLAN_COPY = {"free": "Get started with {site}.", "pro": "For hobbyists and small builders.", "team": "For clubs and small companies."}
+
+
+def plan_cards(plans: DataFrame, current_plan: Column, current_interval: Column, interval: Column, keep: list[str] | None = None, site: str = "Kitwright") -> DataFrame:
+    """The plan cards as shown for a choice of interval: copy, badges, price, features and the button's text."""
     plan, yearly = F.col("plan"), interval == "yearly"
     is_current = plan == current_plan
     amount = lambda c: F.when(unlimited(c), "Unlimited").otherwise(F.col(c).cast("decimal(18,0)").cast("string"))
     return plans.select(
-        "plan",
+        *(keep or []), "plan", F.element_at(F.create_map(*[F.lit(x) for name, words in PLAN_COPY.items() for x in (name, words.format(site=site))]), plan).alias("copy"),
+        F.concat_ws(", ", F.when(is_current, "Current plan"), F.when(plan == "team", "Best for teams")).alias("badges"),
         euro_irish(F.when(plan == "free", F.lit(0)).when(yearly, F.col("yearly_monthly")).otherwise(F.col("monthly"))).alias("price_text"),
         F.when(plan == "free", "Free forever").when(yearly, F.concat(euro_irish("yearly_total"), F.lit(" billed yearly"))).alias("note"),
         F.concat(F.col("ai_builds").cast("decimal(18,0)").cast("string"), F.lit(" AI builds / month")).alias("feature_1"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kitwright.functions.scalars import DASH, euro_german, filled, given, holds, round_half_up
+from kitwright.operators.ranges import range_join
 from kitwright.sources.catalog import SLOTS
 
 ATTRIBUTES = [
@@ -57,7 +58,7 @@ def resolve(picks: DataFrame, products: DataFrame, build: str = "build_id", orde
     """One row for each build with a struct of the product in each slot (null if none or unknown).
 
     ``picks``: build, ``slot``, ``product_id`` and the columns of ``order``, of
-    which the greatest counts. A product's own category isn't compared with the
+    which the greatest counts. A pick of null removes what is in the slot. A product's own category isn't compared with the
     slot. The picks carry the product's ``no`` (unique in ``products``), are
     summed map-side and shuffled once; the catalogue joins each slot after that.
     With one numeric column of ``order`` both sums are hash aggregates.
@@ -161,6 +162,46 @@ def pair_matrix(products: DataFrame) -> DataFrame:
     return out
 
 
+def _sides(products: DataFrame, rule: PairRule) -> tuple[DataFrame, DataFrame]:
+    """The products of both slots of a rule, each as a struct."""
+    return tuple(products.filter(F.col("category") == slot).select(F.struct(*ATTRIBUTES).alias(name)) for slot, name in ((rule.a, "a"), (rule.b, "b")))
+
+
+def fitting_pairs(products: DataFrame, inches: int = 5, amperes: int = 10) -> DataFrame:
+    """The pairs of products that hold by a pair rule: ``rule``, ``a_id``, ``b_id``; for catalogues of any size.
+
+    Equal patterns and plugs join by them; inches and amperes (below two
+    to the power of the arguments) join by ranges. So only pairs that hold are
+    made, and each rule's own condition is checked on them once more.
+    """
+    out = None
+    for rule in PAIR_RULES:
+        a, b = _sides(products, rule)
+        x, y = F.col("a"), F.col("b")
+        if rule is MOUNT:
+            pairs = a.join(b, x["mount"] == y["mount"])
+        elif rule is PLUG:
+            pairs = a.join(b, x["connector"] == y["esc_input"])
+        elif rule is CLEARANCE:
+            pairs = range_join(b, a, y["prop_inches"], F.lit(1), x["frame_inches"], inches)
+        elif rule is RATING:
+            big, middle = x["motor_size"] >= 2600, x["motor_size"] >= 2000
+            pairs = range_join(b, a, y["prop_inches"], F.when(big, 6).when(middle, 4).otherwise(0), F.when(big, 7).when(middle, 5).when(x["motor_size"].isNotNull(), 3), inches)
+        else:
+            pairs = range_join(a, b, x["current"], F.lit(1), y["esc_amps"], amperes)
+        pairs = pairs.filter(holds(rule.holds(x, y))).select(F.lit(rule.label).alias("rule"), x["id"].alias("a_id"), y["id"].alias("b_id"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def fitting_voltages(products: DataFrame, cells: int = 6) -> DataFrame:
+    """The batteries (``a_id``) within the range of a product (``b_id``) that has one, by the slot's label (``rule``)."""
+    batteries = products.filter("category = 'battery'").select(F.col("id").alias("a_id"), "voltage")
+    labels = F.create_map(*[F.lit(x) for pair in VOLTAGE_SLOTS for x in pair])
+    supplied = products.filter(F.col("category").isin([s for s, _ in VOLTAGE_SLOTS])).select(labels[F.col("category")].alias("rule"), F.col("id").alias("b_id"), "min_voltage", "max_voltage")
+    return range_join(batteries, supplied, F.col("voltage"), F.col("min_voltage"), F.col("max_voltage"), cells).select("rule", "a_id", "b_id")
+
+
 def catalogue_builds(products: DataFrame) -> DataFrame:
     """Every complete build of the catalogue, one product of each category in its slot."""
     out = None

@@ -119,8 +119,10 @@ def usage_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "plan_cards",
-    f"""WITH {PLANS_SQL}, c(current_plan, current_interval, shown) AS (VALUES ('team', 'yearly', 'monthly'), ('team', 'yearly', 'yearly'), ('free', 'monthly', 'yearly'), ('pro', 'monthly', 'monthly'))
-SELECT current_plan, shown, plan, '€' || format('{{:.2f}}', CASE WHEN plan = 'free' THEN 0.0::DOUBLE WHEN shown = 'yearly' THEN yearly_monthly::DOUBLE ELSE monthly::DOUBLE END) AS price_text,
+    f"""WITH {PLANS_SQL}, c AS (SELECT c_custkey, ['team', 'free', 'pro'][(c_custkey % 3 + 1)::INT] AS current_plan, CASE WHEN c_custkey % 3 <> 1 AND c_custkey % 2 = 0 THEN 'yearly' ELSE 'monthly' END AS current_interval, CASE WHEN c_custkey % 5 < 2 THEN 'yearly' ELSE 'monthly' END AS shown FROM customer)
+SELECT c_custkey, current_plan, shown, plan, CASE plan WHEN 'free' THEN 'Get started with Kitwright.' WHEN 'pro' THEN 'For hobbyists and small builders.' ELSE 'For clubs and small companies.' END AS copy,
+  array_to_string(list_filter([CASE WHEN plan = current_plan THEN 'Current plan' END, CASE WHEN plan = 'team' THEN 'Best for teams' END], lambda x: x IS NOT NULL), ', ') AS badges,
+  '€' || format('{{:.2f}}', CASE WHEN plan = 'free' THEN 0.0::DOUBLE WHEN shown = 'yearly' THEN yearly_monthly::DOUBLE ELSE monthly::DOUBLE END) AS price_text,
   CASE WHEN plan = 'free' THEN 'Free forever' WHEN shown = 'yearly' THEN '€' || format('{{:.2f}}', yearly_total::DOUBLE) || ' billed yearly' END AS note,
   ai_builds::INT || ' AI builds / month' AS feature_1, CASE WHEN isinf(saved_builds) THEN 'Unlimited' ELSE saved_builds::DECIMAL(18, 0)::VARCHAR END || ' saved builds' AS feature_2,
   CASE WHEN isinf(exports) THEN 'Unlimited' ELSE exports::DECIMAL(18, 0)::VARCHAR END || ' parts list exports' AS feature_3, support AS feature_4,
@@ -129,11 +131,14 @@ SELECT current_plan, shown, plan, '€' || format('{{:.2f}}', CASE WHEN plan = '
 FROM plans, c""",
 )
 def plan_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for current, interval, shown in (("team", "yearly", "monthly"), ("team", "yearly", "yearly"), ("free", "monthly", "yearly"), ("pro", "monthly", "monthly")):
-        cards = billing.plan_cards(catalog.plans(spark), F.lit(current), F.lit(interval), F.lit(shown)).select(F.lit(current).alias("current_plan"), F.lit(shown).alias("shown"), "*")
-        out = cards if out is None else out.unionByName(cards)
-    return out
+    """The three cards as each customer sees them, by the plan they have and the interval they look at."""
+    k = F.col("c_custkey")
+    plan = F.get(F.array(F.lit("team"), F.lit("free"), F.lit("pro")), (k % 3).cast("int"))
+    seen = table(spark, sf_dir, "customer").select(
+        "c_custkey", plan.alias("current_plan"), F.when((k % 3 != 1) & (k % 2 == 0), "yearly").otherwise("monthly").alias("current_interval"), F.when(k % 5 < 2, "yearly").otherwise("monthly").alias("shown")
+    )
+    each = seen.crossJoin(catalog.plans(spark))  # three rows
+    return billing.plan_cards(each, F.col("current_plan"), F.col("current_interval"), F.col("shown"), ["c_custkey", "current_plan", "shown"])
 
 
 @query(

@@ -126,10 +126,18 @@ def starter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("part_id", F.coalesce("n", F.lit(0)).alias("n_selected"), (F.col("n_users") - F.coalesce("n", F.lit(0))).alias("n_open"))
 
 
-@query("starter_default", f"WITH {PARTS_SQL} SELECT count(*) FILTER (WHERE essential) AS n_parts, sum(price) FILTER (WHERE essential)::BIGINT AS total, count(*) AS n_all, sum(price)::BIGINT AS total_all FROM parts")
+@query(
+    "starter_default",
+    f"WITH {PARTS_SQL}, d AS (SELECT count(*) FILTER (WHERE essential) AS n_parts, sum(price) FILTER (WHERE essential)::BIGINT AS total, count(*) AS n_all, sum(price)::BIGINT AS total_all FROM parts) "
+    "SELECT c_mktsegment, n_parts, n_all, count(*) AS n_customers, (d.total * count(*))::BIGINT AS total, (d.total_all * count(*))::BIGINT AS total_all FROM customer, d GROUP BY c_mktsegment, n_parts, n_all, d.total, d.total_all",
+)
 def starter_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each segment's customers begin with, and what all parts would come to."""
     on = F.col("essential")
-    return catalog.parts(spark).agg(F.count(F.when(on, 1)).alias("n_parts"), F.sum(F.when(on, F.col("price"))).alias("total"), F.count("*").alias("n_all"), F.sum("price").alias("total_all"))
+    parts = catalog.parts(spark).agg(F.count(F.when(on, 1)).alias("n_parts"), F.sum(F.when(on, F.col("price"))).alias("one"), F.count("*").alias("n_all"), F.sum("price").alias("one_all"))
+    segments = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n_customers"))
+    each = segments.crossJoin(parts)  # one row
+    return each.select("c_mktsegment", "n_parts", "n_all", "n_customers", (F.col("one") * F.col("n_customers")).alias("total"), (F.col("one_all") * F.col("n_customers")).alias("total_all"))
 
 
 @query(
@@ -158,9 +166,15 @@ def saved_build_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("event_id", F.size("b").alias("n_saved"), F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x["estimatedTotal"]).alias("saved_total"))
 
 
-@query("template_cards", f"WITH {TEMPLATES_SQL} SELECT id, name, level, '$' || price AS price_text, flight_time, top_speed, camera, blurb FROM templates")
+_TEMPLATE_IDS = [t[0] for t in catalog.TEMPLATES]
+
+
+@query("template_cards", f"WITH {TEMPLATES_SQL} SELECT p_partkey, id, name, level, '$' || price AS price_text, flight_time, top_speed, camera, blurb FROM part JOIN templates ON id = {_TEMPLATE_IDS}[(p_partkey % {len(_TEMPLATE_IDS)} + 1)::INT]")
 def template_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.templates(spark).select("id", "name", "level", F.concat(F.lit("$"), "price").alias("price_text"), "flight_time", "top_speed", "camera", "blurb")
+    """The card of the template that each part belongs to."""
+    cards = catalog.templates(spark).select("id", "name", "level", F.concat(F.lit("$"), "price").alias("price_text"), "flight_time", "top_speed", "camera", "blurb")
+    owned = table(spark, sf_dir, "part").select("p_partkey", _nth(_TEMPLATE_IDS, F.pmod("p_partkey", F.lit(len(_TEMPLATE_IDS))).cast("int")).alias("id"))
+    return owned.join(cards, "id")
 
 
 def by_brand(rows: DataFrame, brand: F.Column, column: str = "brand") -> DataFrame:
@@ -168,11 +182,15 @@ def by_brand(rows: DataFrame, brand: F.Column, column: str = "brand") -> DataFra
     return rows.filter((brand == "All") | (F.col(column) == brand))
 
 
-@query("ready_made_cards", f"WITH {READY_MADE_SQL}, b(shown) AS (VALUES ('All'), ('DJI'), ('Autel'), ('Skydio'), ('HOVERAir')) SELECT shown, name, '$' || price AS price_text, weight, best_for, brand, camera FROM ready_made, b WHERE shown = 'All' OR brand = shown")
+_BRANDS = ["All", *dict.fromkeys(r[1] for r in catalog.READY_MADE)]
+
+
+@query("ready_made_cards", f"WITH {READY_MADE_SQL}, b AS (SELECT c_custkey, {_BRANDS}[(c_custkey % {len(_BRANDS)} + 1)::INT] AS shown FROM customer) SELECT c_custkey, shown, name, '$' || price AS price_text, weight, best_for, brand, camera FROM ready_made, b WHERE shown = 'All' OR brand = shown")
 def ready_made_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = spark.createDataFrame([("All",), ("DJI",), ("Autel",), ("Skydio",), ("HOVERAir",)], "shown string")
-    every = catalog.ready_made(spark).crossJoin(F.broadcast(shown))  # six rows by five
-    return by_brand(every, F.col("shown")).select("shown", "name", F.concat(F.lit("$"), "price").alias("price_text"), "weight", "best_for", "brand", "camera")
+    """What each customer sees under the brand they chose."""
+    shown = table(spark, sf_dir, "customer").select("c_custkey", _nth(_BRANDS, F.pmod("c_custkey", F.lit(len(_BRANDS))).cast("int")).alias("shown"))
+    every = shown.crossJoin(catalog.ready_made(spark))  # six rows
+    return by_brand(every, F.col("shown")).select("c_custkey", "shown", "name", F.concat(F.lit("$"), "price").alias("price_text"), "weight", "best_for", "brand", "camera")
 
 
 @query("brand_filter", "SELECT 'All' AS shown, count(*) AS n_parts FROM part UNION ALL SELECT p_brand, count(*) FROM part GROUP BY p_brand")

@@ -15,12 +15,17 @@ from kitwright.sources.catalog import CATEGORIES_SQL, PRESETS_SQL, PRODUCTS_SQL,
 from kitwright.sources.tables import table
 
 
-def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``build_id``, ``slot``, ``product_id`` and ``turn``, the order of picks (room for 65,535 lines an order)."""
+def picks(spark: SparkSession, sf_dir: str, removes: F.Column | None = None) -> DataFrame:
+    """``build_id``, ``slot``, ``product_id`` and ``turn``, the order of picks (room for 65,535 lines an order).
+
+    A line that ``removes`` is a removal, after a pick at the same place.
+    """
     products = catalog.PRODUCTS
     number = F.pmod("l_partkey", F.lit(len(products))).cast("int")
     slot, ident = (F.element_at(F.array(*[F.lit(p[k]) for p in products]), number + 1) for k in ("category", "id"))
     turn = (F.col("l_orderkey").cast("long") * 65536 + F.col("l_linenumber")) * 32 + number
+    if removes is not None:
+        turn, ident = turn * 2 + removes.cast("int"), F.when(~removes, ident)
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", turn.alias("turn"), slot.alias("slot"), ident.alias("product_id"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("build_id"))
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("build_id", "slot", "product_id", "turn")
@@ -169,33 +174,48 @@ def build_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("build_id", F.md5("export").alias("export_md5"))
 
 
-@query(
-    "pair_rules",
-    f"""WITH {PRODUCTS_SQL}
-SELECT 'Frame / motors' AS rule_label, a.id AS a_id, b.id AS b_id, coalesce(a.mount = b.mount, false) AS fits FROM products a, products b WHERE a.category = 'frame' AND b.category = 'motors'
-UNION ALL SELECT 'Frame / propellers', a.id, b.id, coalesce(b.prop_inches <= a.frame_inches, false) FROM products a, products b WHERE a.category = 'frame' AND b.category = 'propellers'
-UNION ALL SELECT 'Motors / propellers', a.id, b.id, CASE WHEN a.motor_size >= 2600 THEN b.prop_inches BETWEEN 6 AND 7 WHEN a.motor_size >= 2000 THEN b.prop_inches BETWEEN 4 AND 5 ELSE b.prop_inches <= 3 END FROM products a, products b WHERE a.category = 'motors' AND b.category = 'propellers'
-UNION ALL SELECT 'Controller / ESC', a.id, b.id, coalesce(a.connector = b.esc_input, false) FROM products a, products b WHERE a.category = 'flightController' AND b.category = 'esc'
-UNION ALL SELECT 'Motors / ESC', a.id, b.id, coalesce(a."current" <= b.esc_amps, false) FROM products a, products b WHERE a.category = 'motors' AND b.category = 'esc'""",
-)
-def pair_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return configure.pair_matrix(catalog.products(spark)).withColumnRenamed("rule", "rule_label")
+_ALL = "every AS (SELECT " + ", ".join(f"{a}0.no AS {a}" for a in SHORT.values()) + " FROM " + ", ".join(f"(SELECT no FROM products WHERE category = '{s}') {a}0" for s, a in SHORT.items()) + ")"
 
 
-_ALL = "every AS (SELECT " + ", ".join(f"{a}0.no AS {a}" for a in SHORT.values()) + " FROM " + ", ".join(f"(SELECT no FROM products WHERE category = '{s}') {a}0" for s, a in SHORT.items()) + ")"
+#: The products that any order line picks.
+_STOCK = "stock AS (SELECT p.*, (SELECT count(*) FROM lineitem WHERE l_partkey % 20 = p.no) AS n_picks FROM products p WHERE p.no IN (SELECT DISTINCT l_partkey % 20 FROM lineitem))"
 
 
-@query("catalogue_cross_product", f"WITH {PRODUCTS_SQL}, {_ALL}, {evaluation_sql('every', 's.f')} SELECT status, count(*) AS n_builds, min(score) AS lowest, max(score) AS highest FROM evaluated GROUP BY status")
+@query(
+    "catalogue_cross_product",
+    f"WITH {PRODUCTS_SQL}, {_STOCK}, {_ALL.replace('FROM products', 'FROM stock')}, {evaluation_sql('every', 's.' + ', s.'.join(SHORT.values()))} SELECT status, count(*) AS n_builds, min(score) AS lowest, max(score) AS highest, "
+    f"sum((SELECT sum(n_picks) FROM stock WHERE no IN ({', '.join('e.' + a for a in SHORT.values())})))::BIGINT AS n_picks FROM evaluated e GROUP BY status",
+)
 def catalogue_cross_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = configure.evaluate(configure.catalogue_builds(catalog.products(spark)))
-    return e.groupBy("status").agg(F.count("*").alias("n_builds"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
+    """Every complete build of the products that are picked at all, and how often their parts are picked."""
+    picked = table(spark, sf_dir, "lineitem").groupBy(F.pmod("l_partkey", F.lit(20)).cast("int").alias("no")).agg(F.count("*").alias("n_picks"))
+    stock = catalog.products(spark).join(picked, "no", "left_semi")
+    builds = configure.catalogue_builds(stock)
+    for s in SLOTS:
+        builds = builds.join(picked.toDF("_no", f"_{s}"), F.col(s)["no"] == F.col("_no")).drop("_no")
+    n_picks = sum((F.col(f"_{s}") for s in SLOTS), F.lit(0))
+    e = configure.evaluate(builds.withColumn("n_picks", n_picks), ["n_picks"])
+    return e.groupBy("status").agg(F.count("*").alias("n_builds"), F.min("score").alias("lowest"), F.max("score").alias("highest"), F.sum("n_picks").alias("n_picks"))
 
 
 _PRESET_NUMBERS = "numbered AS (SELECT key, " + ", ".join(f"(SELECT no FROM products WHERE id = s{i}) AS {a}" for i, a in enumerate(SHORT.values())) + " FROM presets)"
+#: The preset that an order asks for.
+PRESET_KEYS = [p[0] for p in catalog.PRESETS]
+
+
+def asked_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.get(F.array(*map(F.lit, PRESET_KEYS)), F.pmod("o_custkey", F.lit(len(PRESET_KEYS))).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", key.alias("preset"))
 
 
-@query("preset_evaluation", f"WITH {PRODUCTS_SQL}, {PRESETS_SQL}, {_PRESET_NUMBERS}, {evaluation_sql('numbered', 's.key')} SELECT key AS preset, n_filled, price::DOUBLE AS price, weight::BIGINT AS weight, speed, score, status FROM evaluated")
+@query(
+    "preset_evaluation",
+    f"WITH {PRODUCTS_SQL}, {PRESETS_SQL}, {_PRESET_NUMBERS}, {evaluation_sql('numbered', 's.key')}, asked AS (SELECT {PRESET_KEYS}[(o_custkey % {len(PRESET_KEYS)} + 1)::INT] AS key, count(*) AS n_orders FROM orders GROUP BY 1) "
+    "SELECT key AS preset, n_filled, price::DOUBLE AS price, weight::BIGINT AS weight, speed, score, status, n_orders, (price * n_orders)::DOUBLE AS revenue FROM evaluated JOIN asked USING (key)",
+)
 def preset_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The presets that orders ask for, and what they bring in."""
+    asked = asked_presets(spark, sf_dir).groupBy("preset").agg(F.count("*").alias("n_orders"))
     chosen = catalog.presets(spark).select(F.col("key").alias("preset"), F.explode("selection").alias("slot", "product_id"))
-    e = configure.evaluate(configure.resolve(chosen, catalog.products(spark), "preset"))
-    return e.select("preset", "n_filled", F.col("price").cast("double").alias("price"), "weight", "speed", "score", "status")
+    e = configure.evaluate(configure.resolve(chosen, catalog.products(spark), "preset")).join(asked, "preset")
+    return e.select("preset", "n_filled", F.col("price").cast("double").alias("price"), "weight", "speed", "score", "status", "n_orders", (F.col("price") * F.col("n_orders")).cast("double").alias("revenue"))

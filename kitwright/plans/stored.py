@@ -9,30 +9,45 @@ from pyspark.sql import functions as F
 from kitwright.functions import scalars as S
 from kitwright.operators import records
 from kitwright.plans.accounts import AS_OF, STATES_SQL, _at, invoices, states
-from kitwright.plans.builds import BUILDS_SQL, builds
+from kitwright.plans.builds import BUILDS_SQL, PRESET_KEYS, asked_presets, builds
 from kitwright.plans.registry import query
 from kitwright.sources import catalog
 from kitwright.sources.catalog import PRESETS_SQL, PRODUCTS_SQL, SLOTS
 from kitwright.sources.tables import table
 
 
-@query("product_index", f"WITH {PRODUCTS_SQL} SELECT id, category, name, price::DOUBLE AS price, weight FROM products UNION ALL SELECT 'frame5x', 'frame', 'Explorer 7', 89.9::DOUBLE, 230")
+@query(
+    "product_index",
+    f"WITH {PRODUCTS_SQL}, r AS (SELECT p.id, p.category, p_name AS name, p_retailprice AS price, p_size AS weight, row_number() OVER (PARTITION BY p.id ORDER BY p_partkey DESC) AS back FROM part JOIN products p ON p.no = p_partkey % 20) "
+    "SELECT id, category, name, price::DECIMAL(10, 2)::DOUBLE AS price, weight FROM r WHERE back = 1",
+)
 def product_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue by id; of a repeated id the last row counts."""
-    p = catalog.products(spark)
-    twice = p.filter("no < 2").withColumn("id", F.lit("frame5x")).unionByName(p)
-    return catalog.product_index(twice).select("id", "category", "name", F.col("price").cast("double").alias("price"), "weight")
+    """The parts as rows of the catalogue, by id; of a repeated id the last row counts."""
+    known = catalog.products(spark).select(F.col("no").alias("_no"), "id", "category")
+    rows = table(spark, sf_dir, "part").join(known, F.pmod("p_partkey", F.lit(20)) == F.col("_no"))
+    rows = rows.select("id", F.col("p_partkey").alias("no"), "category", F.col("p_name").alias("name"), F.col("p_retailprice").cast("decimal(10,2)").alias("price"), F.col("p_size").alias("weight"))
+    return catalog.product_index(rows).select("id", "category", "name", F.col("price").cast("double").alias("price"), "weight")
 
 
-@query("preset_rows", f"WITH {PRESETS_SQL} SELECT key AS preset, name, slot, product_id FROM (" + " UNION ALL ".join(f"SELECT key, name, '{s}' AS slot, s{i} AS product_id FROM presets" for i, s in enumerate(SLOTS)) + ")")
+@query(
+    "preset_rows",
+    f"WITH {PRESETS_SQL} SELECT o_orderkey, key AS preset, name, slot, product_id FROM orders JOIN (" + " UNION ALL ".join(f"SELECT key, name, '{s}' AS slot, s{i} AS product_id FROM presets" for i, s in enumerate(SLOTS)) + f") p ON key = {PRESET_KEYS}[(o_custkey % {len(PRESET_KEYS)} + 1)::INT]",
+)
 def preset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.presets(spark).select(F.col("key").alias("preset"), "name", F.explode("selection").alias("slot", "product_id"))
+    """The products of the preset that each order asks for."""
+    rows = catalog.presets(spark).select(F.col("key").alias("preset"), "name", F.explode("selection").alias("slot", "product_id"))
+    return asked_presets(spark, sf_dir).join(rows, "preset").select("o_orderkey", "preset", "name", "slot", "product_id")
 
 
-@query("budget_domain", "SELECT range AS budget FROM range(300, 3001, 50)")
+@query("budget_domain", "SELECT budget, count(o_orderkey) AS n_orders FROM (SELECT range AS budget FROM range(300, 3001, 50)) LEFT JOIN orders ON budget = 300 + 50 * least(54, greatest(0, (floor(o_totalprice / 200)::BIGINT - 300) // 50)) GROUP BY budget")
 def budget_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every budget that can be asked for, and how many orders would: a two-hundredth of their price, brought to the nearest budget below."""
     steps = F.sequence(F.lit(catalog.BUDGET_MIN), F.lit(catalog.BUDGET_MAX), F.lit(catalog.BUDGET_STEP))
-    return spark.range(1).select(F.explode(steps).alias("budget")).select(F.col("budget").cast("long"))
+    budgets = spark.range(1).select(F.explode(steps).alias("budget")).select(F.col("budget").cast("long"))
+    step = F.expr(f"(floor(o_totalprice / 200) - {catalog.BUDGET_MIN}) div {catalog.BUDGET_STEP}")
+    asked = catalog.BUDGET_MIN + catalog.BUDGET_STEP * F.least(F.lit((catalog.BUDGET_MAX - catalog.BUDGET_MIN) // catalog.BUDGET_STEP), F.greatest(F.lit(0), step))
+    counts = table(spark, sf_dir, "orders").groupBy(asked.cast("long").alias("budget")).agg(F.count("*").alias("n_orders"))
+    return budgets.join(counts, "budget", "left").fillna(0, ["n_orders"])
 
 
 @query(

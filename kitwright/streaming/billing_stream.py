@@ -13,15 +13,13 @@ time that changed it. A user's events of one delay are kept, no more.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.streaming import StatefulProcessorHandle
+
+from kitwright.streaming.ordered import InOrder, millis
 
 STATE = "plan string, interval string, cancels boolean, period_end timestamp, has_card boolean, n_invoices int"
-WAITING = "ts timestamp, seq long, action string, plan string, interval string"
 OUTPUT = f"user_id long, since timestamp, {STATE}"
 
 
@@ -58,21 +56,17 @@ def _apply(s: tuple, e: tuple) -> tuple:
     return plan, interval, cancels, period_end, has_card, made
 
 
-def _millis(ts: pd.Timestamp) -> int:
-    """The first whole millisecond at or after ``ts``."""
-    return -(-ts.value // 1_000_000)
-
+class Subscription(InOrder):
+    """One user's state, and a timer for the end of the period."""
 
-class Subscription(StatefulProcessor):
-    """One user's state, the events that wait for the watermark, and a timer for each of them and for the end of the period."""
+    WAITING = "ts timestamp, seq long, action string, plan string, interval string"
 
     def __init__(self, opened: str):
         self.opened = pd.Timestamp(opened)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.state = handle.getValueState("state", STATE)
-        self.waiting = handle.getListState("waiting", WAITING)
 
     def _now(self) -> tuple:
         if not self.state.exists():
@@ -80,49 +74,27 @@ class Subscription(StatefulProcessor):
         plan, interval, cancels, period_end, has_card, made = self.state.get()
         return plan, interval, cancels, None if pd.isna(period_end) else pd.Timestamp(period_end), has_card, made
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            part = part[part["ts"].notna()]
-            for ts, *event in part[["ts", "seq", "action", "plan", "interval"]].itertuples(index=False, name=None):
-                self.waiting.appendValue((ts.to_pydatetime(), *event))
-                self.handle.registerTimer(_millis(ts))
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """All that lies at or before the timer, in order of time; then the end of the period."""
-        now = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        events = [(pd.Timestamp(ts), *rest) for ts, *rest in self.waiting.get()]
-        due = sorted((e for e in events if e[0] <= now), key=lambda e: e[:2])
-        if due:
-            later = [(e[0].to_pydatetime(), *e[1:]) for e in events if e[0] > now]
-            self.waiting.put(later) if later else self.waiting.clear()
+    def passed(self, key: tuple, events: list[tuple], now: pd.Timestamp) -> pd.DataFrame:
+        """The events, then the end of the period."""
         before = s = self._now()
         since = now
-        for e in due:
+        for e in events:
             s, since = _apply(s, e), e[0]
         if _ended(s, now) != s:
             s, since = _ended(s, now), s[3]
-        if s != before or not self.state.exists():
-            self.state.update((*s[:3], None if s[3] is None else s[3].to_pydatetime(), *s[4:]))
-            if s[2] and s[3] is not None and s[3] > now:
-                self.handle.registerTimer(_millis(s[3]))
-            columns = ["user_id", "since", "plan", "interval", "cancels", "period_end", "has_card", "n_invoices"]
-            yield pd.DataFrame([(key[0], since, *s)], columns=columns).astype({"since": "datetime64[ns]", "period_end": "datetime64[ns]"})
-        else:
-            yield pd.DataFrame()
-
-    def close(self) -> None:
-        pass
+        if s == before and self.state.exists():
+            return pd.DataFrame()
+        self.state.update((*s[:3], None if s[3] is None else s[3].to_pydatetime(), *s[4:]))
+        if s[2] and s[3] is not None and s[3] > now:
+            self.handle.registerTimer(millis(s[3]))
+        columns = ["user_id", "since", "plan", "interval", "cancels", "period_end", "has_card", "n_invoices"]
+        return pd.DataFrame([(key[0], since, *s)], columns=columns).astype({"since": "datetime64[ns]", "period_end": "datetime64[ns]"})
 
 
 def replay_stream(events: DataFrame, opened: str, delay: str = "1 day") -> DataFrame:
     """States of each user with events (``user_id``, ``ts``, ``seq``, ``action``, ``plan``, ``interval``) that come up to ``delay`` late.
 
-    The session needs the RocksDB state store (:data:`STORE`).
+    The session needs the settings of ``ordered.STORE``.
     """
     watched = events.select("user_id", "ts", "seq", "action", "plan", "interval").withWatermark("ts", delay)
     return watched.groupBy("user_id").transformWithStateInPandas(Subscription(opened), OUTPUT, "update", "EventTime")
-
-
-#: The setting that timers need.
-STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}

@@ -5,9 +5,10 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from kitwright.operators import history
+from kitwright.operators import history, slots
 from kitwright.plans.accounts import OPENED, actions
-from kitwright.streaming import billing_stream
+from kitwright.sources.tables import table
+from kitwright.streaming import billing_stream, ordered, slot_stream
 
 COLUMNS = ["user_id", "ts", "seq", "action", "plan", "interval"]
 SCHEMA = "user_id long, ts timestamp, seq long, action string, plan string, interval string"
@@ -15,16 +16,16 @@ SCHEMA = "user_id long, ts timestamp, seq long, action string, plan string, inte
 
 @pytest.fixture()
 def store(spark):
-    for k, v in billing_stream.STORE.items():
+    for k, v in ordered.STORE.items():
         spark.conf.set(k, v)
     yield
-    for k in billing_stream.STORE:
+    for k in ordered.STORE:
         spark.conf.unset(k)
 
 
-def run(spark, rows, folder, name, delay):
+def run(spark, rows, folder, name, schema=SCHEMA):
     """The rows of the stream over the files of ``folder``, one file a batch."""
-    stream = rows(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder))
+    stream = rows(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
     q = stream.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", f"{folder}-c").trigger(availableNow=True).start()
     assert q.awaitTermination(300) and q.exception() is None
     return spark.table(name).collect()
@@ -53,7 +54,7 @@ def test_stream_out_of_order_equals_batch(spark, store, tmp_path):
     last = spark.createDataFrame([(-1, end, 0, "none", None, None)], SCHEMA)
     batches = [events.filter(third == k) for k in range(3)] + [last, last.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))]
     folder = written(spark, batches, f"{tmp_path}/in")
-    rows = run(spark, lambda e: billing_stream.replay_stream(e, OPENED, "365 days"), folder, "billing_now", "365 days")
+    rows = run(spark, lambda e: billing_stream.replay_stream(e, OPENED, "365 days"), folder, "billing_now")
     passed = F.lit(end - datetime.timedelta(days=365))
     want = history.states(events, F.lit(OPENED).cast("timestamp"), passed)
     want = {r.user_id: (r.plan, r.interval, r.cancel_at_period_end, r.period_end_at, r.has_card, r.n_invoices) for r in want.collect()}
@@ -69,7 +70,27 @@ def test_a_plan_ends_by_its_timer(spark, store, tmp_path):
     third = [(9, at(20), 1, "none", None, None)]
     fourth = [(9, at(1, 3), 2, "none", None, None)]
     batches = [spark.createDataFrame(rows, SCHEMA) for rows in (first, second, third, fourth, [(9, at(2, 3), 3, "none", None, None)])]
-    rows = run(spark, lambda e: billing_stream.replay_stream(e, "2024-01-01", "10 days"), written(spark, batches, f"{tmp_path}/in"), "billing_ends", "10 days")
+    rows = run(spark, lambda e: billing_stream.replay_stream(e, "2024-01-01", "10 days"), written(spark, batches, f"{tmp_path}/in"), "billing_ends")
     of = lambda user: [(r.since, r.plan, r.cancels) for r in sorted(rows, key=lambda r: r.since) if r.user_id == user]
     assert of(1) == [(at(5), "pro", True), (at(31), "free", False)]
     assert of(2)[-1][1:] == ("pro", False) and of(3)[-1][1:] == ("pro", False)
+
+
+def test_a_slot_is_read_once(spark, store, tmp_path):
+    """Errors are written and views read, over a stream whose files overlap in time, as in the batch form."""
+    error, view = F.col("event_type") == "error", F.col("event_type") == "view"
+    events = table(spark, "/root/testdata/sf0.001", "events").select("user_id", "ts", "event_id", "event_type").cache()
+    want = {(r.user_id, r.event_id, r.found) for r in slots.reads(events, error, view, 86400.0).collect()}
+    plain, held = set(), {}
+    for r in sorted(events.collect(), key=lambda r: (r.ts, r.event_id)):
+        if r.event_type == "error":
+            held[r.user_id] = r
+        elif r.event_type == "view":
+            e = held.pop(r.user_id, None)
+            plain.add((r.user_id, r.event_id, e.event_id if e and (r.ts - e.ts).total_seconds() <= 86400 else None))
+    assert want == plain and 0 < sum(f is not None for *_, f in want) < len(want)
+    third, end = F.pmod(F.xxhash64("event_id"), F.lit(3)), events.agg(F.max("ts")).first()[0] + datetime.timedelta(days=400)
+    last = spark.createDataFrame([(-1, end, 0, "error")], events.schema)
+    folder = written(spark, [*(events.filter(third == k) for k in range(3)), last, last.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))], f"{tmp_path}/in")
+    rows = run(spark, lambda e: slot_stream.reads_stream(e, error, view, 86400.0, "365 days"), folder, "slot_reads", events.schema)
+    assert {(r.user_id, r.event_id, r.found) for r in rows} == want and len(rows) == len(want)
