@@ -156,10 +156,12 @@ def _events(events: DataFrame, user: str) -> DataFrame:
     return events.filter("ts is not null").select(F.col(user).alias("user"), F.struct(F.col("ts").cast("timestamp"), F.col("seq").cast("long"), "action", "plan", "interval").cast(EVENT).alias("e"))
 
 
-def _split(events: DataFrame, whole: int) -> tuple[DataFrame, DataFrame]:
-    """The events of users with up to ``whole`` of them, and the others'."""
+def _split(events: DataFrame, whole: int) -> tuple[DataFrame, DataFrame | None]:
+    """The events of users with up to ``whole`` of them, and the others'; None if there are no others, which is looked up at once."""
     counts = events.groupBy("user").agg(F.count("*").alias("_n"))  # map-side first
     many = counts.filter(F.col("_n") > whole).select("user")
+    if many.isEmpty():
+        return events, None
     return events.join(many, "user", "left_anti"), events.join(many, "user", "left_semi")
 
 
@@ -199,9 +201,10 @@ def states(events: DataFrame, opened: Column, as_of: Column, user: str = "user_i
     """The state of each user at ``as_of``: ``plan``, ``interval``, ``cancel_at_period_end``, ``period_end_at``, ``has_card``, ``n_invoices``, ``next_invoice_number``."""
     few, many = _split(_events(events, user), whole)
     short = few.groupBy("user").agg(F.sort_array(F.collect_list("e")).alias("events")).select("user", F.aggregate("events", opening(opened), step).alias("s"))
-    long = _levels(many)[-1].select("user", applied(F.col("sum"), opening(opened)).alias("s"))
+    if many is not None:
+        short = short.unionByName(_levels(many)[-1].select("user", applied(F.col("sum"), opening(opened)).alias("s")))
     s = F.col("s")
-    rows = short.unionByName(long).select("user", ended(s, as_of).alias("s"))
+    rows = short.select("user", ended(s, as_of).alias("s"))
     return rows.select(
         F.col("user").alias(user), s["plan"].alias("plan"), s["interval"].alias("interval"), s["cancels"].alias("cancel_at_period_end"), s["ends"].alias("period_end_at"), s["has_card"].alias("has_card"),
         (s["made"] + 4).alias("n_invoices"), (s["made"] + 5).alias("next_invoice_number"),
@@ -212,8 +215,7 @@ def invoices(events: DataFrame, opened: Column, user: str = "user_id", whole: in
     """Every user's invoices, one a row: ``invoice`` and ``no`` (from 1 in order of making, the seed's four first)."""
     few, many = _split(_events(events, user), whole)
     short = few.groupBy("user").agg(F.sort_array(F.collect_list("e")).alias("events")).select("user", "events", opening(opened).alias("entry"))
-    levels = _levels(many)
-    pieces = short.unionByName(_entries(levels, opened))
+    pieces = short if many is None else short.unionByName(_entries(_levels(many), opened))
     paid = lambda e: (e["action"] == "change") & (e["plan"] != "free")
     # What a piece makes is its purchases but those without a card; these are noted by place, as they are few.
     walked = f"struct<now:{STATE},at:int,missed:array<int>>"
@@ -232,5 +234,5 @@ def invoices(events: DataFrame, opened: Column, user: str = "user_id", whole: in
     price = F.when(e["plan"] == "team", F.when(yearly, F.lit("470.4")).otherwise("49")).otherwise(F.when(yearly, F.lit("182.4")).otherwise("19")).cast("decimal(10,2)")
     no = F.col("made") + F.col("i") + 5
     bought = F.struct(F.concat(F.lit("DEMO-"), padded(no)), e["ts"], F.concat(capitalised(e["plan"]), F.lit(" plan, "), e["interval"]), price, F.lit("Paid")).cast(INVOICE)
-    first = few.unionByName(many).select("user").distinct().select("user", F.posexplode(seed(opened)["invoices"]).alias("i", "invoice"))
+    first = _events(events, user).select("user").distinct().select("user", F.posexplode(seed(opened)["invoices"]).alias("i", "invoice"))
     return rows.select("user", no.cast("long").alias("no"), bought.alias("invoice")).unionByName(first.select("user", (F.col("i") + 1).cast("long").alias("no"), "invoice")).withColumnRenamed("user", user)
