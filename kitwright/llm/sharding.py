@@ -1,21 +1,23 @@
 """Sharding by proportional stratified interleaving.
 
-Rows of each source are put in a seeded random order and get the fractional
-rank (r - 1/2) / n within their source. Sorted by that rank, every stretch of
-the whole table holds the sources in their overall proportion, so cutting the
-order into equal stretches gives shards of the same mixture whose row counts
+Rows of each source are put in a seeded random order, and the r-th of n gets a
+fractional rank between (r - 1) / n and r / n, at a place that its seeded digest
+draws. Sorted by that rank, every stretch of the whole table holds the sources
+in their overall proportion, the many with a row or two included, so cutting
+the order into equal stretches gives shards of the same mixture whose row counts
 are at most one apart.
 
 Exact ranks need no global sort. A row's place is (rows in earlier buckets) +
 (its place within its bucket), with buckets cut along the sort key itself: the
 leading hex digits of the row's seeded digest within a source, and the leading
 part of the fractional rank over all sources. A source with a third of all
-rows is thus spread over 4,096 buckets like any other.
+rows is thus spread over 4,096 buckets like any other, and so are a third of the
+rows that are each the only one of their source, as their ranks are drawn.
 
 Defined results: a null or empty source is one stratum; a null id is hashed as
 ''; equal ids of one source tie and take neighbouring places in either order;
-an empty table gives an empty table. Further columns of the input are kept;
-names starting with ``_shard_`` are reserved.
+an empty table gives an empty table. Further columns of the input are kept, but
+``shard`` and ``slot`` are replaced; names starting with ``_shard_`` are reserved.
 """
 
 from __future__ import annotations
@@ -49,24 +51,19 @@ def interleave(rows: DataFrame, shards: int, seed: str = "0", id_column: str = "
             F.sum("_shard_count").over(by_source).alias("_shard_of"),
         )
     )
+    drawn = F.conv(F.substring("_shard_digest", 4, 8), 16, 10).cast("double") / 2**32
     place = F.row_number().over(W.partitionBy("_shard_source", "_shard_bucket").orderBy("_shard_digest", id_column))
     ranked = (
         dealt.withColumn("_shard_place", place)
         .join(before, ["_shard_source", "_shard_bucket"])
-        .withColumn("_shard_odd", 2 * (F.col("_shard_before") + F.col("_shard_place")) - 1)
-        .withColumn("_shard_part", F.expr(f"(_shard_odd * {BUCKETS // 2}) div _shard_of"))
-        .withColumn("_shard_rank", F.col("_shard_odd") / (2 * F.col("_shard_of")))
+        .withColumn("_shard_rank", (F.col("_shard_before") + F.col("_shard_place") - 1 + drawn) / F.col("_shard_of"))
+        .withColumn("_shard_part", F.least(F.lit(BUCKETS - 1), F.floor(F.col("_shard_rank") * BUCKETS)))
     )
 
-    # A source of n rows has floor(ceil(b * n / 2048) / 2) rows in the parts before b.
-    sizes = dealt.groupBy("_shard_source").agg(F.count("*").alias("_shard_of"))
-    earlier = (
-        sizes.select("_shard_of", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("_shard_part"))
-        .groupBy(F.col("_shard_part").cast("long").alias("_shard_part"))
-        .agg(
-            F.sum(F.expr(f"((_shard_part * _shard_of + {BUCKETS // 2 - 1}) div {BUCKETS // 2}) div 2")).alias("_shard_earlier"),
-            F.sum("_shard_of").alias("_shard_all"),
-        )
+    # Counted by each task first: BUCKETS rows, whatever the input.
+    sizes = ranked.groupBy("_shard_part").agg(F.count("*").alias("_shard_rows"))
+    earlier = sizes.select(
+        "_shard_part", (F.sum("_shard_rows").over(W.orderBy("_shard_part")) - F.col("_shard_rows")).alias("_shard_earlier"), F.sum("_shard_rows").over(W.partitionBy()).alias("_shard_all")
     )
     within = F.row_number().over(W.partitionBy("_shard_part").orderBy("_shard_rank", "_shard_digest", "_shard_source"))
     return (
@@ -99,7 +96,7 @@ WITH RECURSIVE crc_table AS (
     count(*) OVER (PARTITION BY coalesce(source, '')) AS n
   FROM documents
 ), placed AS (
-  SELECT *, row_number() OVER (ORDER BY (2 * r - 1)::DOUBLE / (2 * n)::DOUBLE, digest, src) - 1 AS g, count(*) OVER () AS total FROM ranked
+  SELECT *, row_number() OVER (ORDER BY ((r - 1)::DOUBLE + CAST('0x' || substr(digest, 4, 8) AS BIGINT)::DOUBLE / 4294967296::DOUBLE) / n::DOUBLE, digest, src) - 1 AS g, count(*) OVER () AS total FROM ranked
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law,
   CAST((g * {shards}) // total AS INTEGER) AS shard,

@@ -298,6 +298,15 @@ def test_sharding_law_and_mixture(spark):
     assert all(abs(sum(r.source == "big" for r in v) - len(v) / 3) <= 2 for v in counts.values())
 
 
+def test_sources_of_one_row_are_spread(spark):
+    """100,000 sources of one row: no bucket of ranks holds many, and every shard has its share of them."""
+    rows = spark.range(120_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20_000, "big").otherwise(F.concat(F.lit("s"), "id")).alias("source"))
+    got = sharding.interleave(rows, 12, "x").groupBy("shard").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "big").alias("big"), F.count_distinct("slot").alias("slots")).collect()
+    assert [r.n for r in got] == [10_000] * 12 == [r.slots for r in got]
+    # The big source is spread evenly to a row; the shards' ends move by chance with the others (three standard deviations).
+    assert all(abs(r.big - 20_000 / 12) < 60 for r in got)
+
+
 def test_nnpu_learns(spark):
     rng = random.Random(6)
     rows, marks = [], []
