@@ -17,6 +17,11 @@ from kitwright.llm.common import materialize
 LINKS_A_TASK = 200_000
 
 
+def tasks(rows: int) -> int:
+    """How many tasks, and so files, so many small rows are written by."""
+    return max(1, -(-rows // LINKS_A_TASK))
+
+
 def block_pairs(members: DataFrame, keys: list[str], member: str, block_rows: int) -> DataFrame:
     """Deals the members of each bucket to jobs that together hold every two of them.
 
@@ -38,7 +43,7 @@ def block_pairs(members: DataFrame, keys: list[str], member: str, block_rows: in
     )
 
 
-def group_pairs(members: DataFrame, keys: list[str], member: str, group: str, weight: str, block_weight: int) -> DataFrame:
+def group_pairs(members: DataFrame, keys: list[str], member: str, group: str, weight: str, block_weight: int, files: int | None = None) -> DataFrame:
     """Deals the members of each bucket to jobs that together hold every two of different groups.
 
     ``members`` has the ``keys``, a ``member`` id, the ``group`` (a long) of
@@ -46,11 +51,12 @@ def group_pairs(members: DataFrame, keys: list[str], member: str, group: str, we
     group are left out. A group above half of ``block_weight`` has blocks of its
     own, which are never paired with each other, so the members of one large
     group meet the few others of their bucket and are repeated once for each
-    block of those. Returns the rows with ``block_a`` and ``block_b``.
+    block of those. Returns the rows with ``block_a`` and ``block_b``. What is
+    known of the buckets is written by ``files`` tasks.
     """
     own = F.when(F.col("_weight") > block_weight / 2, F.ceil(F.col("_weight") / block_weight)).otherwise(0).cast("int")
     sums = members.groupBy(*keys, group).agg(F.sum(weight).alias("_weight")).withColumn("_own", own)
-    blocks = materialize(  # of buckets with work
+    blocks = (  # of buckets with work
         sums.groupBy(*keys)
         .agg(
             F.count("*").alias("_groups"),
@@ -60,6 +66,7 @@ def group_pairs(members: DataFrame, keys: list[str], member: str, group: str, we
         .filter("_groups > 1")
         .drop("_groups")
     )
+    blocks = materialize(blocks.coalesce(files) if files else blocks)
     mine = F.get(F.filter("_large", lambda x: x["g"] == F.col(group)), F.lit(0))
     numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     spread = lambda n: F.pmod(F.xxhash64(member, F.lit(17)), n)
@@ -89,15 +96,15 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     many = edges.count()
     if not many:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    tasks = -(-many // LINKS_A_TASK)  # as many as the links need, however many partitions a shuffle has
+    files = tasks(many)  # as many as the links need, however many partitions a shuffle has
     for _ in range(rounds):
-        edges = edges.coalesce(tasks)
+        edges = edges.coalesce(files)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(tasks).distinct().coalesce(tasks)
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(files).distinct().coalesce(files)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = materialize(small.select("e.u", "e.v").filter("u <> v").coalesce(tasks).distinct().coalesce(tasks))
+        after = materialize(small.select("e.u", "e.v").filter("u <> v").coalesce(files).distinct().coalesce(files))
         # Ended when each node has one parent and no parent has one of its own: stars.
         rows, nodes = after.agg(F.count("*"), F.count_distinct("u")).first()
         if rows == nodes and after.join(after.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():

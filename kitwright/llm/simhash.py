@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kitwright.llm.common import batch, materialize
-from kitwright.llm.linking import components, group_pairs
+from kitwright.llm.linking import components, group_pairs, tasks
 
 #: Seed of a shingle's XXH64, rows of a block of a bucket, shingles of a block of sets, shingles counted at a time, and members beyond which a component is a crowd.
 SEED, BLOCK_ROWS, BLOCK_SHINGLES, CHUNK, CROWD = 42, 2048, 1 << 18, 8192, 64
@@ -158,12 +158,16 @@ def links(classes: DataFrame, limit: int, segments: int, width: int, radius: int
         raise ValueError("balls of radius 0 or 1 are enumerated")
     words = [F.col("fp")[i].alias(f"word{i}") for i in range(head)]
     base = classes.select(F.explode(buckets(segments, width)).alias("bucket"), "id", *words)
-    star = materialize(_leads(base, classes, limit, head, head_limit))
+    # Few files for few rows, however many partitions a shuffle has.
+    n = classes.count()
+    of_classes, of_entries, of_probes = (tasks(n * each) for each in (1, segments, segments * (2 + width // 2)))
+    star = materialize(_leads(base, classes, limit, head, head_limit).coalesce(of_entries))
     known = components(star).withColumnRenamed("node", "id")
     of_lead = [F.col("fp")[i].alias(f"center{i}") for i in range(head)]
-    crowds = materialize(known.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).join(classes.select(F.col("id").alias("component"), *of_lead).dropDuplicates(["component"]), "component").drop("n"))
+    crowds = known.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).join(classes.select(F.col("id").alias("component"), *of_lead).dropDuplicates(["component"]), "component").drop("n")
+    crowds = materialize(crowds.coalesce(of_classes))
     named = classes.join(known, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
-    classes = materialize(named.join(crowds, "component", "left"))
+    classes = materialize(named.join(crowds, "component", "left").coalesce(of_classes))
     centers = [f"center{i}" for i in range(head)]
     base = classes.select(F.explode(buckets(segments, width)).alias("bucket"), "id", "component", *words, *centers)
     ball = F.explode(F.array(*[F.lit(b).cast("long") for b in (0, *[1 << i for i in range(width if radius else 0)])]))
@@ -174,12 +178,12 @@ def links(classes: DataFrame, limit: int, segments: int, width: int, radius: int
     table = base.filter("center0 is null").select(*entry, F.lit(0).alias("around")).unionByName(many).toDF(*[f"table_{c}" for c in entry], "around")
     other = (F.col("bucket") == F.col("table_bucket")) & (F.col("component") != F.col("table_component"))
     apart = _bits_apart("word", "table_word", head)
-    hits = materialize(probes.join(table, other & (apart <= F.col("around") + head_limit), "left_semi"))
+    hits = materialize(probes.join(table, other & (apart <= F.col("around") + head_limit), "left_semi").coalesce(of_probes))
     if not crowds.isEmpty():  # now by each member
-        hits = materialize(hits.join(base.select(*entry).toDF(*[f"table_{c}" for c in entry]), other & (apart <= head_limit), "left_semi"))
+        hits = materialize(hits.join(base.select(*entry).toDF(*[f"table_{c}" for c in entry]), other & (apart <= head_limit), "left_semi").coalesce(of_probes))
     hits = hits.select("bucket", "id", "component")
-    entries = materialize(base.select("bucket", "id", "component").join(hits.select("bucket").distinct(), "bucket", "left_semi").union(hits).distinct().withColumn("one", F.lit(1)))
-    dealt = group_pairs(entries, ["bucket"], "id", "component", "one", BLOCK_ROWS).join(classes.select("id", "fp"), "id")
+    entries = materialize(base.select("bucket", "id", "component").join(hits.select("bucket").distinct(), "bucket", "left_semi").union(hits).distinct().withColumn("one", F.lit(1)).coalesce(of_entries))
+    dealt = group_pairs(entries, ["bucket"], "id", "component", "one", BLOCK_ROWS, of_entries).join(classes.select("id", "fp"), "id")
     # Two blocks of bounded size a group.
     jobs = dealt.groupBy("bucket", "block_a", "block_b").agg(F.collect_list(F.struct("id", "component", "fp")).alias("m")).select("m.id", "m.component", "m.fp")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
