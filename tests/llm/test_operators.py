@@ -307,6 +307,34 @@ def test_sources_of_one_row_are_spread(spark):
     assert all(abs(r.big - 20_000 / 12) < 60 for r in got)
 
 
+def test_nnpu_follows_the_corrected_risk():
+    """The first step is Adam's on the plain risk's gradient, by differences; where the risk of the clean ones is negative, it climbs that instead."""
+    rng = np.random.default_rng(5)
+    width, prior = 4, 0.3
+    rows = [np.flatnonzero(rng.random(width) < 0.5) for _ in range(40)]
+    for negative in (False, True):
+        positive = np.arange(40) < 20
+        texts = [np.array([0, 1]) if p else np.array([2]) for p in positive] if negative else rows
+        scores = lambda w: np.array([1 / (1 + np.exp(-(sum(w[i] for i in t) + w[width]))) for t in texts])  # noqa: B023, E731
+        called = lambda w: scores(w)[~positive].mean() - prior * scores(w)[positive].mean()  # noqa: B023, E731  the risk of calling the clean ones toxic
+        risk = lambda w: prior * (1 - scores(w)[positive]).mean() + called(w)  # noqa: B023, E731
+        start = np.zeros(width + 1)
+        start[width] = np.log(prior / (1 - prior))
+        got, bias = toxicity.nnpu(texts, positive, width, prior, epochs=1, rate=1e-3, decay=0.0)
+        step = np.append(got, bias) - start
+        slope = np.array([(risk(start + d) - risk(start - d)) / 2e-5 for d in 1e-5 * np.eye(width + 1)])
+        assert called(start) >= 0  # at the start both are scored alike
+        moved = np.abs(slope) > 1e-6
+        assert np.allclose(step[moved], -1e-3 * np.sign(slope[moved]), rtol=1e-2) and np.allclose(step[~moved], 0, atol=1e-6)
+        if negative:  # texts that differ in all features: training drives the risk below zero, and the correction holds it there
+            w, b = toxicity.nnpu(texts, positive, width, prior, epochs=400, rate=0.05, decay=0.0)
+            assert called(np.append(w, b)) > -0.1
+            plain = np.append(start[:width], start[width])
+            for _ in range(4000):
+                plain = plain - 0.5 * np.array([(risk(plain + d) - risk(plain - d)) / 2e-5 for d in 1e-5 * np.eye(width + 1)])
+            assert called(plain) < -0.25  # what the uncorrected risk comes to
+
+
 def test_nnpu_learns(spark):
     rng = random.Random(6)
     rows, marks = [], []
@@ -322,6 +350,37 @@ def test_nnpu_learns(spark):
     assert toxicity.keep_clean(docs, model).count() == sum(s < 0.5 for s in got.values())
 
 
+def test_language_network_equals_a_plain_one():
+    """States, position probabilities and the loss, one number at a time."""
+    rng = np.random.default_rng(4)
+    net = langid.fresh(["a", "b", "c"], hidden=3, seed=7)
+    windows, lengths, labels = rng.integers(0, 256, (3, langid.WINDOW)).astype(np.uint8), np.array([langid.WINDOW, 7, 1]), np.array([2, 0, 1])
+    gate = lambda x: min(1.0, max(0.0, x + 0.5))
+    hidden, all_states = 3, np.zeros((2, langid.WINDOW, 3, 3))
+    for d in (0, 1):
+        for row in range(3):
+            h = [0.0] * hidden
+            for t in range(langid.WINDOW):
+                byte = windows[row, t if d == 0 else langid.WINDOW - 1 - t]
+                x = net.table[d][byte]
+                inner = [sum(h[i] * float(net.inner[d][i, k]) for i in range(hidden)) for k in range(3 * hidden)]
+                update, reset = ([gate(float(x[g * hidden + k]) + inner[g * hidden + k]) for k in range(hidden)] for g in (0, 1))
+                candidate = [np.tanh(float(x[2 * hidden + k]) + reset[k] * inner[2 * hidden + k]) for k in range(hidden)]
+                h = [h[k] + update[k] * (candidate[k] - h[k]) for k in range(hidden)]
+                all_states[d, t, row] = h
+    assert np.allclose(langid.states(net, windows), all_states, atol=1e-5)
+    loss, count = 0.0, 0
+    p = langid.position_probabilities(net, windows)
+    for row in range(3):
+        for t in range(langid.WINDOW):
+            logits = [sum(all_states[0, t, row, i] * net.out[0][i, k] + all_states[1, langid.WINDOW - 1 - t, row, i] * net.out[1][i, k] for i in range(hidden)) + net.bias[k] for k in range(3)]
+            plain = np.exp(logits) / np.exp(logits).sum()
+            assert np.allclose(p[t, row], plain, atol=1e-5)
+            if t < lengths[row]:
+                loss, count = loss - np.log(plain[labels[row]]), count + 1
+    assert abs(langid.gradients(net, windows, lengths, labels)[0] - loss / count) < 1e-5
+
+
 def test_language_network_and_its_gradients(spark):
     rng = np.random.default_rng(1)
     net = langid.fresh(["a", "b"], hidden=3)
