@@ -1,18 +1,25 @@
 """Line deduplication with a log-template tree.
 
-A line's way down the tree is its token count, then its ``LEADING`` first
-tokens; a token with a digit is a variable field. At the leaf, tokens are
-counted by position over the documents. A token that ``least_texts`` documents
+A line's way down the tree is its token count, then its two first tokens; a
+token with a digit is a variable field. A node has a child for each token that
+``least_texts`` documents have there, and one wildcard child for all others, so
+fields in front are fields too. At the leaf, tokens are counted by position over
+the documents. A token that ``least_texts`` documents
 have at its position is part of a template, any other is a field; and a
 position with that many such or other tokens varies. Each line has at most two
 templates: one of all its frequent tokens, and one that leaves the varying
 positions open too. So "Posted by Alice in News" and "Posted by Bob in News"
 share a template, wherever and however many the fields are. A template keeps
-at least half of the line's tokens as words.
+at least half of the line's tokens as words, three quarters if one of the first
+two is a wildcard; a line of one token has the template that it is.
 
-Only lines at leaves that enough documents share are counted token by token.
-They are known by a bitmap of ``BITMAP`` bits, a bounded broadcast: where leaves
-share a bit, more lines are counted than need be, with the same result.
+Which children a node has is known by a bitmap of ``BITMAP`` bits for each of
+the two levels, a bounded broadcast. A rare token that shares its bit with a
+frequent one gets a child of its own instead of the wildcard: with k frequent
+nodes so does one rare token in BITMAP / k. Only lines at leaves that enough
+documents share are counted token by token. They are known by a third bitmap:
+where leaves share a bit, more lines are counted than need be, with the same
+result (from some BITMAP shared leaves on, all are).
 
 A template recurs if it stands in ``LEAST_TEXTS`` or more unrelated documents,
 however many copies of them there are. Documents are unrelated if their sketches
@@ -27,19 +34,20 @@ logarithm of its size). They are left to document deduplication.
 Of a recurring template the first line (smallest id, then position) stays, the
 others are dropped.
 
-Defined results: null or empty texts have no lines that can be dropped; lines
-of under three tokens have no template and stay; in those with more variable
-than fixed tokens no token is masked as a field; a text whose lines are all dropped
-becomes ''; texts of any length are taken whole; rows with a null id lose
+Defined results: null or empty texts have no lines that can be dropped, nor have
+lines without a token; in those with more variable than fixed tokens no token is
+masked as a field; a text whose lines are all dropped becomes ''; lines repeated
+in a text count once for it, and all of them but the first of the template go;
+texts of any length are taken whole; rows with a null id lose
 nothing; rows that repeat an id are one document and lose the lines that any of
 them loses at that position; an empty table gives an empty table. Extra columns
-are kept.
+are kept, but for those named like the counts; no name of theirs is reserved.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +57,8 @@ from pyspark.sql import functions as F
 
 from kitwright.llm.common import batch, materialize
 
-LEAST_TEXTS, LEADING, LEAST_TOKENS = 8, 2, 3
-#: Bits of the map of leaves that enough documents share: 8 MB at any size.
+LEAST_TEXTS = 8
+#: Bits of the maps of nodes and leaves that enough documents share: 8 MB each at any size.
 BITMAP = 1 << 26
 #: Share of a document's tokens in lines of its own beyond which it is no near copy.
 OWN_SHARE = 0.2
@@ -72,33 +80,82 @@ def masked(line: str) -> list[str]:
     return raw if 2 * tokens.count(FIELD) > len(raw) else tokens
 
 
-def leaf(tokens: list[str]) -> int | None:
-    """The leaf of the tree that a line with these tokens comes to; none for a line of too few."""
-    return _signed(" ".join([str(len(tokens)), *tokens[:LEADING]])) if len(tokens) >= LEAST_TOKENS else None
+#: Odd constants that mix two hashes: multiples of the golden ratio's 64-bit fraction.
+MIX, WORD = (0x9E3779B97F4A7C15, 0x3C6EF372FE94F82B), 2**64 - 1
+#: Stands for all rare tokens of a node.
+WILDCARD = _signed(FIELD)
+
+
+def mixed(a: int, b: int) -> int:
+    """One signed hash of two."""
+    x = ((a & WORD) * MIX[0] + (b & WORD)) & WORD
+    x = ((x ^ x >> 29) * MIX[1]) & WORD
+    x ^= x >> 32
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _has(bits: memoryview, h: int) -> bool:
+    h %= BITMAP
+    return bool(bits[h >> 3] >> (h & 7) & 1)
+
+
+class Tree:
+    """The children of the nodes of both levels, as bitmaps."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        self.first, self.second = memoryview(first), memoryview(second)
+
+    def after_first(self, many: int, first: int) -> int:
+        """The node below the token count: that of the first token, or the wildcard's."""
+        own = mixed(many, first)
+        return own if _has(self.first, own) else mixed(many, WILDCARD)
+
+    def leaf(self, many: int, first: int, second: int) -> int:
+        node = self.after_first(many, first)
+        own = mixed(node, second)
+        return own if _has(self.second, own) else mixed(node, WILDCARD)
+
+    def leaf_and_wild(self, many: int, first: int, second: int) -> tuple[int, bool]:
+        """The leaf, and whether a wildcard leads to it."""
+        node = self.after_first(many, first)
+        own = mixed(node, second)
+        wild = not _has(self.second, own)
+        return mixed(node, WILDCARD) if wild else own, wild or not _has(self.first, mixed(many, first))
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
-    """One row for each line with a token: ``id``, ``line`` (its position), ``tokens``, ``own`` (its hash), ``leaf``, and ``fresh`` if no earlier line of the text came to that leaf."""
-    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("tokens", pa.int32()), ("own", pa.int64()), ("leaf", pa.int64()), ("fresh", pa.bool_())])
+    """One row for each line with a token: ``id``, ``line`` (its position), ``tokens``, ``own`` (its hash), and ``first`` and ``second``, the hashes of its first tokens (0 for none)."""
+    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("tokens", pa.int32()), ("own", pa.int64()), ("first", pa.int64()), ("second", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen: set[int | None] = {None}
                 for k, line in enumerate((text or "").split("\n")):
                     if tokens := masked(line):
-                        at = leaf(tokens)
-                        out.append((id_, k, len(tokens), _signed(line), at, at not in seen))
-                        seen.add(at)
+                        out.append((id_, k, len(tokens), _signed(line), _signed(tokens[0]), _signed(tokens[1]) if len(tokens) > 1 else 0))
             yield batch(schema, list(zip(*out, strict=True)) if out else [[]] * 6)
 
-    return docs.mapInArrow(run, "id long, line int, tokens int, own long, leaf long, fresh boolean")
+    return docs.mapInArrow(run, "id long, line int, tokens int, own long, first long, second long")
+
 
+def _nodes(parsed: DataFrame, of_task: Callable[[], Callable[[int, int, int], int]]) -> DataFrame:
+    """``id`` and ``node`` of each line of :func:`_parsed`, repeats within a text and a batch left out; ``of_task`` gives the node of a line's tokens."""
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64())])
 
-def _bitmap(leaves: DataFrame) -> np.ndarray:
-    """The ``BITMAP`` bits, of which a leaf sets one."""
-    bits = leaves.select((F.pmod("leaf", F.lit(BITMAP)) + 1).alias("bit"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = of_task()
+        for b in batches:
+            rows = {(id_, node(*line)) for id_, *line in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)}
+            yield batch(schema, list(zip(*rows, strict=True)) if rows else [[], []])
+
+    return parsed.select("id", "tokens", "first", "second").mapInArrow(run, "id long, node long")
+
+
+def _bitmap(nodes: DataFrame, least_texts: int) -> np.ndarray:
+    """``BITMAP`` bits, of which each node that ``least_texts`` texts have sets one."""
+    shared = nodes.distinct().groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts)
+    bits = shared.select((F.pmod("node", F.lit(BITMAP)) + 1).alias("bit"))
     parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     out = np.zeros(BITMAP // 8, dtype=np.uint8)
     for r in parts:  # at most BITMAP / 32,768 rows of 4 kB
@@ -106,34 +163,51 @@ def _bitmap(leaves: DataFrame) -> np.ndarray:
     return out
 
 
-def _cells(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """The lines whose leaf is in the bitmap: ``id``, ``line``, ``leaf``, ``cells`` (a hash for each token), ``fresh`` (those that no earlier line of the text has at the leaf and position)."""
-    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("cells", pa.list_(pa.int64())), ("fresh", pa.list_(pa.bool_()))])
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # BITMAP bits
+def _grown(parsed: DataFrame, least_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bitmaps of the tree's two levels and of its leaves, each counted with the ones before."""
+    context = parsed.sparkSession.sparkContext
+    first = _bitmap(_nodes(parsed, lambda: lambda many, first, _: mixed(many, first)), least_texts)
+    one = context.broadcast(first)  # BITMAP bits, as the next
+
+    def second_level() -> Callable[[int, int, int], int]:
+        tree = Tree(one.value, one.value)
+        return lambda many, first, second: mixed(tree.after_first(many, first), second)
+
+    second = _bitmap(_nodes(parsed, second_level), least_texts)
+    two = context.broadcast(second)
+    return first, second, _bitmap(_nodes(parsed, lambda: Tree(one.value, two.value).leaf), least_texts)
+
+
+def _cells(docs: DataFrame, maps: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """The lines whose leaf enough texts share: ``id``, ``line``, ``leaf``, ``wild`` (a wildcard leads there), ``cells`` (a hash for each token), ``fresh`` (those that no earlier line of the text has at the leaf and position)."""
+    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("wild", pa.bool_()), ("cells", pa.list_(pa.int64())), ("fresh", pa.list_(pa.bool_()))])
+    shared = docs.sparkSession.sparkContext.broadcast(maps)  # three times BITMAP bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = memoryview(shared.value)
+        first, second, leaves = shared.value
+        tree, leaves = Tree(first, second), memoryview(leaves)
         for b in batches:
             out = []
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen: set[tuple] = set()
                 for k, line in enumerate((text or "").split("\n")):
-                    tokens = masked(line)
-                    at = leaf(tokens)
-                    if at is not None and bits[at % BITMAP >> 3] >> (at & 7) & 1:
+                    if not (tokens := masked(line)):
+                        continue
+                    at, wild = tree.leaf_and_wild(len(tokens), _signed(tokens[0]), _signed(tokens[1]) if len(tokens) > 1 else 0)
+                    if _has(leaves, at):
                         cells = list(map(_signed, tokens))
                         places = [(at, p, c) for p, c in enumerate(cells)]
-                        out.append((id_, k, at, cells, [p not in seen for p in places]))
+                        out.append((id_, k, at, wild, cells, [p not in seen for p in places]))
                         seen.update(places)
-            yield batch(schema, list(zip(*out, strict=True)) if out else [[]] * 5)
+            yield batch(schema, list(zip(*out, strict=True)) if out else [[]] * 6)
 
-    return docs.mapInArrow(run, "id long, line int, leaf long, cells array<long>, fresh array<boolean>")
+    return docs.mapInArrow(run, "id long, line int, leaf long, wild boolean, cells array<long>, fresh array<boolean>")
 
 
 def _keys(cells: DataFrame, least_texts: int) -> DataFrame:
     """``id``, ``line``, ``open``, ``key``: the lines' templates, 0 that of all frequent tokens, 1 the open one."""
-    spread = cells.select("id", "line", "leaf", F.size("cells").alias("n"), F.posexplode(F.arrays_zip("cells", "fresh")).alias("at", "c"))
-    spread = spread.select("id", "line", "leaf", "n", "at", F.col("c.cells").alias("cell"), F.col("c.fresh").alias("fresh"))
+    spread = cells.select("id", "line", "leaf", "wild", F.size("cells").alias("n"), F.posexplode(F.arrays_zip("cells", "fresh")).alias("at", "c"))
+    spread = spread.select("id", "line", "leaf", "wild", "n", "at", F.col("c.cells").alias("cell"), F.col("c.fresh").alias("fresh"))
     counts = spread.filter("fresh").groupBy("leaf", "at", "cell").agg(F.count("*").alias("texts"))
     varying = counts.groupBy("leaf", "at").agg((F.count("*") >= least_texts).alias("varies"))
     # Written, so that the lines of a leaf that very many documents share can be split where they are joined.
@@ -142,7 +216,7 @@ def _keys(cells: DataFrame, least_texts: int) -> DataFrame:
     stays = ~F.col("varies")
     shapes = (
         spread.join(frequent, ["leaf", "at", "cell"])
-        .groupBy("id", "line", "leaf", "n")
+        .groupBy("id", "line", "leaf", "wild", "n")
         .agg(
             F.bit_xor(mark).alias("full"),
             F.count(word).alias("words"),
@@ -150,8 +224,9 @@ def _keys(cells: DataFrame, least_texts: int) -> DataFrame:
             F.count(F.when(stays, word)).alias("open_words"),
         )
     )
-    full = F.when(2 * F.col("words") >= F.col("n"), F.xxhash64("leaf", "full"))
-    opened = F.when(2 * F.col("open_words") >= F.col("n"), F.xxhash64("leaf", "open"))
+    enough = lambda words: F.when(F.col("wild"), 4 * words >= 3 * F.col("n")).otherwise(2 * words >= F.col("n"))
+    full = F.when(enough(F.col("words")), F.xxhash64("leaf", "full"))
+    opened = F.when(enough(F.col("open_words")), F.xxhash64("leaf", "open"))
     return shapes.select("id", "line", F.posexplode(F.array_distinct(F.array_compact(F.array(full, opened)))).alias("open", "key"))
 
 
@@ -159,8 +234,7 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """``id`` and ``lines``, the positions of the lines that go, for each text that loses some."""
     picked = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter("id is not null")
     parsed = materialize(_parsed(picked))
-    bitmap = _bitmap(parsed.filter("fresh").groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts))
-    lines = materialize(_keys(materialize(_cells(picked, bitmap)), least_texts))
+    lines = materialize(_keys(materialize(_cells(picked, _grown(parsed, least_texts))), least_texts))
     often = lines.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts).select("key")
     candidates = materialize(lines.join(materialize(often), "key", "left_semi"))
     shared = candidates.groupBy("id", "line").agg(F.max_by(F.xxhash64("key"), "open").alias("shared"))  # near copies agree in the open one
@@ -198,11 +272,14 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def drop_templates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_texts: int = LEAST_TEXTS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """``docs`` without the lines of recurring templates, with the columns ``counts`` (in place of any of those names): the lines before, and those dropped."""
     gone = dropped_lines(docs, id_column, text_column, least_texts)
-    rows = docs.join(gone.select(F.col("id").alias("_gone_id"), F.col("lines").alias("_gone_lines")), F.col(id_column).cast("long") == F.col("_gone_id"), "left")
+    free = "_".join(["gone", *docs.columns])  # longer than any column
+    gone = gone.select(F.col("id").alias(f"id {free}"), F.col("lines").alias(f"lines {free}"))
+    went = F.col(f"lines {free}")
+    rows = docs.join(gone, F.col(id_column).cast("long") == F.col(f"id {free}"), "left")
     every = F.split(F.col(text_column), "\n", -1)
-    kept = F.array_join(F.filter(every, lambda _, k: ~F.array_contains("_gone_lines", k)), "\n")
+    kept = F.array_join(F.filter(every, lambda _, k: ~F.array_contains(went, k)), "\n")
     return rows.select(
-        *[F.when(F.col("_gone_lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_column else F.col(c) for c in docs.columns if c not in counts],
+        *[F.when(went.isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_column else F.col(c) for c in docs.columns if c not in counts],
         F.coalesce(F.size(every), F.lit(0)).cast("long").alias(counts[0]),
-        F.coalesce(F.size("_gone_lines"), F.lit(0)).cast("long").alias(counts[1]),
+        F.coalesce(F.size(went), F.lit(0)).cast("long").alias(counts[1]),
     )
