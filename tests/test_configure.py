@@ -127,3 +127,21 @@ def test_names_and_part_bits(spark):
     many = catalog.parts(spark).withColumn("no", F.col("no") + 60)
     with pytest.raises(Exception, match="more than 63 parts"):
         selection.toggled(toggles.withColumn("part_id", F.lit("camera")), many).collect()
+
+
+def test_texts_of_an_empty_and_a_partial_build(spark):
+    """As the page shows them: dashes alone for what is not known, and what stands in an empty row."""
+    picks = spark.createDataFrame([(1, "frame", None, 1), (2, "frame", "frame5", 1), (2, "esc", "esc", 2)], "build_id long, slot string, product_id string, turn long")
+    builds = configure.resolve(picks, catalog.products(spark), order=["turn"])
+    one, two = configure.tiles(configure.evaluate(builds)).orderBy("build_id").collect()
+    shown = ("—/100", "Build incomplete", "—", "—")
+    assert tuple(one)[1:] == (*shown, "0,00 €", "Select components to check compatibility")
+    known = {p["id"]: p for p in catalog.PRODUCTS}
+    price = sum(float(known[i]["price"]) for i in ("frame5", "esc") if i in known)
+    assert tuple(two)[1:5] == shown and two.price_text == f"{price:.2f}".replace(".", ",") + " €"
+    rows = configure.component_rows(builds, catalog.products(spark), catalog.categories(spark)).collect()
+    of = lambda build, label: next(r for r in rows if r.build_id == build and r.ord == label)
+    assert len(rows) == 16 and {tuple(r)[3:] for r in rows if r.build_id == 1} == {("No component selected", None, "Not selected", "—", "Select Component")}
+    frame = of(2, 0)
+    assert (frame.product_name, frame.spec, frame.fit, frame.button) == (known["frame5"]["name"], known["frame5"]["spec"], "Pending checks", "Change")
+    assert frame.price_text == f"{float(known['frame5']['price']):.2f}".replace(".", ",") + " €"
