@@ -11,15 +11,18 @@ templates: one of all its frequent tokens, and one that leaves the varying
 positions open too. So "Posted by Alice in News" and "Posted by Bob in News"
 share a template, wherever and however many the fields are. A template keeps
 at least half of the line's tokens as words, three quarters if one of the first
-two is a wildcard; a line of one token has the template that it is.
+two is a wildcard; a line of one token has the template that it is. So under wildcards a template
+has few other fields, and cut into one piece more than these, one of its pieces
+is all words: only lines that share such a piece with ``least_texts`` texts of
+their leaf (their key) are counted there.
 
 Which children a node has is known by a bitmap of ``BITMAP`` bits for each of
 the two levels, a bounded broadcast. A rare token that shares its bit with a
 frequent one gets a child of its own instead of the wildcard: with k frequent
-nodes so does one rare token in BITMAP / k. Only lines at leaves that enough
-documents share are counted token by token. They are known by a third bitmap:
-where leaves share a bit, more lines are counted than need be, with the same
-result (from some BITMAP shared leaves on, all are).
+nodes so does one rare token in BITMAP / k. Only lines with a key, the leaf or a
+piece, that enough documents share are counted token by token. They are known by
+a third bitmap: where keys share a bit, more lines are counted than need be
+(from some BITMAP shared keys on, all are).
 
 A template recurs if it stands in ``LEAST_TEXTS`` or more unrelated documents,
 however many copies of them there are. Documents are unrelated if their sketches
@@ -52,6 +55,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,17 +114,27 @@ class Tree:
         own = mixed(many, first)
         return own if _has(self.first, own) else mixed(many, WILDCARD)
 
-    def leaf(self, many: int, first: int, second: int) -> int:
-        node = self.after_first(many, first)
-        own = mixed(node, second)
-        return own if _has(self.second, own) else mixed(node, WILDCARD)
-
-    def leaf_and_wild(self, many: int, first: int, second: int) -> tuple[int, bool]:
-        """The leaf, and whether a wildcard leads to it."""
+    def leaf(self, tokens: list[str]) -> tuple[int, int]:
+        """The leaf, and how many wildcards lead to it."""
+        many, first, second = heads(tokens)
         node = self.after_first(many, first)
         own = mixed(node, second)
         wild = not _has(self.second, own)
-        return mixed(node, WILDCARD) if wild else own, wild or not _has(self.first, mixed(many, first))
+        return mixed(node, WILDCARD) if wild else own, wild + (not _has(self.first, mixed(many, first)))
+
+    def keys(self, tokens: list[str]) -> tuple[int, bool, list[int]]:
+        """The leaf, whether a wildcard leads to it, and the keys by which lines with a template there are known."""
+        at, wild = self.leaf(tokens)
+        if not wild:
+            return at, False, [at]
+        spare = len(tokens) // 4 - wild  # further fields of a template
+        rest, pieces = tokens[2:], spare + 1
+        return at, True, [mixed(mixed(at, k), _signed(" ".join(rest[len(rest) * k // pieces : len(rest) * (k + 1) // pieces]))) for k in range(max(0, pieces))]
+
+
+def heads(tokens: list[str]) -> tuple[int, int, int]:
+    """The number of tokens, and the hashes of the first two (0 for none)."""
+    return len(tokens), _signed(tokens[0]), _signed(tokens[1]) if len(tokens) > 1 else 0
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
@@ -133,7 +147,8 @@ def _parsed(docs: DataFrame) -> DataFrame:
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for k, line in enumerate((text or "").split("\n")):
                     if tokens := masked(line):
-                        out.append((id_, k, len(tokens), _signed(line), _signed(tokens[0]), _signed(tokens[1]) if len(tokens) > 1 else 0))
+                        many, first, second = heads(tokens)
+                        out.append((id_, k, many, _signed(line), first, second))
             yield batch(schema, list(zip(*out, strict=True)) if out else [[]] * 6)
 
     return docs.mapInArrow(run, "id long, line int, tokens int, own long, first long, second long")
@@ -152,6 +167,22 @@ def _nodes(parsed: DataFrame, of_task: Callable[[], Callable[[int, int, int], in
     return parsed.select("id", "tokens", "first", "second").mapInArrow(run, "id long, node long")
 
 
+def _keyed(docs: DataFrame, one: Broadcast, two: Broadcast) -> DataFrame:
+    """``id`` and ``node`` for each key of a text's lines, repeats left out."""
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Tree(one.value, two.value)
+        for b in batches:
+            out = []
+            for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = {k for line in (text or "").split("\n") if (tokens := masked(line)) for k in tree.keys(tokens)[2]}
+                out += [(id_, k) for k in own]
+            yield batch(schema, list(zip(*out, strict=True)) if out else [[], []])
+
+    return docs.mapInArrow(run, "id long, node long")
+
+
 def _bitmap(nodes: DataFrame, least_texts: int) -> np.ndarray:
     """``BITMAP`` bits, of which each node that ``least_texts`` texts have sets one."""
     shared = nodes.distinct().groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts)
@@ -163,8 +194,8 @@ def _bitmap(nodes: DataFrame, least_texts: int) -> np.ndarray:
     return out
 
 
-def _grown(parsed: DataFrame, least_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bitmaps of the tree's two levels and of its leaves, each counted with the ones before."""
+def _grown(docs: DataFrame, parsed: DataFrame, least_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bitmaps of the tree's two levels and of its keys, each counted with the ones before."""
     context = parsed.sparkSession.sparkContext
     first = _bitmap(_nodes(parsed, lambda: lambda many, first, _: mixed(many, first)), least_texts)
     one = context.broadcast(first)  # BITMAP bits, as the next
@@ -175,17 +206,17 @@ def _grown(parsed: DataFrame, least_texts: int) -> tuple[np.ndarray, np.ndarray,
 
     second = _bitmap(_nodes(parsed, second_level), least_texts)
     two = context.broadcast(second)
-    return first, second, _bitmap(_nodes(parsed, lambda: Tree(one.value, two.value).leaf), least_texts)
+    return first, second, _bitmap(_keyed(docs, one, two), least_texts)
 
 
 def _cells(docs: DataFrame, maps: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """The lines whose leaf enough texts share: ``id``, ``line``, ``leaf``, ``wild`` (a wildcard leads there), ``cells`` (a hash for each token), ``fresh`` (those that no earlier line of the text has at the leaf and position)."""
+    """The lines with a key that enough texts share: ``id``, ``line``, ``leaf``, ``wild`` (a wildcard leads there), ``cells`` (a hash for each token), ``fresh`` (those that no earlier line of the text has at the leaf and position)."""
     schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("wild", pa.bool_()), ("cells", pa.list_(pa.int64())), ("fresh", pa.list_(pa.bool_()))])
     shared = docs.sparkSession.sparkContext.broadcast(maps)  # three times BITMAP bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second, leaves = shared.value
-        tree, leaves = Tree(first, second), memoryview(leaves)
+        first, second, often = shared.value
+        tree, often = Tree(first, second), memoryview(often)
         for b in batches:
             out = []
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -193,8 +224,8 @@ def _cells(docs: DataFrame, maps: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
                 for k, line in enumerate((text or "").split("\n")):
                     if not (tokens := masked(line)):
                         continue
-                    at, wild = tree.leaf_and_wild(len(tokens), _signed(tokens[0]), _signed(tokens[1]) if len(tokens) > 1 else 0)
-                    if _has(leaves, at):
+                    at, wild, keys = tree.keys(tokens)
+                    if any(_has(often, k) for k in keys):
                         cells = list(map(_signed, tokens))
                         places = [(at, p, c) for p, c in enumerate(cells)]
                         out.append((id_, k, at, wild, cells, [p not in seen for p in places]))
@@ -234,7 +265,7 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """``id`` and ``lines``, the positions of the lines that go, for each text that loses some."""
     picked = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter("id is not null")
     parsed = materialize(_parsed(picked))
-    lines = materialize(_keys(materialize(_cells(picked, _grown(parsed, least_texts))), least_texts))
+    lines = materialize(_keys(materialize(_cells(picked, _grown(picked, parsed, least_texts))), least_texts))
     often = lines.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts).select("key")
     candidates = materialize(lines.join(materialize(often), "key", "left_semi"))
     shared = candidates.groupBy("id", "line").agg(F.max_by(F.xxhash64("key"), "open").alias("shared"))  # near copies agree in the open one

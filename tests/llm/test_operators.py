@@ -503,9 +503,19 @@ def test_templates_by_a_plain_version(spark):
     for i, t in every():
         holders.setdefault((len(t), first(t), tuple(t[1:2])), set()).add(i)
     leaf = lambda t: (len(t), first(t), (tuple(t[1:2])) if len(holders[len(t), first(t), tuple(t[1:2])]) >= 8 else None)
+    # Under wildcards only lines count that share a piece with eight texts of the leaf.
+    def keys(t):
+        wild = leaf(t)[1:].count(None)
+        pieces = len(t) // 4 - wild + 1
+        return [(leaf(t), k, tuple(t[2:][len(t[2:]) * k // pieces : len(t[2:]) * (k + 1) // pieces])) for k in range(max(0, pieces))] if wild else [leaf(t)]
+
+    for i, t in every():
+        for k in keys(t):
+            holders.setdefault(("key", k), set()).add(i)
+    counted = lambda t: any(len(holders["key", k]) >= 8 for k in keys(t))
     counts, spread = {}, {}
     for i, t in every():
-        for at, token in enumerate(t):
+        for at, token in enumerate(t) if counted(t) else ():
             counts.setdefault((leaf(t), at, token), set()).add(i)
     for place in counts:
         spread[place[:2]] = spread.get(place[:2], 0) + 1
@@ -515,7 +525,7 @@ def test_templates_by_a_plain_version(spark):
             tokens = lines.masked(line)
             places = [(leaf(tokens), at, t) for at, t in enumerate(tokens)]
             least = 0.75 if None in leaf(tokens)[1:] else 0.5
-            full = tuple(p for p in places if len(counts[p]) >= 8)
+            full = tuple(p for p in places if counted(tokens) and len(counts[p]) >= 8)
             for shape in {full, tuple(p for p in full if spread[p[:2]] < 8)}:
                 if sum(t != lines.FIELD for *_, t in shape) >= least * len(tokens):
                     kinds.setdefault(shape, []).append((i, k))
