@@ -171,15 +171,21 @@ def links(classes: DataFrame, limit: int, segments: int, width: int, radius: int
     centers = [f"center{i}" for i in range(head)]
     base = classes.select(F.explode(buckets(segments, width)).alias("bucket"), "id", "component", *words, *centers)
     ball = F.explode(F.array(*[F.lit(b).cast("long") for b in (0, *[1 << i for i in range(width if radius else 0)])]))
-    probes = base.withColumn("bit", ball).filter("(bucket & bit) = 0").select(F.expr("bucket | bit").alias("bucket"), "id", "component", *[f"word{i}" for i in range(head)])
-    # A crowd stands in a table as one entry a bucket: its lead, and how far the members there are from that at most.
+    probing = lambda rows, *kept: rows.withColumn("bit", ball).filter("(bucket & bit) = 0").select(F.expr("bucket | bit").alias("bucket"), *kept)
+    # A crowd stands in a table as one entry a bucket, and probes as one: its lead, and how far the members there are from that at most.
     entry = ["bucket", "component", *[f"word{i}" for i in range(head)]]
-    many = base.filter("center0 is not null").groupBy("bucket", "component", *centers).agg(F.max(_bits_apart("word", "center", head)).alias("around")).toDF(*entry, "around")
-    table = base.filter("center0 is null").select(*entry, F.lit(0).alias("around")).unionByName(many).toDF(*[f"table_{c}" for c in entry], "around")
+    alone, crowded = base.filter("center0 is null"), base.filter("center0 is not null")
+    many = crowded.groupBy("bucket", "component", *centers).agg(F.max(_bits_apart("word", "center", head)).alias("around")).toDF(*entry, "around")
+    table = alone.select(*entry, F.lit(0).alias("around")).unionByName(many).toDF(*[f"table_{c}" for c in entry], "table_around")
     other = (F.col("bucket") == F.col("table_bucket")) & (F.col("component") != F.col("table_component"))
     apart = _bits_apart("word", "table_word", head)
-    hits = materialize(probes.join(table, other & (apart <= F.col("around") + head_limit), "left_semi").coalesce(of_probes))
+    of_crowds = probing(many, *entry[1:], "around").groupBy(*entry).agg(F.max("around").alias("around"))
+    probes = probing(alone, "id", *entry[1:], F.lit(0).alias("around")).unionByName(of_crowds.withColumn("id", F.lit(None).cast("long")))
+    hits = materialize(probes.join(table, other & (apart <= F.col("around") + F.col("table_around") + head_limit), "left_semi").coalesce(of_probes))
     if not crowds.isEmpty():  # now by each member
+        met = hits.filter("id is null").select("bucket", "component")
+        members = probing(crowded, "id", *entry[1:]).join(met, ["bucket", "component"], "left_semi")
+        hits = hits.filter("id is not null").select("bucket", "id", *entry[1:]).unionByName(members)
         hits = materialize(hits.join(base.select(*entry).toDF(*[f"table_{c}" for c in entry]), other & (apart <= head_limit), "left_semi").coalesce(of_probes))
     hits = hits.select("bucket", "id", "component")
     entries = materialize(base.select("bucket", "id", "component").join(hits.select("bucket").distinct(), "bucket", "left_semi").union(hits).distinct().withColumn("one", F.lit(1)).coalesce(of_entries))
