@@ -10,11 +10,11 @@ position with that many such or other tokens varies. Each line has at most two
 templates: one of all its frequent tokens, and one that leaves the varying
 positions open too. So "Posted by Alice in News" and "Posted by Bob in News"
 share a template, wherever and however many the fields are. A template keeps
-at least half of the line's tokens as words, three quarters if one of the first
-two is a wildcard; a line of one token has the template that it is. So under wildcards a template
-has few other fields, and cut into one piece more than these, one of its pieces
-is all words: only lines that share such a piece with ``least_texts`` texts of
-their leaf (their key) are counted there.
+at least half of the line's tokens as words; if one of the first two is a wildcard,
+three quarters and all but one of those behind them. So half of what is behind is
+all words: under wildcards only lines that share such a half (their key) with
+``least_texts`` texts of their leaf are counted. A line of one token has the
+template that it is.
 
 Which children a node has is known by a bitmap of ``BITMAP`` bits for each of
 the two levels, a bounded broadcast. A rare token that shares its bit with a
@@ -122,14 +122,17 @@ class Tree:
         wild = not _has(self.second, own)
         return mixed(node, WILDCARD) if wild else own, wild + (not _has(self.first, mixed(many, first)))
 
-    def keys(self, tokens: list[str]) -> tuple[int, bool, list[int]]:
-        """The leaf, whether a wildcard leads to it, and the keys by which lines with a template there are known."""
+    def keys(self, tokens: list[str]) -> tuple[int, int, list[int]]:
+        """The leaf, how many words a template needs there, and the keys by which lines with one are known."""
         at, wild = self.leaf(tokens)
+        many, rest = len(tokens), tokens[2:]
         if not wild:
-            return at, False, [at]
-        spare = len(tokens) // 4 - wild  # further fields of a template
-        rest, pieces = tokens[2:], spare + 1
-        return at, True, [mixed(mixed(at, k), _signed(" ".join(rest[len(rest) * k // pieces : len(rest) * (k + 1) // pieces]))) for k in range(max(0, pieces))]
+            return at, (many + 1) // 2, [at]
+        spare = min(1, many // 4 - wild)  # further fields of a template
+        if spare < 0:
+            return at, many, []
+        pieces = [rest[: len(rest) // 2], rest[len(rest) // 2 :]] if spare else [rest]
+        return at, many - wild - spare, [mixed(mixed(at, k), _signed(" ".join(piece))) for k, piece in enumerate(pieces)]
 
 
 def heads(tokens: list[str]) -> tuple[int, int, int]:
@@ -210,8 +213,8 @@ def _grown(docs: DataFrame, parsed: DataFrame, least_texts: int) -> tuple[np.nda
 
 
 def _cells(docs: DataFrame, maps: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """The lines with a key that enough texts share: ``id``, ``line``, ``leaf``, ``wild`` (a wildcard leads there), ``cells`` (a hash for each token), ``fresh`` (those that no earlier line of the text has at the leaf and position)."""
-    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("wild", pa.bool_()), ("cells", pa.list_(pa.int64())), ("fresh", pa.list_(pa.bool_()))])
+    """The lines with a key that enough texts share: ``id``, ``line``, ``leaf``, ``least`` (words of a template), ``cells`` (a hash for each token), ``fresh`` (those that no earlier line of the text has at the leaf and position)."""
+    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("least", pa.int32()), ("cells", pa.list_(pa.int64())), ("fresh", pa.list_(pa.bool_()))])
     shared = docs.sparkSession.sparkContext.broadcast(maps)  # three times BITMAP bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,21 +227,21 @@ def _cells(docs: DataFrame, maps: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
                 for k, line in enumerate((text or "").split("\n")):
                     if not (tokens := masked(line)):
                         continue
-                    at, wild, keys = tree.keys(tokens)
+                    at, least, keys = tree.keys(tokens)
                     if any(_has(often, k) for k in keys):
                         cells = list(map(_signed, tokens))
                         places = [(at, p, c) for p, c in enumerate(cells)]
-                        out.append((id_, k, at, wild, cells, [p not in seen for p in places]))
+                        out.append((id_, k, at, least, cells, [p not in seen for p in places]))
                         seen.update(places)
             yield batch(schema, list(zip(*out, strict=True)) if out else [[]] * 6)
 
-    return docs.mapInArrow(run, "id long, line int, leaf long, wild boolean, cells array<long>, fresh array<boolean>")
+    return docs.mapInArrow(run, "id long, line int, leaf long, least int, cells array<long>, fresh array<boolean>")
 
 
 def _keys(cells: DataFrame, least_texts: int) -> DataFrame:
     """``id``, ``line``, ``open``, ``key``: the lines' templates, 0 that of all frequent tokens, 1 the open one."""
-    spread = cells.select("id", "line", "leaf", "wild", F.size("cells").alias("n"), F.posexplode(F.arrays_zip("cells", "fresh")).alias("at", "c"))
-    spread = spread.select("id", "line", "leaf", "wild", "n", "at", F.col("c.cells").alias("cell"), F.col("c.fresh").alias("fresh"))
+    spread = cells.select("id", "line", "leaf", "least", F.posexplode(F.arrays_zip("cells", "fresh")).alias("at", "c"))
+    spread = spread.select("id", "line", "leaf", "least", "at", F.col("c.cells").alias("cell"), F.col("c.fresh").alias("fresh"))
     counts = spread.filter("fresh").groupBy("leaf", "at", "cell").agg(F.count("*").alias("texts"))
     varying = counts.groupBy("leaf", "at").agg((F.count("*") >= least_texts).alias("varies"))
     # Written, so that the lines of a leaf that very many documents share can be split where they are joined.
@@ -247,7 +250,7 @@ def _keys(cells: DataFrame, least_texts: int) -> DataFrame:
     stays = ~F.col("varies")
     shapes = (
         spread.join(frequent, ["leaf", "at", "cell"])
-        .groupBy("id", "line", "leaf", "wild", "n")
+        .groupBy("id", "line", "leaf", "least")
         .agg(
             F.bit_xor(mark).alias("full"),
             F.count(word).alias("words"),
@@ -255,9 +258,8 @@ def _keys(cells: DataFrame, least_texts: int) -> DataFrame:
             F.count(F.when(stays, word)).alias("open_words"),
         )
     )
-    enough = lambda words: F.when(F.col("wild"), 4 * words >= 3 * F.col("n")).otherwise(2 * words >= F.col("n"))
-    full = F.when(enough(F.col("words")), F.xxhash64("leaf", "full"))
-    opened = F.when(enough(F.col("open_words")), F.xxhash64("leaf", "open"))
+    full = F.when(F.col("words") >= F.col("least"), F.xxhash64("leaf", "full"))
+    opened = F.when(F.col("open_words") >= F.col("least"), F.xxhash64("leaf", "open"))
     return shapes.select("id", "line", F.posexplode(F.array_distinct(F.array_compact(F.array(full, opened)))).alias("open", "key"))
 
 

@@ -504,10 +504,13 @@ def test_templates_by_a_plain_version(spark):
         holders.setdefault((len(t), first(t), tuple(t[1:2])), set()).add(i)
     leaf = lambda t: (len(t), first(t), (tuple(t[1:2])) if len(holders[len(t), first(t), tuple(t[1:2])]) >= 8 else None)
     # Under wildcards only lines count that share a piece with eight texts of the leaf.
+    spare = lambda t: min(1, len(t) // 4 - leaf(t)[1:].count(None))
+
     def keys(t):
-        wild = leaf(t)[1:].count(None)
-        pieces = len(t) // 4 - wild + 1
-        return [(leaf(t), k, tuple(t[2:][len(t[2:]) * k // pieces : len(t[2:]) * (k + 1) // pieces])) for k in range(max(0, pieces))] if wild else [leaf(t)]
+        if None not in leaf(t)[1:]:
+            return [leaf(t)]
+        half = (len(t) - 2) // 2 if spare(t) else len(t)
+        return [(leaf(t), k, tuple(x)) for k, x in enumerate((t[2:][:half], t[2:][half:])[: spare(t) + 1])] if spare(t) >= 0 else []
 
     for i, t in every():
         for k in keys(t):
@@ -524,10 +527,10 @@ def test_templates_by_a_plain_version(spark):
         for k, line in enumerate(text.split("\n")):
             tokens = lines.masked(line)
             places = [(leaf(tokens), at, t) for at, t in enumerate(tokens)]
-            least = 0.75 if None in leaf(tokens)[1:] else 0.5
+            least = len(tokens) - leaf(tokens)[1:].count(None) - spare(tokens) if None in leaf(tokens)[1:] else len(tokens) / 2
             full = tuple(p for p in places if counted(tokens) and len(counts[p]) >= 8)
             for shape in {full, tuple(p for p in full if spread[p[:2]] < 8)}:
-                if sum(t != lines.FIELD for *_, t in shape) >= least * len(tokens):
+                if sum(t != lines.FIELD for *_, t in shape) >= least:
                     kinds.setdefault(shape, []).append((i, k))
     want = {at for where in kinds.values() if len({i for i, _ in where}) >= 8 for at in where[1:]}
     got = {(r.id, k) for r in lines.dropped_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect() for k in r.lines}
