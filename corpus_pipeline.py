@@ -75,7 +75,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("encode", encode),
 ]
 
-#: Neither a trained classifier nor BPE is expressible in SQL; the stages are tested against brute force.
+#: Neither a trained classifier nor BPE is expressible in SQL; toxicity is tested by its risk and held-out accuracy, the other stages against brute force.
 ORACLE_SQL = None
 
 
