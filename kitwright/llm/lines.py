@@ -20,9 +20,9 @@ Which children a node has is known by a bitmap of ``BITMAP`` bits for each of
 the two levels, a bounded broadcast. A rare token that shares its bit with a
 frequent one gets a child of its own instead of the wildcard: with k frequent
 nodes so does one rare token in BITMAP / k. Only lines with a key, the leaf or a
-piece, that enough documents share are counted token by token. They are known by
-a third bitmap: where keys share a bit, more lines are counted than need be
-(from some BITMAP shared keys on, all are).
+half, that enough documents share are counted token by token. They are known by
+two further bitmaps, of keys and of lines: where keys share a bit, more lines are
+counted than need be (from some BITMAP shared keys on, all are).
 
 A template recurs if it stands in ``LEAST_TEXTS`` or more unrelated documents,
 however many copies of them there are. Documents are unrelated if their sketches
@@ -55,7 +55,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,64 +84,62 @@ def masked(line: str) -> list[str]:
 
 
 #: Odd constants that mix two hashes: multiples of the golden ratio's 64-bit fraction.
-MIX, WORD = (0x9E3779B97F4A7C15, 0x3C6EF372FE94F82B), 2**64 - 1
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0x3C6EF372FE94F82B))
 #: Stands for all rare tokens of a node.
-WILDCARD = _signed(FIELD)
+WILDCARD = np.array([_signed(FIELD)])
+#: What the tree needs of a line: its number of tokens, the hashes of the first two, of all behind these, and of both halves of that.
+HEAD = ("tokens", "first", "second", "rest", "front", "back")
 
 
-def mixed(a: int, b: int) -> int:
-    """One signed hash of two."""
-    x = ((a & WORD) * MIX[0] + (b & WORD)) & WORD
-    x = ((x ^ x >> 29) * MIX[1]) & WORD
-    x ^= x >> 32
-    return x - (1 << 64) if x >> 63 else x
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, for arrays of them."""
+    x = a.astype(np.int64).view(np.uint64) * MIX[0] + b.astype(np.int64).view(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * MIX[1]
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def _has(bits: memoryview, h: int) -> bool:
-    h %= BITMAP
-    return bool(bits[h >> 3] >> (h & 7) & 1)
+def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    h = h % BITMAP
+    return (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def heads(tokens: list[str]) -> tuple[int, ...]:
+    """``HEAD`` of a line; 0 for tokens it doesn't have."""
+    rest = tokens[2:]
+    half = len(rest) // 2
+    parts = (rest, rest[:half], rest[half:])
+    return (len(tokens), _signed(tokens[0]), _signed(tokens[1]) if len(tokens) > 1 else 0, *(_signed(" ".join(p)) for p in parts))
 
 
 class Tree:
-    """The children of the nodes of both levels, as bitmaps."""
+    """The children of the nodes of both levels, as bitmaps. All methods take arrays, a line an element."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray):
-        self.first, self.second = memoryview(first), memoryview(second)
+    def __init__(self, first: np.ndarray, second: np.ndarray | None = None):
+        self.first, self.second = first, second
 
-    def after_first(self, many: int, first: int) -> int:
-        """The node below the token count: that of the first token, or the wildcard's."""
+    def below_count(self, many: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The node below the token count, that of the first token or the wildcard's, and whether it is the wildcard's."""
         own = mixed(many, first)
-        return own if _has(self.first, own) else mixed(many, WILDCARD)
+        wild = ~_has(self.first, own)
+        return np.where(wild, mixed(many, WILDCARD), own), wild
 
-    def leaf(self, tokens: list[str]) -> tuple[int, int]:
-        """The leaf, and how many wildcards lead to it."""
-        many, first, second = heads(tokens)
-        node = self.after_first(many, first)
+    def leaves(self, many: np.ndarray, first: np.ndarray, second: np.ndarray, rest: np.ndarray, front: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The leaf, how many words a template needs there, and two keys (the same twice if there is one) by which lines with one are known; for lines that can have none 0 words."""
+        node, wild = self.below_count(many, first)
         own = mixed(node, second)
-        wild = not _has(self.second, own)
-        return mixed(node, WILDCARD) if wild else own, wild + (not _has(self.first, mixed(many, first)))
-
-    def keys(self, tokens: list[str]) -> tuple[int, int, list[int]]:
-        """The leaf, how many words a template needs there, and the keys by which lines with one are known."""
-        at, wild = self.leaf(tokens)
-        many, rest = len(tokens), tokens[2:]
-        if not wild:
-            return at, (many + 1) // 2, [at]
-        spare = min(1, many // 4 - wild)  # further fields of a template
-        if spare < 0:
-            return at, many, []
-        pieces = [rest[: len(rest) // 2], rest[len(rest) // 2 :]] if spare else [rest]
-        return at, many - wild - spare, [mixed(mixed(at, k), _signed(" ".join(piece))) for k, piece in enumerate(pieces)]
-
-
-def heads(tokens: list[str]) -> tuple[int, int, int]:
-    """The number of tokens, and the hashes of the first two (0 for none)."""
-    return len(tokens), _signed(tokens[0]), _signed(tokens[1]) if len(tokens) > 1 else 0
+        other = ~_has(self.second, own)
+        leaf = np.where(other, mixed(node, WILDCARD), own)
+        wilds = wild.astype(np.int64) + other
+        spare = np.minimum(1, many // 4 - wilds)  # further fields of a template
+        least = np.where(wilds == 0, (many + 1) // 2, np.where(spare < 0, 0, many - wilds - spare))
+        one = np.where(wilds == 0, leaf, mixed(leaf, np.where(spare > 0, front, rest)))
+        two = np.where((wilds == 0) | (spare <= 0), one, mixed(mixed(leaf, leaf), back))
+        return leaf, least, one, two
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
-    """One row for each line with a token: ``id``, ``line`` (its position), ``tokens``, ``own`` (its hash), and ``first`` and ``second``, the hashes of its first tokens (0 for none)."""
-    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("tokens", pa.int32()), ("own", pa.int64()), ("first", pa.int64()), ("second", pa.int64())])
+    """One row for each line with a token: ``id``, ``own`` (its hash), ``line`` (its position) and ``HEAD``."""
+    schema = pa.schema([("id", pa.int64()), ("own", pa.int64()), ("line", pa.int32()), ("tokens", pa.int32()), *[(c, pa.int64()) for c in HEAD[1:]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,46 +147,30 @@ def _parsed(docs: DataFrame) -> DataFrame:
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for k, line in enumerate((text or "").split("\n")):
                     if tokens := masked(line):
-                        many, first, second = heads(tokens)
-                        out.append((id_, k, many, _signed(line), first, second))
-            yield batch(schema, list(zip(*out, strict=True)) if out else [[]] * 6)
-
-    return docs.mapInArrow(run, "id long, line int, tokens int, own long, first long, second long")
+                        out.append((id_, _signed(line), k, *heads(tokens)))
+            yield batch(schema, list(zip(*out, strict=True)) if out else [[]] * 9)
 
+    return docs.mapInArrow(run, f"id long, own long, line int, tokens int, {', '.join(f'{c} long' for c in HEAD[1:])}")
 
-def _nodes(parsed: DataFrame, of_task: Callable[[], Callable[[int, int, int], int]]) -> DataFrame:
-    """``id`` and ``node`` of each line of :func:`_parsed`, repeats within a text and a batch left out; ``of_task`` gives the node of a line's tokens."""
-    schema = pa.schema([("id", pa.int64()), ("node", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node = of_task()
-        for b in batches:
-            rows = {(id_, node(*line)) for id_, *line in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)}
-            yield batch(schema, list(zip(*rows, strict=True)) if rows else [[], []])
-
-    return parsed.select("id", "tokens", "first", "second").mapInArrow(run, "id long, node long")
 
-
-def _keyed(docs: DataFrame, one: Broadcast, two: Broadcast) -> DataFrame:
-    """``id`` and ``node`` for each key of a text's lines, repeats left out."""
-    schema = pa.schema([("id", pa.int64()), ("node", pa.int64())])
+def _nodes(parsed: DataFrame, of_task: Callable[[], Callable[..., list[np.ndarray]]], kept: str = "id") -> DataFrame:
+    """``kept`` and ``node`` for what ``of_task`` makes of ``HEAD``: arrays of nodes, or of (nodes, which lines have them)."""
+    schema = pa.schema([(kept, pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(one.value, two.value)
+        nodes = of_task()
         for b in batches:
-            out = []
-            for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = {k for line in (text or "").split("\n") if (tokens := masked(line)) for k in tree.keys(tokens)[2]}
-                out += [(id_, k) for k in own]
-            yield batch(schema, list(zip(*out, strict=True)) if out else [[], []])
+            own, *line = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(1 + len(HEAD)))
+            for node, has in nodes(*line):
+                rows = np.unique(np.stack([own[has], node[has]]), axis=1) if has.any() else np.empty((2, 0), np.int64)
+                yield batch(schema, list(rows))
 
-    return docs.mapInArrow(run, "id long, node long")
+    return parsed.select(kept, *HEAD).mapInArrow(run, f"{kept} long, node long")
 
 
-def _bitmap(nodes: DataFrame, least_texts: int) -> np.ndarray:
-    """``BITMAP`` bits, of which each node that ``least_texts`` texts have sets one."""
-    shared = nodes.distinct().groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts)
-    bits = shared.select((F.pmod("node", F.lit(BITMAP)) + 1).alias("bit"))
+def _bits(nodes: DataFrame) -> np.ndarray:
+    """``BITMAP`` bits, of which each ``node`` sets one."""
+    bits = nodes.select((F.pmod("node", F.lit(BITMAP)) + 1).alias("bit"))
     parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
     out = np.zeros(BITMAP // 8, dtype=np.uint8)
     for r in parts:  # at most BITMAP / 32,768 rows of 4 kB
@@ -197,42 +178,79 @@ def _bitmap(nodes: DataFrame, least_texts: int) -> np.ndarray:
     return out
 
 
-def _grown(docs: DataFrame, parsed: DataFrame, least_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bitmaps of the tree's two levels and of its keys, each counted with the ones before."""
+def _shared(nodes: DataFrame, least_texts: int) -> np.ndarray:
+    """The bits of the nodes that ``least_texts`` texts have."""
+    return _bits(nodes.distinct().groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts))
+
+
+def _grown(parsed: DataFrame, least_texts: int) -> tuple[np.ndarray, ...]:
+    """Bitmaps of the tree's two levels, of its keys, and of the lines that have such a key (by ``own``), each counted with the ones before."""
     context = parsed.sparkSession.sparkContext
-    first = _bitmap(_nodes(parsed, lambda: lambda many, first, _: mixed(many, first)), least_texts)
+    every = lambda nodes: [(nodes, np.ones(len(nodes), dtype=bool))]
+    first = _shared(_nodes(parsed, lambda: lambda many, first, *_: every(mixed(many, first))), least_texts)
     one = context.broadcast(first)  # BITMAP bits, as the next
 
-    def second_level() -> Callable[[int, int, int], int]:
-        tree = Tree(one.value, one.value)
-        return lambda many, first, second: mixed(tree.after_first(many, first), second)
+    def second_level() -> Callable[..., list]:
+        tree = Tree(one.value)
+        return lambda many, first, second, *_: every(mixed(tree.below_count(many, first)[0], second))
 
-    second = _bitmap(_nodes(parsed, second_level), least_texts)
+    second = _shared(_nodes(parsed, second_level), least_texts)
     two = context.broadcast(second)
-    return first, second, _bitmap(_keyed(docs, one, two), least_texts)
 
+    def keys() -> Callable[..., list]:
+        tree = Tree(one.value, two.value)
+
+        def of(*line: np.ndarray) -> list:
+            _, least, a, b = tree.leaves(*line)
+            return [(a, least > 0), (b, (least > 0) & (a != b))]
+
+        return of
+
+    often = _shared(_nodes(parsed, keys), least_texts)
+    three = context.broadcast(often)
 
-def _cells(docs: DataFrame, maps: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    def counted() -> Callable[..., list]:
+        tree = Tree(one.value, two.value)
+
+        def of(*line: np.ndarray) -> list:
+            leaf, least, a, b = tree.leaves(*line)
+            return [(leaf, (least > 0) & (_has(three.value, a) | _has(three.value, b)))]
+
+        return of
+
+    return first, second, often, _bits(_nodes(parsed, counted, "own").select(F.col("own").alias("node")))
+
+
+def _cells(docs: DataFrame, maps: tuple[np.ndarray, ...]) -> DataFrame:
     """The lines with a key that enough texts share: ``id``, ``line``, ``leaf``, ``least`` (words of a template), ``cells`` (a hash for each token), ``fresh`` (those that no earlier line of the text has at the leaf and position)."""
     schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("least", pa.int32()), ("cells", pa.list_(pa.int64())), ("fresh", pa.list_(pa.bool_()))])
-    shared = docs.sparkSession.sparkContext.broadcast(maps)  # three times BITMAP bits
+    shared = docs.sparkSession.sparkContext.broadcast(maps)  # four times BITMAP bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second, often = shared.value
-        tree, often = Tree(first, second), memoryview(often)
+        first, second, often, own = shared.value
+        tree, lines = Tree(first, second), memoryview(own)
         for b in batches:
-            out = []
+            found = []
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen: set[tuple] = set()
                 for k, line in enumerate((text or "").split("\n")):
-                    if not (tokens := masked(line)):
-                        continue
-                    at, least, keys = tree.keys(tokens)
-                    if any(_has(often, k) for k in keys):
-                        cells = list(map(_signed, tokens))
-                        places = [(at, p, c) for p, c in enumerate(cells)]
-                        out.append((id_, k, at, least, cells, [p not in seen for p in places]))
-                        seen.update(places)
+                    at = _signed(line) % BITMAP
+                    if lines[at >> 3] >> (at & 7) & 1 and (tokens := masked(line)):
+                        found.append((id_, k, tokens))
+            if not found:
+                yield batch(schema, [[]] * 6)
+                continue
+            leaf, least, one, two = tree.leaves(*(np.array(c, dtype=np.int64) for c in zip(*(heads(t) for *_, t in found), strict=True)))
+            counted = (least > 0) & (_has(often, one) | _has(often, two))
+            out, last, seen = [], None, set()
+            for (id_, k, tokens), at, words, counts in zip(found, leaf.tolist(), least.tolist(), counted.tolist(), strict=True):
+                if k == 0 or last is None or k <= last[1] or id_ != last[0]:  # the next text
+                    seen = set()
+                last = id_, k
+                if counts:
+                    cells = list(map(_signed, tokens))
+                    places = [(at, p, c) for p, c in enumerate(cells)]
+                    out.append((id_, k, at, words, cells, [p not in seen for p in places]))
+                    seen.update(places)
             yield batch(schema, list(zip(*out, strict=True)) if out else [[]] * 6)
 
     return docs.mapInArrow(run, "id long, line int, leaf long, least int, cells array<long>, fresh array<boolean>")
@@ -267,7 +285,7 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """``id`` and ``lines``, the positions of the lines that go, for each text that loses some."""
     picked = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter("id is not null")
     parsed = materialize(_parsed(picked))
-    lines = materialize(_keys(materialize(_cells(picked, _grown(picked, parsed, least_texts))), least_texts))
+    lines = materialize(_keys(materialize(_cells(picked, _grown(parsed, least_texts))), least_texts))
     often = lines.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts).select("key")
     candidates = materialize(lines.join(materialize(often), "key", "left_semi"))
     shared = candidates.groupBy("id", "line").agg(F.max_by(F.xxhash64("key"), "open").alias("shared"))  # near copies agree in the open one
