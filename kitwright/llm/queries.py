@@ -87,7 +87,7 @@ def with_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (``doc_id``, ``text``) where one text in ten, by its id, repeats a stretch of its words up to its end."""
     n, h = F.size("_words").cast("long"), F.crc32(F.col("doc_id").cast("string"))
     rows = docs.withColumn("_h", h).withColumn("_words", F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
-    rows = rows.withColumn("_n", n).withColumn("_g", F.floor(F.col("_h") / 10)).withColumn("_a", F.expr("cast(_g % _n as int)"))
+    rows = rows.withColumn("_n", n).withColumn("_g", F.floor(F.col("_h") / 10)).withColumn("_a", F.expr("cast(_g % nullif(_n, 0) as int)"))
     rows = rows.withColumn("_p", F.expr("cast(1 + floor((_n - _a) / (3 + _g % 8)) as int)"))
     repeated = F.expr("array_join(transform(_words, (w, i) -> if(i >= _a, get(_words, _a + (i - _a) % _p), w)), ' ')")
     return rows.select("doc_id", F.when(F.col("_n") > 0, repeated).otherwise(F.col("text")).alias("text"))

@@ -262,6 +262,15 @@ def test_periodic_query(spark, tmp_path):
     assert sum(r[1] > 0 for r in want) > 30
 
 
+def test_periodic_texts_without_words(spark, tmp_path):
+    """Also where the id asks for a repeated stretch."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = list(zip(ids, ["", " \n", None, "a"], strict=False))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_runs, r.start, r.collapsed_sha256) for r in queries.op13_periodic_runs(spark, str(tmp_path)).collect()}
+    assert len(rows) == 4 and got == {i: (0, None, hashlib.sha256((t or "").strip().encode()).hexdigest()) for i, t in rows}
+
+
 def test_periodic_empty_table(spark):
     found = periodic.find(spark.createDataFrame([], "doc_id long, text string, n_words string"))
     assert found.collect() == [] and periodic.summary(found).columns == ["doc_id", "n_words", "runs", "text", "n_runs", "start", "length", "period", "exponent_milli"]
