@@ -54,8 +54,7 @@ SELECT rule_label, a_id, count(*) AS n_fitting, min(b_id) AS first_fitting FROM
 )
 def pair_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What fits each part taken as a product, by rule."""
-    pairs = configure.fitting_pairs(part_products(spark, sf_dir), amperes=7)
-    return pairs.groupBy(F.col("rule").alias("rule_label"), "a_id").agg(F.count("*").alias("n_fitting"), F.min("b_id").alias("first_fitting"))
+    return configure.fitting_counts(part_products(spark, sf_dir), amperes=7).withColumnRenamed("rule", "rule_label")
 
 
 @query(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kitwright.operators import configure, ranges, wizard
+from kitwright.plans import extended
 from kitwright.sources import catalog
 
 
@@ -44,6 +45,57 @@ def test_fitting_pairs_are_those_of_the_matrix(spark):
                     assert ((label, b.id, p.id) in volts) == fits
 
 
+def rows_made(df):
+    """The most rows that one join of a plan that ran has made."""
+    most, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            left.append(node.plan())
+        else:
+            if name.endswith("JoinExec"):
+                most = max(most, node.metrics().apply("numOutputRows").value())
+            left += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def alike_products(spark):
+    """3,000 products of few kinds, some of an id that stands twice, some with gaps."""
+    rng = random.Random(3)
+    kind = lambda *values: rng.choice([None, *values, *values, *values])
+    rows = []
+    for i in range(3000):
+        low = kind(0, 3, 4)
+        rows.append((
+            i, f"p{i - i % 50 // 49}", rng.choice(["frame", "motors", "propellers", "flightController", "esc", "battery"]), kind(0, 3, 5, 7), kind("", "a", "a", "b"), kind(3, 5, 6, 7),
+            kind(1404, 2207, 2806), kind(3, 4, 6), low, kind(3, 4, 6), kind("6pin", "8pin"), kind("6pin", "8pin"), kind(0, 15, 38), kind(20, 55),
+        ))
+    columns = ["no", "id", "category", "frame_inches", "mount", "prop_inches", "motor_size", "voltage", "min_voltage", "max_voltage", "connector", "esc_input", "current", "esc_amps"]
+    types = ["int" if isinstance(next(v for v in column if v is not None), int) else "string" for column in zip(*rows, strict=True)]
+    found = spark.createDataFrame(rows, ", ".join(map(" ".join, zip(columns, types, strict=True))))
+    return found.withColumns({c: F.lit(None).cast("int") for c in configure.ATTRIBUTES if c not in columns})
+
+
+def test_counts_of_fitting_pairs_make_no_pairs(spark):
+    products = alike_products(spark)
+    pairs = configure.fitting_pairs(products, amperes=6)
+    plain = pairs.groupBy("rule", "a_id").agg(F.count("*"), F.min("b_id"))
+    want = plain.collect()
+    got = configure.fitting_counts(products, amperes=6)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len({r.rule for r in want}) == 5
+    assert rows_made(got) <= 3000 and rows_made(plain) > 20_000
+
+
+def test_pair_rules_makes_no_pairs(spark, tmp_path):
+    part = spark.range(3000).selectExpr("id as p_partkey", "'b' as p_brand", "'t' as p_type", "int(1 + id % 50) as p_size", "1.5d as p_retailprice")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    got = extended.pair_rules(spark, str(tmp_path))
+    assert sum(r.n_fitting for r in got.collect()) > 300_000 and rows_made(got) <= 3000
+
+
 def test_runs_of_actions(spark, monkeypatch):
     """Step by step, whole and in pieces of three."""
     rng = random.Random(7)
