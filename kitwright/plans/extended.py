@@ -64,8 +64,7 @@ FROM products b JOIN products p ON b.voltage BETWEEN p.min_voltage AND p.max_vol
 )
 def voltage_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many batteries lie in the range of each part taken as a product."""
-    pairs = configure.fitting_voltages(part_products(spark, sf_dir))
-    return pairs.groupBy(F.col("rule").alias("rule_label"), "b_id").agg(F.count("*").alias("n_batteries"), F.min("a_id").alias("first_battery"))
+    return configure.voltage_counts(part_products(spark, sf_dir)).withColumnRenamed("rule", "rule_label")
 
 
 _REMOVALS = f"""WITH {PRODUCTS_SQL}, picked AS (

@@ -96,6 +96,19 @@ def test_pair_rules_makes_no_pairs(spark, tmp_path):
     assert sum(r.n_fitting for r in got.collect()) > 300_000 and rows_made(got) <= 3000
 
 
+def test_counts_of_fitting_voltages_make_no_pairs(spark, tmp_path):
+    products = alike_products(spark)
+    plain = configure.fitting_voltages(products).groupBy("rule", "b_id").agg(F.count("*"), F.min("a_id"))
+    want = plain.collect()
+    got = configure.voltage_counts(products)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len({r.rule for r in want}) == 3
+    part = spark.range(6000).selectExpr("id as p_partkey", "'b' as p_brand", "'t' as p_type", "int(1 + id % 50) as p_size", "1.5d as p_retailprice")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    query = extended.voltage_fits(spark, str(tmp_path))
+    assert sum(r.n_batteries for r in query.collect()) > 50_000
+    assert max(rows_made(got), rows_made(query)) <= 6000 < rows_made(plain)
+
+
 def test_runs_of_actions(spark, monkeypatch):
     """Step by step, whole and in pieces of three."""
     rng = random.Random(7)
