@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from kitwright.llm import bpe, decontam, lines, simhash, toxicity
 from kitwright.llm.common import documents, id_bucket, materialize, shared_folder
+from kitwright.llm.linking import tasks
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,7 +51,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 3: five-word shingles, similarity 0.8 or more. Rows with a null id stay."""
     found = simhash.jaccard_groups(docs, shingle=5, similarity=0.8)
-    copies = materialize(found.filter("doc_id <> component_id").select("doc_id"))
+    copies = materialize(found.filter("doc_id <> component_id").select("doc_id").coalesce(tasks(docs.count())))
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 

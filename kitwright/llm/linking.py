@@ -17,9 +17,9 @@ from kitwright.llm.common import materialize
 LINKS_A_TASK = 200_000
 
 
-def tasks(rows: int) -> int:
-    """How many tasks, and so files, so many small rows are written by."""
-    return max(1, -(-rows // LINKS_A_TASK))
+def tasks(rows: int, each: int = LINKS_A_TASK) -> int:
+    """How many tasks, and so files, so many rows are written by, ``each`` a task; few for small rows."""
+    return max(1, -(-rows // each))
 
 
 def block_pairs(members: DataFrame, keys: list[str], member: str, block_rows: int) -> DataFrame:
@@ -83,16 +83,18 @@ def group_pairs(members: DataFrame, keys: list[str], member: str, group: str, we
     )
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, rounds: int = 40, files: int | None = None) -> DataFrame:
     """``(node, component)`` for every node of ``links`` (a, b): the smallest node it can reach.
 
     Alternates two local rules until nothing changes: every node hands its
     larger neighbours to its smallest neighbour (large star), then its smaller
     neighbours too (small star). Both keep the components and end in stars
     around their smallest nodes, in about log of the longest chain of rounds.
-    Rows stay within the number of links; each round's links are checkpointed.
+    Rows stay within the number of links; each round's links are checkpointed,
+    the first of them by ``files`` tasks at most.
     """
-    edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = materialize(edges.coalesce(files) if files else edges)
     many = edges.count()
     if not many:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -39,6 +39,8 @@ from kitwright.llm.linking import components, group_pairs, tasks
 
 #: Seed of a shingle's XXH64, rows of a block of a bucket, shingles of a block of sets, shingles counted at a time, and members beyond which a component is a crowd.
 SEED, BLOCK_ROWS, BLOCK_SHINGLES, CHUNK, CROWD = 42, 2048, 1 << 18, 8192, 64
+#: Texts whose sets of shingles one task writes, about.
+SETS_A_TASK = 5_000
 #: Texts of up to that many distinct shingles are also compared exactly wherever they share a rare enough shingle.
 #: Pairs beyond have 33 shingles or more each, where the share of differing bits is at most ``EXCESS`` times the formula's.
 SHORT, EXCESS = 40, 1.04
@@ -129,11 +131,11 @@ def _bits_apart(a: str, b: str, words: int) -> Column:
     return reduce(Column.__add__, [F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(words)])
 
 
-def _leads(base: DataFrame, classes: DataFrame, limit: int, head: int, head_limit: int) -> DataFrame:
+def _leads(base: DataFrame, classes: DataFrame, limit: int, head: int, head_limit: int, files: int) -> DataFrame:
     """Links (a, b) of each class to the smallest id of a bucket, where they are at most ``limit`` bits apart."""
     leads = base.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lead"), *[F.min_by(f"word{i}", "id").alias(f"lead{i}") for i in range(head)])
     # Written, so that a bucket of many members can be split where it is joined.
-    met = base.join(materialize(leads.filter("n > 1").drop("n")), "bucket").filter((F.col("id") != F.col("lead")) & (_bits_apart("word", "lead", head) <= head_limit))
+    met = base.join(materialize(leads.filter("n > 1").drop("n").coalesce(files)), "bucket").filter((F.col("id") != F.col("lead")) & (_bits_apart("word", "lead", head) <= head_limit))
     fps = classes.select("id", "fp")
     pairs = met.select("id", "lead").distinct().join(fps, "id").join(fps.toDF("lead", "lead_fp"), "lead")
     apart = F.aggregate(F.zip_with("fp", "lead_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
@@ -161,8 +163,8 @@ def links(classes: DataFrame, limit: int, segments: int, width: int, radius: int
     # Few files for few rows, however many partitions a shuffle has.
     n = classes.count()
     of_classes, of_entries, of_probes = (tasks(n * each) for each in (1, segments, segments * (2 + width // 2)))
-    star = materialize(_leads(base, classes, limit, head, head_limit).coalesce(of_entries))
-    known = components(star).withColumnRenamed("node", "id")
+    star = materialize(_leads(base, classes, limit, head, head_limit, of_entries).coalesce(of_entries))
+    known = components(star, files=of_entries).withColumnRenamed("node", "id")
     of_lead = [F.col("fp")[i].alias(f"center{i}") for i in range(head)]
     crowds = known.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).join(classes.select(F.col("id").alias("component"), *of_lead).dropDuplicates(["component"]), "component").drop("n")
     crowds = materialize(crowds.coalesce(of_classes))
@@ -266,15 +268,18 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     also counted, which Parquet answers from its footers.
     """
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    segments, width = tables(picked.count(), similarity, recall)
+    n = picked.count()
+    segments, width = tables(n, similarity, recall)
+    # Few files for few rows, however many partitions a shuffle has.
+    of_rows, of_links, of_sets = tasks(n), tasks(n * segments), tasks(n, SETS_A_TASK)
     words, share = -(-segments * width // 64), EXCESS * bit_share(similarity)
     limit, head_limit = (int(share * bits + sd * (bits * share * (1 - share)) ** 0.5) for bits, sd in ((64 * words, 4), (64 * HEAD, 4)))
     fps = materialize(fingerprints(picked, shingle, words, distinct=True, short=SHORT))
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"))
-    loose = components(links(classes, limit, segments, width, 1, HEAD, head_limit)).withColumnRenamed("node", "doc_id")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null").coalesce(of_rows))
+    loose = components(links(classes, limit, segments, width, 1, HEAD, head_limit), files=of_links).withColumnRenamed("node", "doc_id")
     own = classes.select(F.col("id").alias("doc_id"), "fp")
-    short = _short_keys(materialize(fps.filter("size(few) > 0").join(own, ["doc_id", "fp"], "left_semi").select(F.col("doc_id").alias("id"), "few")), similarity)
-    exact = components(_compared(_sets(picked.join(loose, "doc_id"), shingle).unionByName(short), similarity))
+    short = _short_keys(materialize(fps.filter("size(few) > 0").join(own, ["doc_id", "fp"], "left_semi").select(F.col("doc_id").alias("id"), "few").coalesce(of_rows)), similarity)
+    exact = components(_compared(_sets(picked.join(loose, "doc_id"), shingle).unionByName(short), similarity, of_sets), files=of_sets)
     named = classes.join(exact, classes["id"] == exact["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "component_id")
 
@@ -312,13 +317,14 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("component", "doc_id", "text").mapInArrow(hashed, "key long, id long, shingles array<long>")
 
 
-def _compared(sets: DataFrame, similarity: float) -> DataFrame:
+def _compared(sets: DataFrame, similarity: float, files: int) -> DataFrame:
     """Links (a, b) spanning, among the members of each ``key``, what is ``similarity`` or more alike.
 
     Each member is compared with the smallest id of its key first. Those it
     joins are one group; then only members of different groups are compared.
+    What is written on the way is written by ``files`` tasks at most.
     """
-    members = materialize(sets)
+    members = materialize(sets.coalesce(files))
     firsts = members.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n > 1").select("key", "id")
     first = members.join(firsts, ["key", "id"]).select("key", F.col("id").alias("first"), F.col("shingles").alias("of_first"))
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -332,10 +338,10 @@ def _compared(sets: DataFrame, similarity: float) -> DataFrame:
             yield batch(schema, list(zip(*out, strict=True)) if out else [[], [], []])
 
     star = members.join(first, "key").filter("id <> first").select("key", "id", "first", "shingles", "of_first")
-    star = materialize(star.mapInArrow(with_first, "key long, a long, b long").distinct())
+    star = materialize(star.mapInArrow(with_first, "key long, a long, b long").distinct().coalesce(files))
     grouped = members.select("key", "id", F.size("shingles").alias("n")).join(star.select("key", F.col("a").alias("id"), "b"), ["key", "id"], "left")
     grouped = grouped.select("key", "id", "n", F.coalesce("b", "id").alias("known"))
-    dealt = group_pairs(grouped, ["key"], "id", "known", "n", BLOCK_SHINGLES).drop("n").join(members, ["key", "id"])
+    dealt = group_pairs(grouped, ["key"], "id", "known", "n", BLOCK_SHINGLES, files).drop("n").join(members, ["key", "id"])
     jobs = dealt.groupBy("key", "block_a", "block_b").agg(F.collect_list(F.struct("id", "known", "shingles")).alias("m")).select("m.id", "m.known", "m.shingles")
     pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kitwright.llm import bpe, decontam, embedding, langid, lines, linking, secrets, sharding, simhash, substring, toxicity
+from kitwright.llm.common import materialize
 
 
 def words(rng, n, vocabulary=400):
@@ -538,3 +539,28 @@ def test_templates_by_a_plain_version(spark):
     gone = [rows[i].split("\n")[k] for i, k in got]
     assert {"Menu", "Read on"} <= set(gone) and sum("wrote this article" in x for x in gone) > 8 and sum("for all the readers" in x for x in gone) > 8
     assert not any(x.endswith(" said") for x in gone)  # a wildcard and one word are no template
+
+
+def test_near_dedup_writes_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has; each file costs an executor a process."""
+    files = []
+
+    def counted(df):
+        out = materialize(df)
+        files.append(out.rdd.getNumPartitions())
+        return out
+
+    for module in (simhash, linking):
+        monkeypatch.setattr(module, "materialize", counted)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = [(i, " ".join(f"w{i // 4}x{k}" for k in range(20 + 20 * (i % 8 // 4))) + f" {i}") for i in range(120)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        found = {r.doc_id: r.component_id for r in simhash.jaccard_groups(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: i // 4 * 4 for i in range(120)} and max(files) < 40
